@@ -70,3 +70,14 @@ def add_columns(
             )
 
     return df.mapInArrow(run, schema)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it is read as a plain scan, so that the planner knows its
+    size and is free to deal it out anew (a skewed join needs that)."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/gridspark-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
 from gridspark.llm import quality_rules as rules
+from gridspark.llm import simhash
 from gridspark.llm import token_count as tokens
 from gridspark.llm.common import table
 
@@ -20,6 +22,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(docs, model, carry=["doc_id"])
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
@@ -28,14 +34,20 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.containment_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules,
+        op2_simhash,
         op3_line_dedup,
         op8_token_counts,
+        op9_decontaminate,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op9_decontaminate": leaks.ORACLE}
