@@ -10,6 +10,7 @@ from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
 from gridspark.llm import quality_rules as rules
 from gridspark.llm import simhash
+from gridspark.llm import span_dedup as repeats
 from gridspark.llm import token_count as tokens
 from gridspark.llm.common import table
 
@@ -38,6 +39,10 @@ def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.containment_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.span_report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -46,6 +51,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_dedup,
         op8_token_counts,
         op9_decontaminate,
+        op10_span_dedup,
     )
 }
 
