@@ -81,3 +81,24 @@ def written(df: DataFrame) -> DataFrame:
     path = f"{checkpoint_dir(spark).rstrip('/')}/gridspark-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, also where body uses it inside a lambda function."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def prefix_sums(lengths: Column, block: int = 128) -> Column:
+    """For an array of n numbers the n sums of what stands before each. Blocks keep long arrays from being copied for
+    every element."""
+
+    def sums(a: Column) -> Column:
+        n = F.size(a)
+        zero = F.lit(0).cast("long")
+        add = lambda x, y: x + y
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / block).cast("int")), lambda b: F.aggregate(F.slice(a, b * block + 1, F.lit(block)), zero, add))
+        starts = F.aggregate(blocks, F.array(zero), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + x)))
+        at = lambda s: F.transform(a, lambda x, i: F.element_at(s, F.floor(i / block).cast("int") + 1) + F.aggregate(F.slice(a, F.floor(i / block).cast("int") * block + 1, i % block), zero, add))
+        return F.when(n > 0, let(starts, at)).otherwise(F.array().cast("array<bigint>"))
+
+    return let(lengths, sums)

@@ -199,10 +199,15 @@ def fit_line_crf(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS,
     return fit(rows, steps)
 
 
+def in_fold(labels: DataFrame, column: str) -> DataFrame:
+    """(doc_id, y) of the labelled rows that a fit may use."""
+    return labels.where(f"doc_id is not null and `{column}` in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", F.col(column).cast("int").alias("y"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "quality") -> list[tuple[int, str]]:
     """(label, text) of at most per_class documents of each label 0 and 1. Only labelled rows outside the fold that is
     held out (crc32 of doc_id modulo 4 is 2) are used. The ids are a bounded set, so the texts are found by one scan."""
-    good = labels.where(f"doc_id is not null and `{column}` in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", F.col(column).cast("int").alias("y"))
+    good = in_fold(labels, column)
     picked = [good.where(f"y = {y}").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class) for y in (0, 1)]
     ids = {(r.doc_id, r.y) for p in picked for r in p.collect()}
     if not ids:

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridspark.llm import compression_quality as quality
 from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
+from gridspark.llm import mixing
 from gridspark.llm import quality_rules as rules
 from gridspark.llm import simhash
 from gridspark.llm import span_dedup as repeats
@@ -31,6 +33,18 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(table(spark, sf_dir, "documents"))
 
 
+def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit_size_model(docs, table(spark, sf_dir, "labels"))
+    scored = quality.with_fold(quality.quality_scores(docs, model, carry=["doc_id"]))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return mixing.mix(docs, mixing.source_rates(docs))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
 
@@ -49,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_quality_rules,
         op2_simhash,
         op3_line_dedup,
+        op4_compression_quality,
+        op7_mixing,
         op8_token_counts,
         op9_decontaminate,
         op10_span_dedup,
@@ -56,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op9_decontaminate": leaks.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op9_decontaminate": leaks.ORACLE}
