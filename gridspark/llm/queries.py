@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridspark.llm import chat_format as chat
 from gridspark.llm import compression_quality as quality
 from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
@@ -40,6 +41,10 @@ def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.conversation_digest(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.source_rates(docs))
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_simhash,
         op3_line_dedup,
         op4_compression_quality,
+        op5_chat_format,
         op7_mixing,
         op8_token_counts,
         op9_decontaminate,
@@ -72,4 +78,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op7_mixing": mixing.ORACLE, "op9_decontaminate": leaks.ORACLE}
+ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_decontaminate": leaks.ORACLE}
