@@ -12,6 +12,7 @@ from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
 from gridspark.llm import mixing
 from gridspark.llm import quality_rules as rules
+from gridspark.llm import secret_scan as secrets
 from gridspark.llm import simhash
 from gridspark.llm import span_dedup as repeats
 from gridspark.llm import token_count as tokens
@@ -45,6 +46,10 @@ def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.conversation_digest(chat.with_probe(spark, table(spark, sf_dir, "conversations")))
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return mixing.mix(docs, mixing.source_rates(docs))
@@ -70,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_line_dedup,
         op4_compression_quality,
         op5_chat_format,
+        op6_secret_scan,
         op7_mixing,
         op8_token_counts,
         op9_decontaminate,
