@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,7 +23,7 @@ def is_external(formula: Column) -> Column:
 
 
 def uses_lookup(formula: Column) -> Column:
-    return F.upper(formula).rlike("|".join(LOOKUPS))
+    return reduce(or_, map(F.upper(formula).contains, LOOKUPS))
 
 
 def clean_sheet(prefix: Column, default: Column) -> Column:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -15,10 +19,18 @@ HINT_TOKENS = (
 )
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value worked out once, however often and wherever body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hints(text: Column) -> Column:
     """array<string> of the domain hints whose tokens the text holds, whatever their case."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    return F.array_compact(F.array(*[F.when(low.rlike("|".join(tokens)), hint) for hint, tokens in HINT_TOKENS]))
+
+    def found(low: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(reduce(or_, map(low.contains, tokens)), hint) for hint, tokens in HINT_TOKENS]))
+
+    return let(F.lower(F.coalesce(text, F.lit(""))), found)
 
 
 def column_letters(number: Column) -> Column:

@@ -212,13 +212,13 @@ def empty_workbook_default(spark, sf_dir):
 
 @query(f"with {ITEMS} select book, 'confirm:' || id as id, 'category_override' as question_type, category as default_value from (select book, id, category, confidence from cls union all select book, id, category, confidence from rng) where confidence < 0.7")
 def confirm_questions(spark, sf_dir):
-    asked = confirm.questions(_items(spark, sf_dir)).where("question_type = 'category_override'")
+    asked = confirm.questions(_items(spark, sf_dir).where(F.col("confidence") < confirm.SURE))
     return asked.select(_book(), "id", "question_type", F.col("default").alias("default_value"))
 
 
 @query(f"with {UNSUPPORTED} select book, 'risk:' || id as id, 'Review unsupported or opaque workbook feature: ' || description as prompt from ui")
 def risk_questions(spark, sf_dir):
-    return confirm.questions(_items(spark, sf_dir)).where("question_type = 'unsupported_feature_review'").select(_book(), "id", "prompt")
+    return confirm.questions(_items(spark, sf_dir).where("category = 'unsupported_opaque'")).select(_book(), "id", "prompt")
 
 
 @query(f"with {CELLS}, {PARTS}, n as (select book, count(*) as recognized, 0 as opaque from cells group by book union all select 'view-0', (select count(*) from nation) + (select count(*) from region), (select count(*) from parts where marker is not null)) select book, sum(recognized)::bigint as recognized, sum(opaque)::bigint as opaque, sum(recognized + opaque)::bigint as discovered from n group by book")
