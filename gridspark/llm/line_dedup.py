@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACE, lower_ascii
+from gridspark.llm.common import SPACE, lower_ascii, written
 
 MIN_KEY = 10
 #: Parts into which the documents of one hash are dealt.
@@ -56,6 +56,8 @@ def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, salts: int = SALTS) ->
         .select("doc_key", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
         .withColumn("salt", F.pmod(F.xxhash64("doc_key", F.lit(3)), F.lit(salts)).cast("int"))
     )
+    # range partitioning reads its rows twice, to sample and to deal them: the small hashes, not the texts
+    lines = written(lines)
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_key", "pos").rowsBetween(Window.unboundedPreceding, 0)
     ranged = lines.repartitionByRange("h1", "h2", "salt").withColumn("first_doc", F.first("doc_key").over(stream))
     later = ranged.where("doc_key > first_doc").select("doc_key", "text_key", "pos")
