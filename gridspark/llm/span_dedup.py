@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import add_columns, written
 
-MIN_SENTENCES, MIN_WORDS, LONG, LAST_ID = 2, 16, 24, 2**63 - 1
+MIN_SENTENCES, MIN_WORDS, LONG, LAST_ID = 2, 20, 24, 2**63 - 1
 #: What ends a sentence, with the white space after it.
 END = re.compile(r"[.!?]+[\"')\]]*[ \t-\r]+|[。！？]+[ \t-\r]*|[ \t-\r]*\n[ \t-\r]*")
 WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*")

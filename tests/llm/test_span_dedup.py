@@ -9,14 +9,14 @@ from tests.llm.helpers import collect, docs, odd_rows, prose
 
 
 def runs(parts):
-    """Every span by trying all lengths: the shortest of at least two sentences with words and sixteen words."""
+    """Every span by trying all lengths: the shortest with enough sentences that have words, and enough words."""
     words = [p.lower().split() for p in parts]
     for i, w in enumerate(words):
         if not w:
             continue
         for j in range(i + 1, len(parts) + 1):
             inside = words[i:j]
-            if inside[-1] and sum(map(bool, inside)) >= 2 and sum(map(len, inside)) >= 16:
+            if inside[-1] and sum(map(bool, inside)) >= s.MIN_SENTENCES and sum(map(len, inside)) >= s.MIN_WORDS:
                 yield i, j - i, " ".join(x for ws in inside for x in ws)
                 break
 
