@@ -113,7 +113,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
 def repeated_ranges(docs: DataFrame) -> DataFrame:
     """(doc, ranges, first_docs): the sentence ranges (start, n) of each document to remove, and the documents that
     hold their first occurrences."""
-    rows = span_rows(docs)
+    rows = written(span_rows(docs))  # read twice; texts are split and hashed once
     place = F.struct("doc", "pos")
     firsts = written(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))
     later = rows.join(firsts, ["h1", "h2"]).where("doc <> first_doc or pos <> first_pos")
