@@ -5,6 +5,10 @@ Every frame carries `sha256`, the workbook's content hash, as its key: many work
 
 from __future__ import annotations
 
+import json
+
+from pyspark.sql import types as T
+
 # Written into artifacts and compared by their readers.
 SCHEMA_VERSION = "phase1.v1"
 WORKBOOK_TYPES = ("xlsx", "xlsm")
@@ -24,3 +28,15 @@ RANGES = f"sha256 string, scope string, sheet_name string, sheet_index long, seq
 UNSUPPORTED = f"sha256 string, origin string, seq array<long>, feature_type string, description string, severity string, opaque boolean, metadata map<string,string>, loc {LOC}"
 #: Where in a workbook something was emitted: sheet, row, column, step. Arrays of longs compare like tuples.
 SEQ = "array<long>"
+
+#: The frames whose shape is fixed by contract.
+FRAMES = {"cells": CELLS, "ranges": RANGES, "unsupported": UNSUPPORTED}
+
+
+def schema_of(name: str) -> T.StructType:
+    return T.StructType.fromDDL(FRAMES[name])
+
+
+def schemas_json() -> str:
+    """All contracts as one JSON text, with their version."""
+    return json.dumps({"schema_version": SCHEMA_VERSION, "frames": {name: json.loads(schema_of(name).json()) for name in FRAMES}}, indent=2)

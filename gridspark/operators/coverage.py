@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridspark.contracts import CATEGORIES
+
 
 def coverage(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame) -> DataFrame:
     """(sha256, recognized, opaque, discovered) of each workbook. What was discovered is counted by itself, over all
@@ -36,6 +38,11 @@ def bound_problem() -> Column:
     return F.when(F.col("row") < 1, "row below 1").when(F.col("column") < 1, "column below 1").when(F.col("sheet_index") < 0, "negative sheet index")
 
 
+def confidence_problem() -> Column:
+    """What is wrong with an item's confidence or category; null if nothing is."""
+    return F.when(~F.col("confidence").between(0.0, 1.0) | F.col("confidence").isNull(), "confidence outside 0 to 1").when(~F.col("category").isin(*CATEGORIES), "unknown category")
+
+
 def sheet_counts(cells: DataFrame) -> DataFrame:
     """(sha256, sheet_name, kind, n): a small report of the inventory."""
     return cells.groupBy("sha256", "sheet_name", "kind").agg(F.count(F.lit(1)).alias("n"))

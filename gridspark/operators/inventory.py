@@ -229,13 +229,14 @@ def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
     unsupported = file_type_problems(books).unionByName(opaque_problems(entries)).unionByName(corrupt)
     used = elements.where("tag = 'c'").groupBy("sha256", "part").agg(F.max(cell_row(attr("r"))).alias("max_row"), F.max(cell_column(attr("r"))).alias("max_column"))
     sized = sheets.join(used, ["sha256", "part"], "left").withColumns({"max_row": F.coalesce("max_row", F.lit(1).cast("long")), "max_column": F.coalesce("max_column", F.lit(1).cast("long"))})
-    macro = raw.groupBy("sha256").agg(F.bool_or(F.col("name").contains("vbaProject.bin")).alias("vba"))
+    macro = raw.groupBy("sha256").agg(F.bool_or(F.col("name").contains("vbaProject.bin")).alias("vba"), F.bool_or(F.col("name") == "xl/workbook.xml").alias("whole"))
     global_names = elements.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).groupBy("sha256").agg(F.countDistinct(attr("name")).alias("named"))
     calc = elements.where("tag = 'calcPr'").groupBy("sha256").agg(F.max(F.coalesce(attr("calcMode"), F.lit("auto"))).alias("calc_mode"))
     facts = books.join(macro, "sha256", "left").join(global_names, "sha256", "left").join(calc, "sha256", "left")
     manifest = facts.select(
         "sha256", F.col("path").alias("workbook_path"), "file_name", "file_size",
         (is_workbook(F.col("path")) & ((F.lower(suffix(F.col("path"))) == "xlsm") | F.coalesce("vba", F.lit(False)))).alias("is_macro_enabled"),
-        F.coalesce("named", F.lit(0)).cast("long").alias("named_ranges_count"), "calc_mode",
+        F.coalesce("named", F.lit(0)).cast("long").alias("named_ranges_count"),
+        F.coalesce("calc_mode", F.when(F.col("whole"), "auto")).alias("calc_mode"),  # automatic where a workbook doesn't say
     )
     return Inventory(books, manifest, sized, parts, cells_of(elements, sheets).persist(), ranges_of(elements, sheets, rels), unsupported)

@@ -10,11 +10,11 @@ from gridspark.plans.pipeline import decompose
 from gridspark.sinks.store import write_tables
 
 
-def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.xls[xm]", once: bool = False) -> StreamingQuery:
-    """Every micro-batch of new files becomes one run in the tables under `out`; a batch that is retried after a failure
+def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.xls[xm]", once: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
+    """Every micro-batch of at most `files_per_batch` new files becomes one run in the tables under `out`; a batch that is retried after a failure
     overwrites its own run."""
     schema = "path string, modificationTime timestamp, length long, content binary"
-    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).load(folder).select("path")
+    files = spark.readStream.format("binaryFile").schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).load(folder).select("path")
 
     def put(batch: DataFrame, number: int) -> None:
         paths = [r.path for r in batch.select(F.regexp_replace("path", "^file:/*", "/").alias("path")).collect()]

@@ -1,11 +1,13 @@
+import json
 import re
 
 import pytest
 
+from gridspark.contracts import FRAMES, SCHEMA_VERSION, schemas_json
 from gridspark.functions import formula as f
 from gridspark.functions.text import column_letters, hints, location, python_repr
 from gridspark.operators import package
-from gridspark.operators.coverage import location_problem
+from gridspark.operators.coverage import bound_problem, confidence_problem, location_problem
 from gridspark.operators.inventory import cell_column, date_text, destinations, is_date_format
 from gridspark.sources.ooxml import column_name, moved
 
@@ -83,6 +85,15 @@ def test_location_problems(spark):
     assert list(got) == [p for _, p in cases]
 
 
+def test_contracts(spark):
+    found = json.loads(schemas_json())
+    assert set(found["frames"]) == set(FRAMES) and found["schema_version"] == SCHEMA_VERSION
+    rows = spark.createDataFrame([("input", 0.5), ("input", 1.5), ("new", 0.5), ("other", None)], "category string, confidence double").select(confidence_problem().alias("p"))
+    assert [r.p for r in rows.collect()] == [None, "confidence outside 0 to 1", "unknown category", "confidence outside 0 to 1"]
+    cells = spark.createDataFrame([(1, 1, 0), (0, 1, 0), (1, 0, 0), (1, 1, -1)], "row long, column long, sheet_index long").select(bound_problem().alias("p"))
+    assert [r.p for r in cells.collect()] == [None, "row below 1", "column below 1", "negative sheet index"]
+
+
 def test_reference_pattern_is_that_of_python(spark):
     python = re.compile(f.REFERENCE.replace(r"[\p{L}\p{N}_ .]", r"[\w .]").replace(r"\p{Nd}", r"\d"))
     for text, refs, _ in FORMULAS:

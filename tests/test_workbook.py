@@ -4,6 +4,7 @@ from pathlib import Path
 
 import pytest
 
+from gridspark.contracts import schema_of
 from gridspark.plans.pipeline import decompose
 from tests.workbooks import formula, number, package, sheet, text, three_sheets
 
@@ -23,6 +24,12 @@ def test_manifest_and_sheets(done):
     assert rows(done.inventory.sheets, "sheet_index", "sheet_name", "state", "max_row", "max_column") == [(0, "Inputs", "visible", 8, 5), (1, "Outputs", "visible", 2, 2), (2, "HiddenData", "hidden", 1, 1)]
 
 
+def test_frames_have_their_contracts(done):
+    frames = {"cells": done.inventory.cells, "ranges": done.inventory.ranges, "unsupported": done.inventory.unsupported.unionByName(done.graph.unsupported)}
+    for name, frame in frames.items():
+        assert [(f.name, f.dataType.simpleString()) for f in frame.schema] == [(f.name, f.dataType.simpleString()) for f in schema_of(name)], name
+
+
 def test_parts_and_content_types(done):
     kinds = {r.name: (r.content_type, r.opaque) for r in done.inventory.parts.collect()}
     assert kinds["xl/workbook.xml"] == ("application/workbook", False)
@@ -81,9 +88,10 @@ def test_many_files_in_one_job(spark, tmp_path: Path):
     three_sheets(tmp_path / "a.xlsx")
     (tmp_path / "legacy.xls").write_bytes(b"not a workbook")
     (tmp_path / "broken.xlsx").write_bytes(b"not a zip either")
-    package(tmp_path / "empty.xlsx", [("Only", "visible", sheet({}))])
+    package(tmp_path / "empty.xlsx", [("Only", "visible", sheet({}))], calc="")
     got = decompose(spark, [str(tmp_path / n) for n in ("a.xlsx", "legacy.xls", "broken.xlsx", "empty.xlsx")])
     names = {r.sha256: r.file_name for r in got.inventory.manifest.collect()}
+    assert {r.file_name: r.calc_mode for r in got.inventory.manifest.collect()} == {"a.xlsx": "auto", "legacy.xls": None, "broken.xlsx": None, "empty.xlsx": "auto"}
     kinds = {(names[r.sha256], r.feature_type, r.severity) for r in got.inventory.unsupported.collect()}
     assert kinds == {("a.xlsx", "drawing", "warning"), ("legacy.xls", "file_type", "error"), ("broken.xlsx", "corrupt_package", "error")}
     items = {names[r.sha256]: r["count"] for r in got.items.groupBy("sha256").count().collect()}
