@@ -163,7 +163,7 @@ def containment_matches(docs: DataFrame, benchmark: DataFrame, threshold: float
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; a row without a doc_id goes with any such row that does."""
     gone = written(containment_matches(docs, benchmark).select("doc_id").distinct())
-    kept = docs.join(gone.where("doc_id is not null").hint("shuffle_hash"), "doc_id", "left_anti")
+    kept = docs.join(gone.where("doc_id is not null"), "doc_id", "left_anti")  # a written table: the planner broadcasts it while it is small
     if not gone.where("doc_id is null").isEmpty():
         kept = kept.where("doc_id is not null")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])

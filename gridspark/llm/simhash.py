@@ -183,7 +183,7 @@ def simhash_components(docs: DataFrame, width: int = SHINGLE, bucket_rows: int =
 def drop_near_copies(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """docs without those documents whose component has a smaller doc_id. Columns are docs' own."""
     gone = written(simhash_components(docs, width).where("component_id is not null and not (doc_id <=> component_id)").select("doc_id").distinct())
-    kept = docs.join(gone.where("doc_id is not null").hint("shuffle_hash"), "doc_id", "left_anti")
+    kept = docs.join(gone.where("doc_id is not null"), "doc_id", "left_anti")  # a written table: the planner broadcasts it while it is small
     if not gone.where("doc_id is null").isEmpty():
         kept = kept.where("doc_id is not null")
     return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
