@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import written
 
-SHINGLE, THRESHOLD, BLOCK_SHINGLES, FILTER_BITS = 5, 0.8, 500_000, 20
+SHINGLE, THRESHOLD, BLOCK_SHINGLES, FILTER_BITS = 5, 0.8, 2_000_000, 20
 #: ASCII punctuation counts as white space.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 TO_SPACE = bytes.maketrans(PUNCTUATION.encode(), b" " * len(PUNCTUATION))
