@@ -13,6 +13,7 @@ from gridspark.operators import classify, confirm, coverage, graph, package
 from gridspark.operators.inventory import destinations
 from gridspark.plans import tableview as view
 from gridspark.sinks.store import checksums, merge_index
+from gridspark.sources.tables import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -182,7 +183,7 @@ _HINTS = ", ".join(f"case when regexp_matches(lower(text), '{'|'.join(tokens)}')
 
 @query(f"select doc_id, concat_ws(',', {_HINTS}) as hints from documents")
 def text_hints(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(hints(F.col("text")), ",").alias("hints"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", F.array_join(hints(F.col("text")), ",").alias("hints"))
 
 
 @query(f"with {UNSUPPORTED} select category, count(*)::bigint as n, round(avg(confidence), 6) as avg_conf from (select category, confidence from cls union all select category, confidence from rng union all select 'unsupported_opaque', 1.0 from ui) group by category")

@@ -8,10 +8,11 @@ and an explode of constant width: no shuffle, no row numbering.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.functions.text import column_letters, location
+from gridspark.sources.tables import spread
 
 VIEW, PATH, BOOK_ROWS = "view-0", "view.xlsx", 1_000_000
 #: (table, key, columns): the sheets in their order. Keys are unique and dense from 0.
@@ -37,13 +38,18 @@ TEXT_COLUMNS = frozenset(c for _, _, cs in SHEETS for c in cs if c.endswith(("st
 FORMATTED = {"o_totalprice": "#,##0.00", "c_acctbal": "#,##0.00", "p_retailprice": "0.00", "s_acctbal": "#,##0.00", "o_orderdate": "yyyy-mm-dd"}
 
 
-def formula_text(key: Column, row: Column) -> Column:
-    out = F.lit(None).cast("string")
-    for k, pattern in enumerate(FORMULAS):
-        pieces = pattern.split("{r}")
-        parts = [x for p in pieces for x in (F.lit(p), row.cast("string"))][:-1]
-        out = F.when(key % 8 == k, F.concat(*parts)).otherwise(out)
-    return out
+def literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def formula_sql(key: str, row: str) -> str:
+    """The formula of a row. Wide projections are written as SQL text: built column by column, they take longer to put
+    together than a small table takes to read."""
+
+    def pattern(text: str) -> str:
+        return "concat(" + ", ".join(x for p in text.split("{r}") for x in (literal(p), f"cast({row} as string)")).rpartition(", ")[0] + ")"
+
+    return f"case {key} % 8 " + " ".join(f"when {k} then {pattern(text)}" for k, text in enumerate(FORMULAS)) + " end"
 
 
 def value_type(column: str, kind: str) -> str:
@@ -55,25 +61,23 @@ def value_type(column: str, kind: str) -> str:
 def sheet_cells(spark: SparkSession, sf_dir: str, index: int) -> DataFrame:
     """The cells of one table, its header in the first workbook included. Values of numbers are not kept as text: their print differs by engine."""
     name, key, columns = SHEETS[index]
-    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
     kinds = dict(table.dtypes)
-    row = (F.col(key) % BOOK_ROWS + 2).cast("long")
-    book = F.concat(F.lit("view-"), F.expr(f"{key} div {BOOK_ROWS}").cast("string"))
-
-    def cell(number: int, value: Column, kind: str | None, shown: str, formula: Column) -> Column:
-        return F.struct(
-            F.lit(number).cast("long").alias("column"), value.cast("string").alias("value"), F.lit(kind).cast("string").alias("value_type"),
-            F.lit(shown).alias("number_format"), formula.cast("string").alias("formula"), value.isNull().alias("blank"),
-        )
-
-    none = F.lit(None)
-    data = [
-        cell(i, F.col(c) if c in TEXT_COLUMNS else F.when(F.col(c).isNotNull(), "0" if value_type(c, kinds[c]) != "string" else "date"), value_type(c, kinds[c]), FORMATTED.get(c, "General"), none)
-        for i, c in enumerate(columns, 1)
-    ]
-    calc = F.struct(F.lit(len(columns) + 1).cast("long").alias("column"), none.cast("string").alias("value"), none.cast("string").alias("value_type"), F.lit("General").alias("number_format"), formula_text(F.col(key), row).alias("formula"), F.lit(False).alias("blank"))
-    rows = table.select(book.alias("sha256"), row.alias("row"), F.explode(F.array(*data, calc)).alias("c"))
-    heads = spark.range(1).select(F.lit(VIEW).alias("sha256"), F.lit(1).cast("long").alias("row"), F.explode(F.array(*[cell(i, F.lit(c), "string", "General", none) for i, c in enumerate((*columns, "calc"), 1)])).alias("c"))
+    row = f"cast({key} % {BOOK_ROWS} + 2 as long)"
+
+    def cell(number: int, value: str, kind: str | None, shown: str, formula: str = "cast(null as string)", blank: str = "false") -> str:
+        typed = "cast(null as string)" if kind is None else literal(kind)
+        return f"named_struct('column', {number}L, 'value', cast({value} as string), 'value_type', {typed}, 'number_format', {literal(shown)}, 'formula', {formula}, 'blank', {blank})"
+
+    data = []
+    for i, c in enumerate(columns, 1):
+        kind = value_type(c, kinds[c])
+        value = c if c in TEXT_COLUMNS else literal("date" if kind == "string" else "0")
+        data.append(cell(i, value, kind, FORMATTED.get(c, "General"), blank=f"{c} is null"))
+    data.append(cell(len(columns) + 1, "null", None, "General", formula_sql(key, row)))
+    rows = table.where(f"{key} is not null").selectExpr(f"concat('view-', cast({key} div {BOOK_ROWS} as string)) as sha256", f"{row} as row", f"explode(array({', '.join(data)})) as c")
+    titles = [cell(i, literal(c), "string", "General") for i, c in enumerate((*columns, "calc"), 1)]
+    heads = spark.range(1).selectExpr(f"{literal(VIEW)} as sha256", "1L as row", f"explode(array({', '.join(titles)})) as c")
     cells = rows.unionByName(heads).where("not c.blank").select("sha256", "row", "c.*")
     address = F.concat(column_letters(F.col("column")), F.col("row").cast("string"))
     return cells.select(
