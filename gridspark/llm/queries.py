@@ -17,18 +17,23 @@ from gridspark.llm import simhash
 from gridspark.llm import span_dedup as repeats
 from gridspark.llm import token_count as tokens
 from gridspark.llm.common import table
+from gridspark.sources.tables import spread
 
 VOCABULARY = "byte_bpe_50k.json"
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = rules.fit_line_crf(docs, table(spark, sf_dir, "labels"))
     return rules.quality_rules(docs, model, carry=["doc_id"])
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.simhash_components(table(spark, sf_dir, "documents"))
+    return simhash.simhash_components(documents(spark, sf_dir))
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = quality.fit_size_model(docs, table(spark, sf_dir, "labels"))
     scored = quality.with_fold(quality.quality_scores(docs, model, carry=["doc_id"]))
     return scored.select("doc_id", "held_out", "score", "predicted")
@@ -51,20 +56,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     return mixing.mix(docs, mixing.source_rates(docs))
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokens.token_counts(table(spark, sf_dir, "documents"), VOCABULARY, carry=["doc_id"])
+    return tokens.token_counts(documents(spark, sf_dir), VOCABULARY, carry=["doc_id"])
 
 
 def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.containment_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks.containment_matches(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.span_report(table(spark, sf_dir, "documents"))
+    return repeats.span_report(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
