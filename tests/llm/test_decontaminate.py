@@ -66,3 +66,11 @@ def test_drop(spark):
     bench = spark.createDataFrame([(1, item)], "item_id long, text string")
     kept = d.drop_contaminated(table, bench)
     assert kept.columns == table.columns and sorted(map(str, (r.doc_id for r in kept.collect()))) == ["2", "3", "None"]
+
+
+def test_drop_spares_other_rows_of_the_same_id(spark):
+    rng = random.Random(4)
+    item, clean = prose(rng, 30), prose(rng, 50)
+    table = docs(spark, [(None, item), (None, clean), (7, item), (7, clean), (None, None)])
+    kept = d.drop_contaminated(table, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert sorted(map(str, ((r.doc_id, r.text) for r in kept.collect()))) == sorted(map(str, [(None, clean), (7, clean), (None, None)]))
