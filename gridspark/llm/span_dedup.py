@@ -12,7 +12,8 @@ are written to the shared folder; the join with all spans can then be split by t
 very many documents.
 
 Defined results: null and empty texts have no sentences; a null doc_id counts as the greatest; rows with the same
-doc_id are one document, and equal positions of it are both first; an empty table gives an empty table.
+or no doc_id and differing texts are distinct documents, in the order of a hash of the text; equal rows are one
+document, and equal positions of it are both first; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import add_columns, written
@@ -86,12 +87,20 @@ def spans(parts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int =
         yield i, filled[end - 1] - i + 1, xxhash.xxh3_128_digest(b" ".join([joined[j] for j in filled[k:end]]))[:12]
 
 
+def doc_key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))
+
+
+def text_key() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(doc, pos, n, h1, h2) of every span. doc is the doc_id, the greatest long for none."""
+    """(doc, text_key, pos, n, h1, h2) of every span. doc is the doc_id, the greatest long for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, ids = batch.column("text"), batch.column("doc").to_pylist()
+            texts, ids = batch.column("text"), list(zip(batch.column("doc").to_pylist(), batch.column("text_key").to_pylist()))
             for low in range(0, len(ids), 512):
                 doc, pos, size, digest = [], [], [], []
                 for d, t in zip(ids[low : low + 512], texts.slice(low, 512).to_pylist()):
@@ -103,21 +112,21 @@ def span_rows(docs: DataFrame) -> DataFrame:
                     doc += [d] * (len(pos) - before)
                 h = np.frombuffer(b"".join(digest), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
-                    names=["doc", "pos", "n", "h1", "h2"],
+                    [pa.array([d for d, _ in doc], pa.int64()), pa.array([k for _, k in doc], pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
+                    names=["doc", "text_key", "pos", "n", "h1", "h2"],
                 )
 
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), "text").where("text <> ''").mapInArrow(run, "doc long, pos int, n int, h1 long, h2 int")
+    return docs.select(doc_key().alias("doc"), text_key().alias("text_key"), "text").where("text <> ''").mapInArrow(run, "doc long, text_key long, pos int, n int, h1 long, h2 int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, ranges, first_docs): the sentence ranges (start, n) of each document to remove, and the documents that
+    """(doc, text_key, ranges, first_docs): the sentence ranges (start, n) of each document to remove, and the documents that
     hold their first occurrences."""
     rows = written(span_rows(docs))  # read twice; texts are split and hashed once
-    place = F.struct("doc", "pos")
-    firsts = written(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.pos").alias("first_pos")))
-    later = rows.join(firsts, ["h1", "h2"]).where("doc <> first_doc or pos <> first_pos")
-    return later.groupBy("doc").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+    place = F.struct("doc", "text_key", "pos")
+    firsts = written(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.text_key").alias("first_key"), F.col("first.pos").alias("first_pos")))
+    later = rows.join(firsts, ["h1", "h2"]).where("doc <> first_doc or text_key <> first_key or pos <> first_pos")
+    return later.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
 
 def cut_ranges(text: str | None, ranges: list[dict]) -> tuple[str, int, int]:
@@ -133,10 +142,10 @@ def cut_ranges(text: str | None, ranges: list[dict]) -> tuple[str, int, int]:
 def span_dedup(docs: DataFrame, changed_only: bool = False) -> DataFrame:
     """docs with the repeated sentences cut out of text, and n_sentences, n_removed, first_doc_ids. changed_only: only
     the documents that lose sentences."""
-    found = repeated_ranges(docs).select(F.col("doc").alias("__sd_doc"), F.col("ranges").alias("__sd_ranges"), F.col("first_docs").alias("first_doc_ids"))
+    found = repeated_ranges(docs).select(F.col("doc").alias("__sd_doc"), F.col("text_key").alias("__sd_text"), F.col("ranges").alias("__sd_ranges"), F.col("first_docs").alias("first_doc_ids"))
     keep = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "first_doc_ids")]
-    keyed = docs.select(*[F.col(f"`{c}`") for c in [*keep, "text"]]).withColumn("__sd_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)))
-    joined = keyed.join(found.hint("shuffle_hash"), "__sd_doc", "inner" if changed_only else "left")
+    keyed = docs.select(*[F.col(f"`{c}`") for c in [*keep, "text"]]).withColumns({"__sd_doc": doc_key(), "__sd_text": text_key()})
+    joined = keyed.join(found.hint("shuffle_hash"), ["__sd_doc", "__sd_text"], "inner" if changed_only else "left")
 
     def compute(columns: dict[str, list]) -> dict[str, list]:
         done = [cut_ranges(t, r or []) for t, r in zip(columns["text"], columns["__sd_ranges"])]

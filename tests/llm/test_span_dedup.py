@@ -91,3 +91,13 @@ def test_long_sentences_are_cut_alike():
 
 def test_empty(spark):
     assert s.span_report(docs(spark, odd_rows()).where("false")).count() == 0
+
+
+def test_rows_that_share_an_id_are_cut_on_their_own(spark):
+    rng = random.Random(4)
+    passage, again, unique, other = (prose(rng, 60) for _ in range(4))
+    for i in (None, 7):
+        rows = [(1, passage), (i, unique), (i, passage + "\n" + other), (i, again + "\nlast words"), (i, again + "\nfinal words")]
+        left = {r["text"] for r in collect(s.span_dedup(docs(spark, rows)))}
+        assert {passage, unique, other} <= left
+        assert sum(again in t for t in left) == 1
