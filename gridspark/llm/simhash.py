@@ -23,9 +23,10 @@ shingles have a Jaccard similarity of 0.8 or more. 64-bit fingerprints have no i
 share a band of MinHash values, and every link is verified by the shingles themselves. Its rows are documents by doc_id
 and text: rows without a doc_id have nothing to do with one another, and of equal rows one stays.
 
-Defined results: a null or empty text has fingerprint zero and links like any other; a null doc_id counts as the
-greatest (and is given back as null); rows with the same doc_id have one row each and their texts are linked through
-that id; an empty table gives an empty table.
+Defined results: a null or empty text has fingerprint zero and links like any other; rows with the same doc_id have one
+row each and their texts are linked through that id; rows without a doc_id are documents of their own, linked by their
+fingerprints only, and a component without any doc_id has the component_id null; other columns are ignored, whatever
+their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -180,15 +181,17 @@ def components(edges: DataFrame) -> DataFrame:
 
 def simhash_components(docs: DataFrame, width: int = SHINGLE, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of each document."""
-    prints = written(fingerprints(docs.select("doc_id", "text"), ["doc_id"], width).withColumn("id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")))
+    prints = written(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), ["doc_id"], width))
+    nodes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("low")))
     # rows that share a doc_id but not the fingerprint are joined through the id
-    same = prints.groupBy("id").agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("id")
-    ids = prints.join(same, "id").select("id", "fp").distinct().join(nodes, "fp").select(F.col("id").alias("a"), F.col("node").alias("b")).where("a <> b")
-    roots = components(links(nodes, bucket_rows).unionByName(ids))
-    rooted = written(nodes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("root")))
-    out = prints.join(rooted, "fp")
-    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.nullif("root", F.lit(LAST_ID)).alias("component_id"))
+    same = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("high")).where("a <> high").select("doc_id", "a")
+    ids = prints.join(same, "doc_id").select("a", F.col("fp").alias("b")).where("a <> b").distinct()
+    roots = components(links(nodes.select("fp", F.col("fp").alias("node")), bucket_rows).unionByName(ids))
+    rooted = written(nodes.join(roots, F.col("fp") == F.col("node")).select("fp", "low", "root"))
+    named = written(rooted.join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id"))
+    lone = nodes.join(named, "fp", "left_anti").select("fp", F.col("low").alias("component_id"))
+    out = prints.join(written(named.unionByName(lone)), "fp")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_words(text: str | None) -> list[bytes]:

@@ -16,8 +16,9 @@ def brute_print(text):
 
 
 def brute(rows):
+    """Nodes are documents by their doc_id; each row without one is a node of its own, after all others."""
     prints = [brute_print(t) for _, t in rows]
-    ids = [s.LAST_ID if i is None else i for i, _ in rows]
+    ids = [s.LAST_ID + k if i is None else i for k, (i, _) in enumerate(rows)]
     root = {i: i for i in ids}
 
     def find(x):
@@ -30,7 +31,7 @@ def brute(rows):
             if bin(prints[i] ^ prints[j]).count("1") <= 3:
                 a, b = sorted((find(ids[i]), find(ids[j])))
                 root[b] = a
-    last = lambda x: None if x == s.LAST_ID else x
+    last = lambda x: None if x >= s.LAST_ID else x
     return sorted(str((i, format(p, "016x"), last(find(k)))) for (i, _), p, k in zip(rows, prints, ids))
 
 
@@ -94,5 +95,15 @@ def test_drop_near_copies(spark):
     table = docs(spark, [(3, a), (1, a), (2, b), (7, None), (8, ""), (None, a), (9, b + " x")])
     kept = s.drop_near_copies(table)
     assert kept.columns == table.columns
-    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7] or sorted(r.doc_id for r in kept.collect()) == [1, 2, 7, 9]
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 7]
     assert s.drop_near_copies(table.where("false")).count() == 0
+
+
+def test_families_with_missing_ids_stay_apart(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 200) for _ in range(4))
+    rows = [(1, a), (None, a), (2, b), (None, b), (5, c), (None, d), (None, d)]
+    table = docs(spark, rows)
+    got = sorted(((r["doc_id"] or 0, r["component_id"]) for r in collect(s.simhash_components(table))), key=str)
+    assert got == sorted([(1, 1), (0, 1), (2, 2), (0, 2), (5, 5), (0, None), (0, None)], key=str)
+    assert sorted(((r.doc_id or 0, r.text) for r in s.drop_near_copies(table).collect())) == sorted([(1, a), (2, b), (5, c), (0, d)])
