@@ -20,8 +20,12 @@ folder.
 
 ``drop_near_copies`` is the stage of the corpus pipeline and has a rule of its own: texts whose sets of five-word
 shingles have a Jaccard similarity of 0.8 or more. 64-bit fingerprints have no index for that radius, so candidates
-share a band of MinHash values, and every link is verified by the shingles themselves. Its rows are documents by doc_id
-and text: rows without a doc_id have nothing to do with one another, and of equal rows one stays.
+share a band of MinHash values, and every link is verified by the shingles themselves. First each text meets a pivot,
+the most central text of its buckets (the one whose buckets hold the most texts). Only buckets that are then still
+more than one component are searched in full, inside tasks and in cells of bounded size: a pair is looked at in the
+first bucket that it shares and discarded by signatures of ``BINS`` hash minima, so that only what may be similar is
+emitted and verified. Its rows are documents by doc_id and text: rows without a doc_id have nothing to do with one
+another, and of equal rows one stays.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows with the same doc_id have one
 row each and their texts are linked through that id; rows without a doc_id are documents of their own, linked by their
@@ -55,6 +59,9 @@ REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in ra
 #: The near-copy stage: words in a shingle, least Jaccard similarity, bands and least hash values in a band. A pair at
 #: the least similarity shares no band in one of 13,000 cases (1 - 0.8**5)**24, a pair of 0.85 in 7 of 10 million.
 NEAR_SHINGLE, NEAR_LEAST, BANDS, BAND_ROWS = 5, 0.8, 24, 5
+#: Hash minima in a signature, standard deviations below the least similarity at which a signature still passes (a similar
+#: pair is lost in one of thirty thousand cases at most), and rows of a bucket that are compared in one cell.
+BINS, DEVIATIONS, CELL_ROWS = 1024, 4.0, 4096
 FACTORS = np.array([xxhash.xxh64_intdigest(f"band {i}".encode(), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
 
 
@@ -212,16 +219,13 @@ def band_keys(hashes: np.ndarray) -> np.ndarray:
 
 def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        node, size, keys = [], [], []
+        node, keys = [], []
         for text in batch.column("text").to_pylist():
             words = near_words(text)
             hashes = np.unique(shingle_hashes(words, word_hashes(words), NEAR_SHINGLE)) if words else np.empty(0, np.uint64)
             node.append(xxhash.xxh3_64_intdigest(hashes.tobytes()) - 2**63)
-            size.append(len(hashes))
             keys.append(band_keys(hashes) if words else [])
-        kinds = (pa.int64(), pa.int32(), pa.list_(pa.int64()))
-        made = [pa.array(x, k) for x, k in zip((node, size, keys), kinds)]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), *made], names=["id", "text_key", "node", "n", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_key", "node", "keys"])
 
 
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,7 +234,7 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = []
         for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]):
-            if last != b:  # rows often share the centre of a bucket
+            if last != b:  # rows often share the pivot
                 last, have = b, set(shingles_of(near_words(y), NEAR_SHINGLE))
             mine = set(shingles_of(near_words(x), NEAR_SHINGLE))
             both = len(mine & have)
@@ -240,44 +244,123 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """For each of BINS equal parts of the range of hash values a byte of the least hash in it; 0 where there is none.
+    hashes are sorted. Of two signatures, the share of equal bytes among those where either has one estimates the
+    similarity, as a sample without replacement does; sets of a few hundred shingles are nearly told in full."""
+    bins, first = np.unique(hashes >> np.uint64(64 - (BINS - 1).bit_length()), return_index=True)
+    out = np.zeros(BINS, np.uint8)
+    out[bins.astype(np.int64)] = (hashes[first] >> np.uint64(9)) % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, text, n, sig): sig is the keys of the bands, 8 bytes each, and the signature."""
+    for batch in batches:
+        size, sig = [], []
+        for text in batch.column("text").to_pylist():
+            words = near_words(text)
+            hashes = np.unique(shingle_hashes(words, word_hashes(words), NEAR_SHINGLE))
+            size.append(len(hashes))
+            sig.append(band_keys(hashes).tobytes() + signature(hashes).tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["node", "text", "n", "sig"])
+
+
+def may_be_similar(keys: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, band: int, i: int, rest: np.ndarray) -> np.ndarray:
+    """Those of the rows `rest` that may be similar to row i, of pairs that share no earlier band than this one."""
+    small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+    rest = rest[small >= NEAR_LEAST * large - 1e-9]  # sets of more unequal sizes can't be similar
+    if band:
+        rest = rest[~(keys[rest, :band] == keys[i, :band]).any(1)]
+    if not len(rest):
+        return rest
+    other, own = sigs[rest], sigs[i]
+    used = ((other | own) > 0).sum(1)
+    equal = ((other == own) & (own > 0)).sum(1)
+    union = np.maximum((sizes[rest] + sizes[i]) / (1 + NEAR_LEAST), used)  # of a pair at the least similarity
+    spread = np.sqrt(NEAR_LEAST * (1 - NEAR_LEAST) / used * (union - used + 1) / union)
+    return rest[equal >= (NEAR_LEAST - DEVIATIONS * spread) * used - 1]
+
+
+def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may be similar and are in different components, among rows sorted by cell (key, i, j)."""
+    held: list[tuple] = []
+
+    def found(rows: list[tuple]) -> pa.RecordBatch:
+        key, i, j, part, node, root, n, sig = zip(*rows)
+        node, root, part, sizes = np.array(node), np.array(root), np.array(part), np.array(n, np.int64)
+        raw = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rows), -1)
+        keys, sigs = np.ascontiguousarray(raw[:, : 8 * BANDS]).view(np.int64), raw[:, 8 * BANDS :]
+        band, left, right = int(np.flatnonzero(keys[0] == key[0])[0]), [], []
+        for x in range(len(rows) - 1):
+            rest = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & ((part[x + 1 :] != part[x]) | (i[0] == j[0])))
+            rest = may_be_similar(keys, sigs, sizes, band, x, rest)
+            left.append(np.full(len(rest), node[x]))
+            right.append(node[rest])
+        a, b = np.concatenate(left), np.concatenate(right)
+        return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+
+    for batch in batches:
+        for row in zip(*[batch.column(c).to_pylist() for c in ("key", "i", "j", "part", "node", "root", "n", "sig")]):
+            if held and held[-1][:3] != row[:3]:
+                if len(held) > 1:
+                    yield found(held)
+                held = []
+            held.append(row)
+    if len(held) > 1:
+        yield found(held)
+
+
 def row_keys(docs: DataFrame) -> DataFrame:
     """docs with __row_id (the greatest long for none) and __row_text, a hash of the text. Equal rows have equal keys;
     differing texts are distinct documents, also under one doc_id or none."""
     return docs.withColumns({"__row_id": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)), "__row_text": F.xxhash64(F.coalesce(F.col("text"), F.lit("")))})
 
 
-def near_components(keyed: DataFrame) -> DataFrame:
+def pivot_pairs_of(members: DataFrame) -> DataFrame:
+    """(a, b): each node with the pivot that it meets first, the most central node of all that share a bucket with it.
+    members: (key, node), written."""
+    sizes = written(members.groupBy("key").count())
+    central = written(members.join(sizes, "key").groupBy("node").agg(F.sum("count").alias("weight")))
+    rank = F.struct("weight", "node")
+    pivots = written(members.join(central, "node").groupBy("key").agg(F.max(rank).alias("pivot")))
+    met = members.join(pivots, "key").groupBy(F.col("node").alias("a")).agg(F.max("pivot").alias("pivot"))
+    return met.select("a", F.col("pivot.node").alias("b")).where("a <> b")
+
+
+def mixed_cells(members: DataFrame, roots: DataFrame, texts: DataFrame, cell_rows: int) -> DataFrame:
+    """The rows of the buckets that hold more than one component, dealt to cells (key, i, j). A bucket of more than cell_rows
+    rows is cut into parts, and each pair of parts is a cell, so that no task gets it whole."""
+    labelled = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts")).where("low <> high")
+    rows = written(labelled.join(mixed.select("key", "parts"), "key"))
+    part = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    cells = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return cells.join(texts.select("node", "n", "sig"), "node").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "n", "sig")
+
+
+def near_components(keyed: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     """(id, text_key, root) of each row of row_keys(): rows of one root are joined by chains of similar texts. Equal
-    shingle sets are one node. In each bucket all nodes are first compared with two of them; what is in one component
-    then needs no more comparing, and all pairs of a bucket that are still in differing components are compared."""
+    shingle sets are one node."""
     rows = keyed.select(F.col("__row_id").alias("id"), F.col("__row_text").alias("text_key"), "text")
-    prints = written(rows.mapInArrow(_sketched, "id long, text_key long, node long, n int, keys array<long>"))
-    dealt = prints.select("node", "n", F.explode("keys").alias("key"))
-    shared = written(dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high"))
-    alone = prints.select("id", "text_key", F.col("node").alias("root"))
+    prints = written(rows.mapInArrow(_sketched, "id long, text_key long, node long, keys array<long>"))
+    dealt = prints.select("node", F.explode("keys").alias("key"))
+    shared = written(dealt.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high").select("key"))
     if shared.isEmpty():
-        return alone
-    members = written(written(dealt.join(shared, "key")).distinct())
-    texts = prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"))
-    texts = written(rows.join(written(texts.select("node", "at.id", "at.text_key")), ["id", "text_key"]).select("node", "text").dropDuplicates(["node"]))
+        return prints.select("id", "text_key", F.col("node").alias("root"))
+    members = written(dealt.join(shared, "key").distinct())
+    places = prints.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min(F.struct("id", "text_key")).alias("at"))
+    texts = rows.join(written(places.select("node", "at.id", "at.text_key")), ["id", "text_key"]).select("node", "text").dropDuplicates(["node"])
+    texts = written(texts.mapInArrow(_signed, "node long, text string, n int, sig binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.toDF("a", "text_a"), texts.toDF("b", "text_b")
+        left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
 
-    to_centre = members.select(F.col("node").alias("a"), F.explode(F.array("low", "high")).alias("b")).where("a <> b")
-    tried = written(to_centre.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    links = verified(tried)
-    roots = components(links)
-    labelled = written(members.select("key", "node", "n").join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("key")
-    left = written(labelled.join(mixed, "key"))
-    right = left.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("root").alias("other"))
-    sizes = F.least("n", "m") >= F.greatest("n", "m") * F.lit(NEAR_LEAST) - 1e-9  # sets of more unequal sizes can't be similar
-    rest = written(left.join(right, "key").where((F.col("root") != F.col("other")) & (F.col("node") > F.col("b")) & sizes).select(F.col("node").alias("a"), "b"))
-    more = verified(rest.distinct().join(tried, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    links = verified(written(pivot_pairs_of(members)))
+    cells = mixed_cells(members, components(links), texts, cell_rows)
+    maybe = written(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_searched, "a long, b long"))
+    roots = components(links.unionByName(verified(maybe)))
     return prints.join(roots, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("root"))
 
 

@@ -38,6 +38,11 @@ def test_chains_in_a_crowded_bucket(spark):
     crowd = " ".join(words(rng, 200))
     rows = list(enumerate(chain)) + [(1000 + i, edited(rng, crowd, 3)) for i in range(200)]
     assert len(shingles(chain[0]) & shingles(chain[-1])) < 0.5 * len(shingles(chain[0]))
+    assert {r.doc_id for r in s.drop_near_copies(docs(spark, rows)).collect()} == firsts(rows)
+
+
+def firsts(rows):
+    """The smallest id of each component of pairs at 0.8 or more, by brute force."""
     root = {i: i for i, _ in rows}
     sets = {i: shingles(t) for i, t in rows}
     for i, a in sets.items():
@@ -45,7 +50,22 @@ def test_chains_in_a_crowded_bucket(spark):
             if j < i and root[i] != root[j] and len(a & b) >= 0.8 * len(a | b):
                 low, high = sorted((root[i], root[j]))
                 root = {k: low if r == high else r for k, r in root.items()}
-    assert {r.doc_id for r in s.drop_near_copies(docs(spark, rows)).collect()} == {i for i, r in root.items() if i == r}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_family_that_is_only_partly_similar(spark):
+    """Copies of one text, most of them too different from one another; small cells, so that buckets are cut into parts."""
+    rng = random.Random(4)
+    base = " ".join(words(rng, 150))
+    rows = [(i, edited(rng, base, rng.randint(1, 14))) for i in range(160)] + [(500 + i, " ".join(words(rng, 150))) for i in range(20)]
+    keyed = s.row_keys(docs(spark, rows))
+    want = firsts(rows)
+    assert 40 < len(want) < 170
+    for cell_rows in (s.CELL_ROWS, 16):
+        found = {}
+        for r in s.near_components(keyed, cell_rows).collect():
+            found.setdefault(r.root, []).append(r.id)
+        assert {min(x) for x in found.values()} == want
 
 
 def test_rows_without_an_id_are_distinct(spark):
