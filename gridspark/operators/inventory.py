@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from gridspark.functions.formula import is_formula
 from gridspark.functions.text import column_letters, location
 from gridspark.operators.package import file_type_problems, is_workbook, opaque_marker, opaque_problems, suffix, with_content_types
-from gridspark.sources.ooxml import read_elements, read_parts, read_workbooks
+from gridspark.sources.ooxml import distinct_workbooks, read_elements, read_parts, read_workbooks
+from gridspark.sources.tables import written
 
 # The number formats that have no text of their own in a workbook.
 BUILT_IN_FORMATS = {
@@ -205,12 +206,17 @@ def names_of(elements: DataFrame, sheets: DataFrame) -> DataFrame:
 
 
 def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
-    """All frames of the workbooks under `paths`. Files are opened once: parts and elements are kept on executors' disks
-    and made again where an executor is lost."""
-    files = read_workbooks(spark, paths)
-    raw = read_parts(files).persist()
-    elements = read_elements(raw).persist()
-    books = files.drop("content").dropDuplicates(["sha256"])
+    """All frames of the workbooks under `paths`."""
+    return inventory_of(read_workbooks(spark, paths))
+
+
+def inventory_of(files: DataFrame) -> Inventory:
+    """All frames of the workbooks in `files` (read_workbooks). Packages are unzipped and parsed once, here: parts,
+    elements and cells are tables in the shared folder, so that nothing of an earlier call is used again, and a lost
+    executor costs nothing. `temporary_tables` deletes them when the frames have been used."""
+    books = written(distinct_workbooks(files))
+    raw = written(read_parts(files.join(books.select("sha256", "path"), ["sha256", "path"], "left_semi")))
+    elements = written(read_elements(raw))
     rels = relations(elements)
     sheets = worksheets(elements, rels)
     types = lambda tag, key: elements.where(F.col("tag") == tag).select("sha256", attr(key).alias("name" if tag == "Override" else "extension"), attr("ContentType").alias("content_type"))
@@ -234,9 +240,9 @@ def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
     calc = elements.where("tag = 'calcPr'").groupBy("sha256").agg(F.max(F.coalesce(attr("calcMode"), F.lit("auto"))).alias("calc_mode"))
     facts = books.join(macro, "sha256", "left").join(global_names, "sha256", "left").join(calc, "sha256", "left")
     manifest = facts.select(
-        "sha256", F.col("path").alias("workbook_path"), "file_name", "file_size",
+        "sha256", F.col("path").alias("workbook_path"), "other_paths", "file_name", "file_size",
         (is_workbook(F.col("path")) & ((F.lower(suffix(F.col("path"))) == "xlsm") | F.coalesce("vba", F.lit(False)))).alias("is_macro_enabled"),
         F.coalesce("named", F.lit(0)).cast("long").alias("named_ranges_count"),
         F.coalesce("calc_mode", F.when(F.col("whole"), "auto")).alias("calc_mode"),  # automatic where a workbook doesn't say
     )
-    return Inventory(books, manifest, sized, parts, cells_of(elements, sheets).persist(), ranges_of(elements, sheets, rels), unsupported)
+    return Inventory(books, manifest, sized, parts, written(cells_of(elements, sheets)), ranges_of(elements, sheets, rels), unsupported)

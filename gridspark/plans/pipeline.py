@@ -10,7 +10,12 @@ from gridspark.operators.classify import classify
 from gridspark.operators.confirm import questions
 from gridspark.operators.coverage import coverage, holds
 from gridspark.operators.graph import FormulaGraph, formula_graph
-from gridspark.operators.inventory import Inventory, inventory
+from gridspark.operators.inventory import Inventory, inventory_of
+from gridspark.plugins import BUILT_IN, registry
+from gridspark.sources.ooxml import read_workbooks
+
+for _stage, _function in (("read", read_workbooks), ("inventory", inventory_of), ("graph", formula_graph), ("classify", classify), ("questions", questions)):
+    registry.implements(_stage, BUILT_IN, replace=True)(_function)
 
 
 @dataclass(frozen=True)
@@ -22,11 +27,13 @@ class Decomposition:
     coverage: DataFrame
 
 
-def decompose(spark: SparkSession, paths: str | list[str]) -> Decomposition:
-    """Lazy frames of all workbooks under `paths`: files, folders or patterns of any store that Spark reads."""
-    found = inventory(spark, paths)
-    graph = formula_graph(found.cells)
+def decompose(spark: SparkSession, paths: str | list[str], use: dict[str, str] | None = None) -> Decomposition:
+    """Frames of all workbooks under `paths`: files, folders or patterns of any store that Spark reads. Reading and
+    parsing happen here, all else is lazy. use: names of registered implementations by stage, for those not built in."""
+    stage = lambda name: registry.get(name, (use or {}).get(name, BUILT_IN))
+    found = stage("inventory")(stage("read")(spark, paths))
+    graph = stage("graph")(found.cells)
     unsupported = found.unsupported.unionByName(graph.unsupported)
-    items = classify(found.workbooks, found.cells, found.ranges, unsupported)
+    items = stage("classify")(found.workbooks, found.cells, found.ranges, unsupported)
     covered = holds(coverage(found.workbooks, found.cells, found.ranges, unsupported))
-    return Decomposition(found, graph, items, questions(items), covered)
+    return Decomposition(found, graph, items, stage("questions")(items), covered)

@@ -1,74 +1,55 @@
-"""Stages by capability and name, and the shape that each must have."""
+"""Stages by name: what `decompose` and the command line run, and what may stand in its place.
 
-from __future__ import annotations
-
-from pathlib import Path
-from typing import Any, Protocol, runtime_checkable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from gridspark.operators.graph import FormulaGraph
-from gridspark.operators.inventory import Inventory
-from gridspark.plans.pipeline import Decomposition
-
-
-@runtime_checkable
-class WorkbookReader(Protocol):
-    name: str
-
-    def read(self, spark: SparkSession, paths: str | list[str]) -> DataFrame: ...
-
-
-@runtime_checkable
-class InventoryExtractor(Protocol):
-    name: str
+    @registry.implements("graph", "no-externals")
+    def graph(cells): ...
 
-    def extract(self, spark: SparkSession, paths: str | list[str]) -> Inventory: ...
-
-
-@runtime_checkable
-class GraphBuilder(Protocol):
-    name: str
-
-    def build(self, cells: DataFrame) -> FormulaGraph: ...
-
-
-@runtime_checkable
-class Classifier(Protocol):
-    name: str
-
-    def classify(self, workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame) -> DataFrame: ...
+    decompose(spark, paths, use={"graph": "no-externals"})
+"""
 
+from __future__ import annotations
 
-@runtime_checkable
-class ConfirmationBuilder(Protocol):
-    name: str
+import inspect
+from collections.abc import Callable
 
-    def questions(self, items: DataFrame) -> DataFrame: ...
+BUILT_IN = "built-in"
+#: The arguments that each stage is called with, in order.
+SHAPES = {
+    "read": ("spark", "paths"),
+    "inventory": ("files",),
+    "graph": ("cells",),
+    "classify": ("workbooks", "cells", "ranges", "unsupported"),
+    "questions": ("items",),
+    "store": ("done", "out"),
+}
 
 
-@runtime_checkable
-class Store(Protocol):
-    name: str
-    out: Path
+class StageRegistry:
+    """Functions by stage and name. Unknown stages and names are KeyErrors."""
 
-    def write_runs(self, done: Decomposition, run_id: str | None = None, replace: bool = False) -> list[Any]: ...
+    def __init__(self) -> None:
+        self.found: dict[str, dict[str, Callable]] = {stage: {} for stage in SHAPES}
 
+    def implements(self, stage: str, name: str, replace: bool = False) -> Callable[[Callable], Callable]:
+        """A decorator that registers a function; one that can't be called as the stage is, or whose name is taken, is refused."""
+        known = self.found[stage]
 
-class PluginRegistry:
-    def __init__(self) -> None:
-        self._found: dict[tuple[str, str], Any] = {}
+        def add(function: Callable) -> Callable:
+            if name in known and not replace:
+                raise ValueError(f"stage {stage} has an implementation named {name!r}")
+            try:
+                inspect.signature(function).bind(*SHAPES[stage])
+            except TypeError as e:
+                raise ValueError(f"stage {stage} is called with {', '.join(SHAPES[stage])}: {e}") from None
+            known[name] = function
+            return function
 
-    def register(self, capability: str, name: str, plugin: Any, *, replace: bool = False) -> None:
-        if (capability, name) in self._found and not replace:
-            raise ValueError(f"{capability} plugin {name!r} is registered")
-        self._found[capability, name] = plugin
+        return add
 
-    def get(self, capability: str, name: str) -> Any:
-        return self._found[capability, name]
+    def get(self, stage: str, name: str = BUILT_IN) -> Callable:
+        return self.found[stage][name]
 
-    def names(self, capability: str) -> list[str]:
-        return sorted(n for c, n in self._found if c == capability)
+    def names(self, stage: str) -> list[str]:
+        return sorted(self.found[stage])
 
 
-registry = PluginRegistry()
+registry = StageRegistry()

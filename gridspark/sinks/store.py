@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from gridspark.contracts import SCHEMA_VERSION
 from gridspark.plans.pipeline import Decomposition
+from gridspark.plugins import BUILT_IN, registry
 
 #: File names and the artifact type that each must hold.
 ARTIFACTS = {
@@ -150,11 +151,14 @@ def pretty(text: str) -> bytes:
     return (json.dumps(json.loads(text, object_pairs_hook=typed), indent=2, ensure_ascii=False) + "\n").encode()
 
 
+@registry.implements("store", BUILT_IN, replace=True)
+def store_runs(done: Decomposition, out: str | Path) -> list[RunRecord]:
+    return ArtifactStore(out).write_runs(done)
+
+
 class ArtifactStore:
     """Written by one driver at a time."""
 
-    name = "local_store"
-
     def __init__(self, out: str | Path) -> None:
         self.out = Path(out).expanduser().resolve()
 
@@ -235,10 +239,11 @@ class ArtifactStore:
         return RunRecord(found["run_id"], found["workbook_sha256"], found["started_at"], found["completed_at"], artifacts)
 
 
-def verify(spark: SparkSession, records: DataFrame) -> DataFrame:
-    """(name, ok) for many artifacts at once: files are hashed by tasks. records: name, path, sha256."""
-    paths = [r.path for r in records.select("path").distinct().toLocalIterator()]
-    files = spark.read.format("binaryFile").load(paths).select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("found"))
+def verify(spark: SparkSession, records: DataFrame, out: str | Path) -> DataFrame:
+    """(name, ok) for many artifacts at once: the files of the store under `out` are listed by Spark and hashed by tasks,
+    and joined to their records. records: name, path, sha256."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").load(f"{out}/workbooks")
+    files = found.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("found"))
     return checksums(records.join(files, "path", "left"))
 
 

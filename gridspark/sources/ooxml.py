@@ -33,9 +33,21 @@ ADDRESS = re.compile(r"(\$?)([A-Z]{1,3})(\$?)(\d+)(?![\d(A-Za-z_])")
 
 def read_workbooks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(sha256, path, file_name, file_size, content) of each file."""
-    files = spark.read.format("binaryFile").load(paths)
+    return as_workbooks(spark.read.format("binaryFile").load(paths))
+
+
+def as_workbooks(files: DataFrame) -> DataFrame:
+    """Files by their path and content, as read_workbooks gives them."""
     path = F.regexp_replace("path", "^file:/*", "/")
-    return files.select(F.sha2("content", 256).alias("sha256"), path.alias("path"), F.substring_index(path, "/", -1).alias("file_name"), F.col("length").alias("file_size"), "content")
+    return files.select(F.sha2("content", 256).alias("sha256"), path.alias("path"), F.substring_index(path, "/", -1).alias("file_name"), F.length("content").cast("long").alias("file_size"), "content")
+
+
+def distinct_workbooks(files: DataFrame) -> DataFrame:
+    """(sha256, path, file_name, file_size, other_paths): one row for each content. Files of the same bytes are one
+    workbook, under its smallest path that has a workbook's suffix, or else its smallest; the others are listed."""
+    rank = F.struct((~is_workbook(F.col("path"))).alias("no_workbook"), F.col("path"), F.col("file_name"), F.col("file_size"))
+    books = files.groupBy("sha256").agg(F.min(rank).alias("first"), F.sort_array(F.collect_set("path")).alias("paths"))
+    return books.select("sha256", "first.path", "first.file_name", "first.file_size", F.array_remove("paths", F.col("first.path")).alias("other_paths"))
 
 
 def read_parts(workbooks: DataFrame) -> DataFrame:

@@ -1,8 +1,13 @@
-"""Tables as they are scanned."""
+"""Tables as they are scanned, and tables written for the length of a job."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 
 
 def spread(scan: DataFrame) -> DataFrame:
@@ -10,3 +15,51 @@ def spread(scan: DataFrame) -> DataFrame:
     dealt anew (that is, shuffled) only then. A scan with as many partitions as there are cores stays what it is."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share. Only where none is set and driver and tasks
+    are one process (tests, one machine) is one made here."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = tempfile.mkdtemp(prefix="gridspark-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+#: For each open `temporary_tables` the tables written since.
+_OPEN: list[list[str]] = []
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder. Unlike a checkpoint it is read as a plain scan, so that the planner knows its
+    size and is free to deal it out anew (a skewed join needs that)."""
+    path = f"{shared_folder(df.sparkSession)}/gridspark-{uuid.uuid4().hex}"
+    for paths in _OPEN:
+        paths.append(path)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary_tables(spark: SparkSession) -> Iterator[None]:
+    """What `written` writes inside is deleted at the end, so results must be written or collected before."""
+    paths: list[str] = []
+    _OPEN.append(paths)
+    try:
+        yield
+    finally:
+        _OPEN[:] = [p for p in _OPEN if p is not paths]
+        for path in paths:
+            delete(spark, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """The folder is removed from whatever file system holds it."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

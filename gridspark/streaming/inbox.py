@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from gridspark.plans.pipeline import decompose
 from gridspark.sinks.store import write_tables
+from gridspark.sources.tables import temporary_tables
 
 
 def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.xls[xm]", once: bool = False, files_per_batch: int = 1000) -> StreamingQuery:
@@ -19,7 +20,8 @@ def watch(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern:
     def put(batch: DataFrame, number: int) -> None:
         paths = [r.path for r in batch.select(F.regexp_replace("path", "^file:/*", "/").alias("path")).collect()]
         if paths:
-            write_tables(decompose(batch.sparkSession, paths), out, f"batch-{number:09d}")
+            with temporary_tables(batch.sparkSession):
+                write_tables(decompose(batch.sparkSession, paths), out, f"batch-{number:09d}")
 
     writer = files.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="1 minute")).start()

@@ -8,7 +8,7 @@ from gridspark.contracts import SCHEMA_VERSION
 from gridspark.operators.confirm import apply_decisions
 from gridspark.operators.coverage import holds
 from gridspark.plans.pipeline import decompose
-from gridspark.plugins import GraphBuilder, PluginRegistry, Store
+from gridspark.plugins import StageRegistry, registry
 from gridspark.sinks.store import ARTIFACTS, ArtifactStore, merge_index, new_run_id, verify, write_tables
 from gridspark.streaming.inbox import watch
 from tests.workbooks import three_sheets
@@ -62,7 +62,7 @@ def test_second_run_index_and_reads(spark, stored):
     for run in (first["run_id"], second):
         assert len(list((out / "workbooks" / sha / run).iterdir())) == 6
     records = spark.createDataFrame([(a["name"], a["path"], a["sha256"]) for a in first["artifacts"][:5]] + [("changed", first["artifacts"][0]["path"], "0")], "name string, path string, sha256 string")
-    assert {r.name: r.ok for r in verify(spark, records).collect()} == {a["name"]: True for a in first["artifacts"][:5]} | {"changed": False}
+    assert {r.name: r.ok for r in verify(spark, records, out).collect()} == {a["name"]: True for a in first["artifacts"][:5]} | {"changed": False}
 
 
 def test_damage_is_found(spark, stored, tmp_path: Path):
@@ -103,16 +103,25 @@ def test_tables_and_stream(spark, stored, tmp_path: Path):
     assert spark.read.parquet(str(tmp_path / "more" / "cells")).count() == 15
 
 
-def test_registry():
-    registry, plugin = PluginRegistry(), object()
-    registry.register("reader", "fake", plugin)
-    assert registry.get("reader", "fake") is plugin and registry.names("reader") == ["fake"] and registry.names("none") == []
-    with pytest.raises(ValueError):
-        registry.register("reader", "fake", object())
-    registry.register("reader", "fake", 1, replace=True)
+def test_stages_are_found_by_name_and_used(spark, stored, tmp_path: Path, capsys):
+    own = StageRegistry()
+    own.implements("questions", "none")(lambda items: items.limit(0))
+    own.implements("questions", "all")(lambda items, sure=0.0: items)
+    assert own.names("questions") == ["all", "none"] and own.names("graph") == []
+    for stage, name, function in (("questions", "none", lambda items: items), ("graph", "two", lambda a, b: a), ("read", "short", lambda spark: None)):
+        with pytest.raises(ValueError, match="stage"):
+            own.implements(stage, name)(function)
     with pytest.raises(KeyError):
-        registry.get("none", "x")
-    assert isinstance(ArtifactStore("x"), Store) and not isinstance(plugin, GraphBuilder)
+        own.get("graph", "missing")
+    with pytest.raises(KeyError):
+        own.get("paint", "any")
+    registry.implements("questions", "first-only", replace=True)(lambda items: registry.get("questions")(items.where("id = 'cell:Inputs!A1'")))
+    done = decompose(spark, str(stored / "book.xlsx"), {"questions": "first-only"})
+    assert [r.id for r in done.questions.collect()] == ["confirm:cell:Inputs!A1"]
+    assert cli.main(["inspect", str(stored / "book.xlsx"), "-o", str(tmp_path), "--use", "questions=first-only"], spark) == 0
+    assert len(json.loads((tmp_path / "confirmation_template.json").read_text())["questions"]) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["inspect", str(stored / "book.xlsx"), "--use", "questions=no-such"], spark)
 
 
 def test_index_merge_decisions_coverage(spark):

@@ -99,6 +99,30 @@ def test_many_files_in_one_job(spark, tmp_path: Path):
     assert [(r.id, r.confidence) for r in got.items.where("id = 'workbook:empty'").collect()] == [("workbook:empty", 0.1)]
 
 
+def test_equal_files_are_one_workbook(spark, tmp_path: Path):
+    first = three_sheets(tmp_path / "b.xlsx")
+    for copy in ("a.xls", "c.xlsx", "d.xlsm"):
+        (tmp_path / copy).write_bytes(first.read_bytes())
+    (tmp_path / "e.txt").write_bytes(b"neither")
+    (tmp_path / "f.txt").write_bytes(b"neither")
+    got = decompose(spark, str(tmp_path))
+    listed = {r.file_name: [p.rpartition("/")[2] for p in r.other_paths] for r in got.inventory.manifest.collect()}
+    assert listed == {"b.xlsx": ["a.xls", "c.xlsx", "d.xlsm"], "e.txt": ["f.txt"]}
+    assert (got.inventory.cells.count(), got.inventory.sheets.count(), got.graph.edges.count()) == (15, 3, 6)
+    assert rows(got.inventory.sheets, "sheet_index", "sheet_name") == [(0, "Inputs"), (1, "Outputs"), (2, "HiddenData")]
+    assert got.items.count() == 26 + 1
+    assert got.inventory.parts.count() == got.inventory.parts.select("name").distinct().count()
+
+
+def test_a_folder_that_grows_is_read_anew(spark, tmp_path: Path):
+    three_sheets(tmp_path / "a.xlsx")
+    assert decompose(spark, str(tmp_path)).inventory.unsupported.count() == 1
+    (tmp_path / "broken.xlsx").write_bytes(b"no zip")
+    kinds = sorted(r.feature_type for r in decompose(spark, str(tmp_path)).inventory.unsupported.collect())
+    assert kinds == ["corrupt_package", "drawing"]
+    assert len(spark.sparkContext._jsc.getPersistentRDDs()) == 0
+
+
 def test_values_formulas_and_names(spark, tmp_path: Path):
     xml = sheet({
         1: [number("A1", 45292, 2), number("B1", 45292.5, 2), '<c r="C1" t="b"><v>1</v></c>', '<c r="D1" t="e"><v>#DIV/0!</v></c>', text("E1", "=typed"), number("F1", "1.5E3", 3)],
