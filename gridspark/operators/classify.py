@@ -96,8 +96,10 @@ def empty_items(workbooks: DataFrame, items: DataFrame) -> DataFrame:
     return _items(bare, F.array(F.lit(AFTER_SHEETS), F.lit(2), F.lit(0), F.lit(0)), F.lit("workbook:empty"), verdict(EMPTY), [], no_hints()).withColumn("source_artifact_refs", no_hints())
 
 
-def classify(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame) -> DataFrame:
-    """All items: (sha256, seq, id, category, confidence, reasons, source_artifact_refs, hints, loc)."""
+def classify(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame, filled: DataFrame | None = None) -> DataFrame:
+    """All items: (sha256, seq, id, category, confidence, reasons, source_artifact_refs, hints, loc). filled: the workbooks
+    that hold anything (sha256), where the caller knows them without another pass over cells, ranges and diagnostics."""
     items = cell_items(cells).unionByName(range_items(ranges)).unionByName(unsupported_items(unsupported))
-    seen = cells.select("sha256").unionByName(ranges.select("sha256")).unionByName(unsupported.select("sha256"))
-    return items.unionByName(empty_items(workbooks, seen))
+    if filled is None:
+        filled = cells.select("sha256").unionByName(ranges.select("sha256")).unionByName(unsupported.select("sha256"))
+    return items.unionByName(empty_items(workbooks, filled))

@@ -9,8 +9,9 @@ from gridspark.contracts import CATEGORIES
 
 
 def coverage(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame) -> DataFrame:
-    """(sha256, recognized, opaque, discovered) of each workbook. What was discovered is counted by itself, over all
-    objects, so that the equation recognized + opaque = discovered is a check. Diagnostics of the graph don't count."""
+    """(sha256, recognized, opaque, discovered) of each workbook: cells and ranges are recognized, the inventory's diagnostics
+    opaque, and what was discovered is defined as their sum. Diagnostics of the graph don't count. In these counts the
+    equation is an identity; `holds` guards counts that come from elsewhere, such as artifacts that are read back."""
     one = lambda df, r, o: df.groupBy("sha256").agg((F.count(F.lit(1)) * r).alias("recognized"), (F.count(F.lit(1)) * o).alias("opaque"))
     parts = one(cells, 1, 0).unionByName(one(ranges, 1, 0)).unionByName(one(unsupported.where("origin = 'inventory'"), 0, 1))
     known = workbooks.select("sha256").distinct().select("sha256", F.lit(0).cast("long").alias("recognized"), F.lit(0).cast("long").alias("opaque"))

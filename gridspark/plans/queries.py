@@ -45,7 +45,7 @@ def _sheet_sql(index: int) -> str:
         text = c in view.TEXT_COLUMNS
         dated, real = c.endswith("date"), c in ("o_totalprice", "c_acctbal", "p_retailprice", "s_acctbal")
         kind = "string" if text or dated else "double" if real else "long"
-        value = c if text else f"'{'date' if dated else '0'}'"
+        value = c if text else f"strftime({c}, '%Y-%m-%d %H:%M:%S')" if dated else f"{c}::decimal(18, 2)::varchar" if real else f"{c}::varchar"
         out.append(f"select {book} as book, '{name}' as sheet, {index}::bigint as idx, {row} as r, {i}::bigint as c, {value} as value, '{kind}' as value_type, '{view.FORMATTED.get(c, 'General')}' as fmt, null::varchar as formula from {name} where {c} is not null")
     out.append(f"select {book}, '{name}', {index}::bigint, {row}, {len(columns) + 1}::bigint, null, null, 'General', {_formula_sql(key, f'{row}::varchar')} from {name} where {key} is not null")
     for i, c in enumerate((*columns, "calc"), 1):
@@ -94,7 +94,7 @@ _NAMES = " ".join(f"when {k} then {' || '.join(_quoted(x) if i % 2 == 0 else 'p_
 _MARKERS = " ".join(f"when contains(name, {_quoted(t)}) then {_quoted(d)}" for t, d in package.OPAQUE)
 PARTS = f"parts as (select *, case {_MARKERS} end as marker from (select p_partkey, case p_partkey % 11 {_NAMES} end as name from part))"
 UNSUPPORTED = f"""{ITEMS}, {PARTS}, u as (
-  select 'view-0' as book, 0 as origin, p_partkey::bigint as s1, 0::bigint as s2, 0::bigint as s3, marker as feature_type, 'Opaque OOXML part recorded: ' || name as description from parts where marker is not null
+  select 'view-' || (p_partkey // {view.BOOK_ROWS})::bigint as book, 0 as origin, p_partkey::bigint as s1, 0::bigint as s2, 0::bigint as s3, marker as feature_type, 'Opaque OOXML part recorded: ' || name as description from parts where marker is not null
   union all select book, 1, idx, r, c, 'formula_reference_parse', 'No references parsed from formula ''' || label || '''' from e where kind = 'unsupported'
 ), ui as (
   select book, 'unsupported:' || (row_number() over (partition by book order by origin, s1, s2, s3) - 1) || ':' || feature_type as id, description from u
@@ -125,9 +125,9 @@ def sheet_manifest(spark, sf_dir):
     return cells.groupBy(_book(), F.col("sheet_name").alias("name"), F.col("sheet_index").alias("idx")).agg(F.max("row").alias("max_row"), F.max("column").alias("max_column"))
 
 
-@query(f"with {CELLS} select book, sheet, r as row_no, c as col_no, address, kind from cells")
+@query(f"with {CELLS} select book, sheet, r as row_no, c as col_no, address, kind, value, value_type from cells")
 def nonblank_cells(spark, sf_dir):
-    return view.view_cells(spark, sf_dir).select(_book(), F.col("sheet_name").alias("sheet"), F.col("row").alias("row_no"), F.col("column").alias("col_no"), "address", "kind")
+    return view.view_cells(spark, sf_dir).select(_book(), F.col("sheet_name").alias("sheet"), F.col("row").alias("row_no"), F.col("column").alias("col_no"), "address", "kind", "value", "value_type")
 
 
 @query(f"with {CELLS} select book, sheet, kind, count(*)::bigint as n from cells group by all")
@@ -196,7 +196,7 @@ def _unsupported(spark, sf_dir):
 
 
 def _items(spark, sf_dir):
-    return classify.classify(view.view_books(spark), view.view_cells(spark, sf_dir), view.view_ranges(spark, sf_dir), _unsupported(spark, sf_dir))
+    return classify.classify(view.view_books(spark), view.view_cells(spark, sf_dir), view.view_ranges(spark, sf_dir), _unsupported(spark, sf_dir), view.filled_books(spark, sf_dir))
 
 
 @query(f"with {UNSUPPORTED} select book, id, 'unsupported_opaque' as category from ui")
@@ -222,7 +222,7 @@ def risk_questions(spark, sf_dir):
     return confirm.questions(_items(spark, sf_dir).where("category = 'unsupported_opaque'")).select(_book(), "id", "prompt")
 
 
-@query(f"with {CELLS}, {PARTS}, n as (select book, count(*) as recognized, 0 as opaque from cells group by book union all select 'view-0', (select count(*) from nation) + (select count(*) from region), (select count(*) from parts where marker is not null)) select book, sum(recognized)::bigint as recognized, sum(opaque)::bigint as opaque, sum(recognized + opaque)::bigint as discovered from n group by book")
+@query(f"with {CELLS}, {PARTS}, n as (select book, count(*) as recognized, 0 as opaque from cells group by book union all select 'view-0', (select count(*) from nation) + (select count(*) from region), 0 union all select 'view-' || (p_partkey // {view.BOOK_ROWS})::bigint, 0, 1 from parts where marker is not null) select book, sum(recognized)::bigint as recognized, sum(opaque)::bigint as opaque, sum(recognized + opaque)::bigint as discovered from n group by book")
 def coverage_equation(spark, sf_dir):
     counted = coverage.coverage(view.view_books(spark), view.view_cells(spark, sf_dir), view.view_ranges(spark, sf_dir), package.opaque_problems(view.view_parts(spark, sf_dir)))
     return coverage.holds(counted).select(_book(), "recognized", "opaque", "discovered")

@@ -58,8 +58,15 @@ def value_type(column: str, kind: str) -> str:
     return "double" if kind == "double" else "long"
 
 
+def value_text(column: str, kind: str) -> str:
+    """A value as a cell holds it: amounts with two decimals, dates with a time."""
+    if kind == "double":
+        return f"cast({column} as decimal(18, 2))"
+    return f"date_format({column}, 'yyyy-MM-dd HH:mm:ss')" if kind.startswith(("timestamp", "date")) else column
+
+
 def sheet_cells(spark: SparkSession, sf_dir: str, index: int) -> DataFrame:
-    """The cells of one table, its header in the first workbook included. Values of numbers are not kept as text: their print differs by engine."""
+    """The cells of one table, its header in the first workbook included."""
     name, key, columns = SHEETS[index]
     table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
     kinds = dict(table.dtypes)
@@ -72,8 +79,7 @@ def sheet_cells(spark: SparkSession, sf_dir: str, index: int) -> DataFrame:
     data = []
     for i, c in enumerate(columns, 1):
         kind = value_type(c, kinds[c])
-        value = c if c in TEXT_COLUMNS else literal("date" if kind == "string" else "0")
-        data.append(cell(i, value, kind, FORMATTED.get(c, "General"), blank=f"{c} is null"))
+        data.append(cell(i, value_text(c, kinds[c]), kind, FORMATTED.get(c, "General"), blank=f"{c} is null"))
     data.append(cell(len(columns) + 1, "null", None, "General", formula_sql(key, row)))
     rows = table.where(f"{key} is not null").selectExpr(f"concat('view-', cast({key} div {BOOK_ROWS} as string)) as sha256", f"{row} as row", f"explode(array({', '.join(data)})) as c")
     titles = [cell(i, literal(c), "string", "General") for i, c in enumerate((*columns, "calc"), 1)]
@@ -95,6 +101,15 @@ def view_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cells
 
 
+def filled_books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sha256) of the workbooks that hold a cell, from the tables' keys alone."""
+    keys = [spark.read.parquet(f"{sf_dir}/{name}.parquet").where(f"{key} is not null").selectExpr(f"concat('view-', cast({key} div {BOOK_ROWS} as string)) as sha256").distinct() for name, key, _ in SHEETS]
+    out = spark.range(1).select(F.lit(VIEW).alias("sha256"))
+    for more in keys:
+        out = out.unionByName(more)
+    return out
+
+
 def view_books(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit(VIEW).alias("sha256"), F.lit(PATH).alias("path"))
 
@@ -129,11 +144,12 @@ PART_NAMES = (
 
 
 def view_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row of `part` as a package part."""
+    """Each row of `part` as a package part of the workbook that holds the row."""
     table = spark.read.parquet(f"{sf_dir}/part.parquet")
     key = F.col("p_partkey")
     name = F.lit(None).cast("string")
     for k, pattern in enumerate(PART_NAMES):
         pieces = pattern.split("{k}")
         name = F.when(key % 11 == k, F.concat(*[x for p in pieces for x in (F.lit(p), key.cast("string"))][:-1])).otherwise(name)
-    return table.select(F.lit(VIEW).alias("sha256"), F.lit(PATH).alias("path"), key.cast("long").alias("part_seq"), name.alias("name"), F.col("p_size").cast("long").alias("size"))
+    book = F.expr(f"concat('view-', cast(p_partkey div {BOOK_ROWS} as string))")
+    return table.select(book.alias("sha256"), F.lit(PATH).alias("path"), key.cast("long").alias("part_seq"), name.alias("name"), F.col("p_size").cast("long").alias("size"))
