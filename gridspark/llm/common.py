@@ -10,37 +10,21 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gridspark.sources.tables import delete, temporary_tables, written
+from gridspark.sources.tables import shared_folder as checkpoint_dir
+
+__all__ = ["add_columns", "checkpoint_dir", "delete", "let", "lower_ascii", "prefix_sums", "table", "temporary_tables", "written"]
+
 #: The white space that separates words in every contract here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same as a Java / RE2 class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
-#: Rows that may be collected or broadcast as "small" without a further check.
-SMALL_ROWS = 100_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster. Only where none is set (tests, one machine) is one made here."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        import tempfile
-
-        found = tempfile.mkdtemp(prefix="gridspark-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read from there, so that a lost executor costs nothing."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def lower_ascii(col: Column) -> Column:
     """A-Z to a-z and nothing else (lower() would also fold other letters)."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -72,17 +56,6 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder. Unlike a checkpoint it is read as a plain scan, so that the planner knows its
-    size and is free to deal it out anew (a skewed join needs that)."""
-    import uuid
-
-    spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/gridspark-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with the value worked out once, also where body uses it inside a lambda function."""
     return F.element_at(F.transform(F.array(value), body), 1)
