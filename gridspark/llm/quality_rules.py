@@ -6,8 +6,9 @@ content lines decides whether the document is retained. Hard base rules (too few
 the text) reject a document before the chain is asked.
 
 The weights are fitted here, by gradient ascent on the conditional likelihood, on a bounded sample of labelled
-documents (``FIT_DOCS`` per class): the lines of a document marked good count as content, those of a document marked
-bad as boilerplate. The sample is drawn by a hash of doc_id, so that a run can be repeated.
+documents (``FIT_DOCS`` per class, and of each at most ``FIT_WINDOWS`` windows of ``FIT_LINES`` lines, spread evenly over
+a longer one): the lines of a document marked good count as content, those of a document marked bad as boilerplate.
+The sample is drawn by a hash of doc_id, so that a run can be repeated. Every document is judged by all its lines.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null doc_id is carried
 along; repeated rows are judged one by one, alike; an empty table gives an empty table; without labels of both classes
@@ -27,8 +28,8 @@ from gridspark.llm.common import SPACE, add_columns
 SYMBOLS = b"#*$%&|<>"
 UPPER, DIGITS, LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_BYTES = SPACE.encode()
-#: Labelled documents of each class that the fit may use, the longest of them in lines, and gradient steps.
-FIT_DOCS, FIT_LINES, FIT_STEPS = 300, 64, 100
+#: Labelled documents of each class that the fit may use, windows of each and lines of a window, and gradient steps.
+FIT_DOCS, FIT_WINDOWS, FIT_LINES, FIT_STEPS = 300, 8, 64, 100
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT_SHARE = 10, 20, 0.5
 
 FEATURES = (
@@ -192,13 +193,19 @@ def quality_rules(docs: DataFrame, model: LineCrf, carry: list[str] | None = Non
 def fit_line_crf(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS, steps: int = FIT_STEPS) -> LineCrf:
     """Weights from at most per_class labelled documents of each quality, chosen by a hash of doc_id."""
     chosen = labelled_sample(docs, labels, per_class)
-    rows = [(int(q), line_masks(t.encode("utf-8", "surrogatepass").split(b"\n"))) for q, t in chosen]
-    rows = [(q, m) for q, m in rows if len(m) <= FIT_LINES]
+    rows = [(int(q), w) for q, t in chosen for w in windows(line_masks(t.encode("utf-8", "surrogatepass").split(b"\n")))]
     if len({q for q, _ in rows}) < 2:
         return DEFAULT
     return fit(rows, steps)
 
 
+def windows(lines: list[int], size: int = FIT_LINES, most: int = FIT_WINDOWS) -> list[list[int]]:
+    """The lines in windows of at most `size`; of a document with more than `most` windows, that many at even distances."""
+    if len(lines) <= size * most:
+        return [lines[i : i + size] for i in range(0, len(lines), size)]
+    return [lines[i : i + size] for i in (k * (len(lines) - size) // (most - 1) for k in range(most))]
+
+
 def in_fold(labels: DataFrame, column: str) -> DataFrame:
     """(doc_id, y) of the labelled rows that a fit may use."""
     return labels.where(f"doc_id is not null and `{column}` in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", F.col(column).cast("int").alias("y"))
