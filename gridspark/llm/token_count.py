@@ -15,11 +15,12 @@ many short ones do.
 just this pair). So the encoding of a prefix has one last token, which depends on a bounded number of bytes before it,
 and the token count of a piece is what a deterministic transducer over bytes adds up. Its states are the last tokens
 of the recent prefixes, as far back as a vocabulary entry may still reach; a transition emits the change of the token
-count. It is determinised on demand, in every worker, and dropped when it outgrows ``MAX_STATES``; so is the table of
-pieces already counted (``MAX_PIECES``).
+count. It is determinised on demand, in every worker, and dropped when it outgrows ``MAX_STATES``, also in the midst of a
+piece, whose state is carried over; so is the table of pieces already counted (``MAX_PIECES``).
 
-The vocabulary is read from a `tokenizers` JSON file; special strings in texts count as the library's default has it:
-an added special token is one token, found before anything else.
+The vocabulary is read from a `tokenizers` JSON file of a byte-level BPE; one with any setting that isn't implemented here
+is refused. Special strings in texts count as the library's default has it: an added special token is one token, found
+before anything else.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows count alike; a null doc_id is carried
 along; an empty table gives an empty table.
@@ -164,6 +165,21 @@ def _rest(state: np.ndarray, columns: np.ndarray, column: np.ndarray, flat: np.n
     return np.repeat(state[:, None], STATES, axis=1)
 
 
+def refuse_unknown(spec: dict) -> None:
+    """Raises where the file asks for anything but what is implemented: no normalizer, the byte-level splitter with its
+    pattern and without a prefix blank, plain BPE, and added tokens that are found as they stand."""
+    model, split = spec["model"], spec.get("pre_tokenizer") or {}
+    wrong = [
+        *(k for k in ("normalizer", "truncation", "padding") if spec.get(k)),
+        *(k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)),
+        *(k for k in ("lstrip", "rstrip", "single_word", "normalized") if any(t.get(k) for t in spec.get("added_tokens", ()))),
+    ]
+    if model.get("type", "BPE") != "BPE" or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        wrong.append("pre_tokenizer or model type")
+    if wrong:
+        raise ValueError(f"the vocabulary file has settings that aren't implemented: {', '.join(wrong)}")
+
+
 def byte_letters() -> dict[str, int]:
     """The printable letter by which a byte-level vocabulary writes each byte (fixed by the file format)."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -197,6 +213,7 @@ class Merger:
     def load(path: str) -> Merger:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        refuse_unknown(spec)
         letters = byte_letters()
         raw = lambda word: bytes(letters[ch] for ch in word)
         specials = tuple(t["content"] for t in spec.get("added_tokens", ()))
@@ -208,10 +225,14 @@ class Merger:
             ranks[vocabulary[a], vocabulary[b]] = (rank, vocabulary[a + b])
         return Merger(tokens, ranks, specials)
 
-    def reset(self) -> None:
-        """Only the initial state: no byte read. A state: the bytes that may still be part of a longer token, and for
-        each of their prefixes, the empty one first, the last token (-1: none) and the token count, counted from the last."""
-        self.states, self.moves, self.known = [(b"", (-1,), (0,))], [{}], {(b"", (-1,), (0,)): 0}
+    def reset(self, at: int = 0) -> int:
+        """Only the initial state, no byte read, and the state `at`, whose new number is given back. A state: the bytes that
+        may still be part of a longer token, and for each of their prefixes, the empty one first, the last token (-1: none)
+        and the token count, counted from the last."""
+        kept = [(b"", (-1,), (0,))] + ([self.states[at]] if at else [])
+        self.states, self.moves, self.known = kept, [{} for _ in kept], {s: i for i, s in enumerate(kept)}
+        self.compatible.clear()
+        return len(kept) - 1
 
     def merge(self, ids: list[int]) -> list[int]:
         """Plain BPE: the pair of the lowest rank is merged, leftmost first, until none is left."""
@@ -263,11 +284,13 @@ class Merger:
         return out
 
     def count(self, piece: bytes) -> int:
-        if len(self.states) > MAX_STATES:
-            self.reset()
         at = total = 0
         for byte in piece:
-            step = self.moves[at].get(byte) or self.move(at, byte)
+            step = self.moves[at].get(byte)
+            if step is None:
+                if len(self.states) > MAX_STATES or len(self.compatible) > 4 * MAX_STATES:
+                    at = self.reset(at)
+                step = self.move(at, byte)
             at = step[0]
             total += step[1]
         return total
@@ -301,18 +324,16 @@ class Merger:
         stops = np.append(starts[1:], len(text))
         real = ~np.isin(starts, ends, assume_unique=True)
         starts, stops = starts[real], stops[real]
-        pieces, count = self.pieces, self.count
-        each = np.empty(len(starts), np.int64)
+        pieces = self.pieces
         if len(pieces) > MAX_PIECES:
             pieces.clear()
-        for i, (a, b) in enumerate(zip(starts.tolist(), stops.tolist())):
-            piece = text[a:b]
-            n = pieces.get(piece)
-            if n is None:
-                n = count(piece.encode("utf-8", "surrogatepass"))
-                if b - a <= 64:
-                    pieces[piece] = n
-            each[i] = n
+        cut = [text[a:b] for a, b in zip(starts.tolist(), stops.tolist())]
+        each = list(map(pieces.get, cut))
+        if None in each:
+            fresh = {p: self.count(p.encode("utf-8", "surrogatepass")) for p in {p for p, n in zip(cut, each) if n is None}}
+            each = [fresh[p] if n is None else n for p, n in zip(cut, each)]
+            pieces.update((p, n) for p, n in fresh.items() if len(p) <= 64)
+        each = np.array(each, np.int64)
         totals = np.add.reduceat(each, np.searchsorted(starts, ends - sizes + 1)) if len(each) else []
         np.add.at(extra, owner, totals)
         return extra.tolist()

@@ -64,3 +64,27 @@ def test_query_shape_and_odd_rows(spark, library):
     want = [(i, len((x or "").encode()), n, n > 512) for (i, x), n in zip(odd_rows(), library([x or "" for _, x in odd_rows()]))]
     assert sorted(str((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"])) for r in got) == sorted(map(str, want))
     assert t.token_counts(docs(spark, odd_rows()).where("false"), str(FILE)).count() == 0
+
+
+def test_states_stay_bounded_inside_one_piece(monkeypatch, library):
+    monkeypatch.setattr(t, "MAX_STATES", 300)
+    rng = random.Random(4)
+    text = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(20_000))
+    model = t.Merger.load(str(FILE))
+    assert model.counts([text]) == library([text])
+    assert len(model.states) <= 303 and len(model.compatible) <= 4 * 300 + 100
+
+
+def test_settings_that_are_not_implemented_are_refused():
+    import json
+
+    with open(FILE, encoding="utf-8") as f:
+        spec = json.load(f)
+    spec["model"] = {k: v for k, v in spec["model"].items() if k not in ("vocab", "merges")}
+    t.refuse_unknown(spec)
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": None}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"truncation": {"max_length": 5}}):
+        with pytest.raises(ValueError, match="implemented"):
+            t.refuse_unknown(spec | change)
+    for name in ("ignore_merges", "byte_fallback", "dropout"):
+        with pytest.raises(ValueError, match=name):
+            t.refuse_unknown(spec | {"model": spec["model"] | {name: True}})
