@@ -211,9 +211,9 @@ def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
 
 
 def inventory_of(files: DataFrame) -> Inventory:
-    """All frames of the workbooks in `files` (read_workbooks). Packages are unzipped and parsed once, here: parts,
-    elements and cells are tables in the shared folder, so that nothing of an earlier call is used again, and a lost
-    executor costs nothing. `temporary_tables` deletes them when the frames have been used."""
+    """All frames of the workbooks in `files` (read_workbooks). Packages are unzipped and parsed once, here: parts and
+    elements are tables in the shared folder, so that nothing of an earlier call is used again, and a lost executor costs
+    nothing. `temporary_tables` deletes them when the frames have been used."""
     books = written(distinct_workbooks(files))
     raw = written(read_parts(files.join(books.select("sha256", "path"), ["sha256", "path"], "left_semi")))
     elements = written(read_elements(raw))
@@ -245,4 +245,4 @@ def inventory_of(files: DataFrame) -> Inventory:
         F.coalesce("named", F.lit(0)).cast("long").alias("named_ranges_count"),
         F.coalesce("calc_mode", F.when(F.col("whole"), "auto")).alias("calc_mode"),  # automatic where a workbook doesn't say
     )
-    return Inventory(books, manifest, sized, parts, written(cells_of(elements, sheets)), ranges_of(elements, sheets, rels), unsupported)
+    return Inventory(books, manifest, sized, parts, cells_of(elements, sheets), ranges_of(elements, sheets, rels), unsupported)

@@ -18,7 +18,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridspark.operators.coverage import coverage, holds
+from gridspark.operators.graph import formula_graph
 from gridspark.operators.inventory import Inventory, inventory_of
+from gridspark.plans.pipeline import Decomposition, decompose
+from gridspark.plugins import registry
+from gridspark.sinks.store import artifact_rows
 from gridspark.sources.ooxml import as_workbooks
 
 BOOK_CUSTOMERS = 1000
@@ -182,12 +187,49 @@ def workbook_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from gridspark.operators.coverage import coverage, holds
-
     inv = books(spark, sf_dir)
     return by_file(holds(coverage(inv.workbooks, inv.cells, inv.ranges, inv.unsupported)), inv).select("file", "recognized", "opaque", "discovered")
 
 
+def workbook_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inv = books(spark, sf_dir)
+    return by_file(formula_graph(inv.cells).edges, inv).select("file", "source", "target", "relationship")
+
+
+def whole(spark: SparkSession, sf_dir: str) -> Decomposition:
+    """The decomposition of the packages, by the registered stages."""
+    return decompose(spark, sf_dir, {"read": "customers"})
+
+
+registry.implements("read", "customers", replace=True)(lambda spark, paths: book_files(spark, paths))
+
+
+def workbook_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = whole(spark, sf_dir)
+    return by_file(done.items, done.inventory).groupBy("file", "category").agg(F.count(F.lit(1)).alias("n"))
+
+
+def workbook_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON artifacts of each workbook hold, read back from their texts."""
+    rows = artifact_rows(whole(spark, sf_dir))
+    at = lambda name, path: F.get_json_object(f"`{name}`", path)
+    size = lambda name, path: F.json_array_length(at(name, path)).cast("long")
+    first = lambda key: at("inventory.json", f"$.sheets[0].{key}")
+    return rows.select(
+        at("workbook_manifest.json", "$.file_name").alias("file"), at("inventory.json", "$.schema_version").alias("version"), F.concat_ws(",", *[at(n, "$.artifact_type") for n in rows.columns[1:]]).alias("types"),
+        size("workbook_manifest.json", "$.sheets").alias("n_sheets"), size("workbook_manifest.json", "$.package_parts").alias("n_parts"), F.json_array_length(first("cells")).cast("long").alias("n_cells"),
+        at("inventory.json", "$.coverage.recognized_inventory_objects").cast("long").alias("recognized"), size("dependency_graph.json", "$.nodes").alias("n_nodes"), size("dependency_graph.json", "$.edges").alias("n_edges"),
+        size("module_classification.json", "$.items").alias("n_items"), first("cells[0].value").alias("first_value"),
+    )
+
+
+EDGES = """edge as (
+  select book, 'cell:Customers!G' || r as source, 'cell:Customers!C' || r as target from cust union all select book, 'cell:Customers!H' || r, 'cell:Customers!A' || r from cust
+  union all select book, 'cell:Customers!H' || r, 'cell:Customers!B1' from cust union all select book, 'cell:Customers!I' || r, 'cell:Nations!A' || (nation + 1) from cust where key % 5 = 0
+  union all select book, 'cell:Customers!J' || r, 'range:Customers!C' || r || ':D' || r from cust where key % 3 = 0 union all select book, 'cell:Customers!J' || r, 'cell:Nations!A1' from cust where key % 3 = 0
+)"""
+
+
 def _ranges_sql() -> str:
     row = lambda scope, kind, sheet, address, name, object_id, told, source="book": f"select file, '{scope}' as scope, '{kind}' as kind, '{sheet}' as sheet, {address} as address, {name} as name, {object_id} as object_id, {told} as told from {source}"
     on = lambda kind, address, object_id, told="''", name="''", scope="layout", source="book": row(scope, kind, "Customers", address, name, object_id, told, source)
@@ -207,7 +249,7 @@ def _ranges_sql() -> str:
 _PARTS = ("[Content_Types].xml", "xl/workbook.xml", "xl/_rels/workbook.xml.rels", "xl/styles.xml", "xl/sharedStrings.xml", "xl/worksheets/sheet1.xml", "xl/worksheets/sheet2.xml", "xl/worksheets/sheet3.xml", "xl/worksheets/_rels/sheet1.xml.rels", "xl/comments1.xml", "xl/tables/table1.xml")
 _PART_LIST = ", ".join(f"'{p}'" for p in _PARTS)
 
-QUERIES = {f.__name__: f for f in (workbook_cells, workbook_sheets, workbook_manifest, workbook_parts, workbook_ranges, workbook_coverage)}
+QUERIES = {f.__name__: f for f in (workbook_cells, workbook_sheets, workbook_manifest, workbook_parts, workbook_ranges, workbook_coverage, workbook_edges, workbook_classes, workbook_artifacts)}
 ORACLES = {
     "workbook_cells": f"with {CELLS} select 'book-' || book || '.xlsx' as file, sheet, idx::bigint as idx, r::bigint as row_no, c::bigint as col_no, address, kind, value, value_type, data_type, fmt, formula, sheet || '!' || address as object_id from cell",
     "workbook_sheets": f"with {ROWS} select file, 'Customers' as sheet, 0::bigint as idx, 'visible' as state, last_row::bigint as max_row, 10::bigint as max_column from book union all select 'book-' || book || '.xlsx', 'Nations', 1, 'visible', max(nation) + 1, 1 from cust group by book union all select file, 'Empty', 2, 'hidden', 1, 1 from book",
@@ -215,5 +257,14 @@ ORACLES = {
     "workbook_parts": f"with {ROWS}, p as (select book, file, unnest([{_PART_LIST}] || case when book % 4 = 1 then ['xl/vbaProject.bin'] else [] end || ['xl/media/image1.png']) as name, unnest(range(0, {len(_PARTS)} + 1 + (book % 4 = 1)::int)) as seq from book) "
     "select file, seq::bigint as seq, name, case when name = 'xl/workbook.xml' then 'application/workbook' when name like '%.xml' then 'application/xml' when name like '%.rels' then 'application/rels' else '' end as content_type, name like 'xl/media/%' or name like '%vbaProject.bin' as opaque from p",
     "workbook_ranges": f"with {ROWS} {_ranges_sql()}",
+    "workbook_edges": f"with {ROWS}, {EDGES} select 'book-' || book || '.xlsx' as file, source, target, 'references' as relationship from edge",
+    "workbook_classes": f"with {CELLS}, item as (select book, case when kind = 'formula' then 'formula_block' when fmt <> 'General' or value_type <> 'string' then 'input' else 'presentation' end as category, count(*) as n from cell group by all "
+    "union all select book, 'presentation', 5 from book union all select book, 'presentation', count(*) from cust where key % 50 = 0 group by book union all select book, 'input', 1 from book union all select book, 'data_table', 1 from book "
+    "union all select book, 'other', 7 from book union all select book, 'unsupported_opaque', 1 + (book % 4 = 1)::int from book) select 'book-' || book || '.xlsx' as file, category, sum(n)::bigint as n from item group by all",
+    "workbook_artifacts": f"with {CELLS}, {EDGES}, h as (select book, count(*) as n from cust where key % 50 = 0 group by book), c as (select book, count(*) as n, count(*) filter (where sheet = 'Customers') as own from cell group by book), "
+    "e as (select book, count(*) as n from edge group by book), n as (select book, count(distinct id) as n from (select book, source as id from edge union all select book, target from edge) group by book) "
+    "select file, 'phase1.v1' as version, 'workbook_manifest,workbook_inventory,formula_graph,module_classification,confirmation_template' as types, 3::bigint as n_sheets, (12 + (b.book % 4 = 1)::int)::bigint as n_parts, c.own::bigint as n_cells, "
+    "(c.n + 14 + coalesce(h.n, 0))::bigint as recognized, n.n::bigint as n_nodes, e.n::bigint as n_edges, (c.n + 14 + coalesce(h.n, 0) + 1 + (b.book % 4 = 1)::int)::bigint as n_items, 'key' as first_value "
+    "from book b join c using (book) left join h using (book) join e using (book) join n using (book)",
     "workbook_coverage": f"with {CELLS}, n as (select book, count(*) as recognized, 0 as opaque from cell group by book union all select book, 14 + (select count(*) from cust c where c.book = b.book and c.key % 50 = 0), 1 + (book % 4 = 1)::int from book b) select 'book-' || book || '.xlsx' as file, sum(recognized)::bigint as recognized, sum(opaque)::bigint as opaque, sum(recognized + opaque)::bigint as discovered from n group by book",
 }

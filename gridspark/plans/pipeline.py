@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +13,7 @@ from gridspark.operators.graph import FormulaGraph, formula_graph
 from gridspark.operators.inventory import Inventory, inventory_of
 from gridspark.plugins import BUILT_IN, registry
 from gridspark.sources.ooxml import read_workbooks
+from gridspark.sources.tables import written
 
 for _stage, _function in (("read", read_workbooks), ("inventory", inventory_of), ("graph", formula_graph), ("classify", classify), ("questions", questions)):
     registry.implements(_stage, BUILT_IN, replace=True)(_function)
@@ -32,6 +33,7 @@ def decompose(spark: SparkSession, paths: str | list[str], use: dict[str, str] |
     parsing happen here, all else is lazy. use: names of registered implementations by stage, for those not built in."""
     stage = lambda name: registry.get(name, (use or {}).get(name, BUILT_IN))
     found = stage("inventory")(stage("read")(spark, paths))
+    found = replace(found, cells=written(found.cells))  # every later stage reads them
     graph = stage("graph")(found.cells)
     unsupported = found.unsupported.unionByName(graph.unsupported)
     items = stage("classify")(found.workbooks, found.cells, found.ranges, unsupported)

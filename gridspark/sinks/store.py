@@ -24,7 +24,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.contracts import SCHEMA_VERSION
+from gridspark.contracts import ANY, ARTIFACT_SHAPES, SCHEMA_VERSION, mismatch, schema_of
 from gridspark.plans.pipeline import Decomposition
 from gridspark.plugins import BUILT_IN, registry
 
@@ -219,6 +219,8 @@ class ArtifactStore:
             raise ValueError(f"unsupported schema_version in {path}: {found.get('schema_version')!r}")
         if artifact_type and found.get("artifact_type") != artifact_type:
             raise ValueError(f"{path} holds {found.get('artifact_type')!r}, not {artifact_type!r}")
+        if version == SCHEMA_VERSION and (wrong := mismatch(found, ARTIFACT_SHAPES.get(artifact_type or found.get("artifact_type"), ANY))):
+            raise ValueError(f"{path} has not the shape of {artifact_type}: {wrong}")
         return found
 
     def read_artifact(self, record: ArtifactRecord) -> dict:
@@ -261,11 +263,26 @@ def merge_index(runs: DataFrame, new: DataFrame) -> DataFrame:
     return merged.withColumn("is_latest", F.row_number().over(newest) == 1)
 
 
-def write_tables(done: Decomposition, folder: str, run_id: str) -> None:
-    """All frames as Parquet tables partitioned by run, for corpora of workbooks."""
-    frames = {
+def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A frame that write_tables has written, of all runs, by its contract: columns of other types are refused, and
+    further columns (the run_id) come after."""
+    found = spark.read.parquet(f"{folder.rstrip('/')}/{name}")
+    kinds = dict(found.dtypes)
+    wrong = [f.name for f in schema_of(name) if kinds.get(f.name) != f.dataType.simpleString()]
+    if wrong:
+        raise ValueError(f"table {name} under {folder} has not the contract's columns: {', '.join(wrong)}")
+    return found
+
+
+def frames_of(done: Decomposition) -> dict[str, DataFrame]:
+    """All frames of a decomposition by the names of their contracts."""
+    return {
         "manifest": done.inventory.manifest, "sheets": done.inventory.sheets, "parts": done.inventory.parts, "cells": done.inventory.cells, "ranges": done.inventory.ranges,
         "unsupported": done.inventory.unsupported.unionByName(done.graph.unsupported), "nodes": done.graph.nodes, "edges": done.graph.edges, "items": done.items, "questions": done.questions, "coverage": done.coverage,
     }
-    for name, df in frames.items():
+
+
+def write_tables(done: Decomposition, folder: str, run_id: str) -> None:
+    """All frames as Parquet tables partitioned by run, for corpora of workbooks, on any file system."""
+    for name, df in frames_of(done).items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}/run_id={run_id}")

@@ -4,8 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gridspark.plans.queries import ORACLES, QUERIES
+from gridspark.plans import bookview, queries
 
+QUERIES, ORACLES = queries.QUERIES | bookview.QUERIES, queries.ORACLES | bookview.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "documents")
 

@@ -9,7 +9,7 @@ from gridspark.operators.confirm import apply_decisions
 from gridspark.operators.coverage import holds
 from gridspark.plans.pipeline import decompose
 from gridspark.plugins import StageRegistry, registry
-from gridspark.sinks.store import ARTIFACTS, ArtifactStore, merge_index, new_run_id, verify, write_tables
+from gridspark.sinks.store import ARTIFACTS, ArtifactStore, merge_index, new_run_id, read_table, verify, write_tables
 from gridspark.streaming.inbox import watch
 from tests.workbooks import three_sheets
 
@@ -84,6 +84,19 @@ def test_damage_is_found(spark, stored, tmp_path: Path):
         store.read_json(other)
 
 
+def test_artifacts_of_another_shape_are_refused(stored, tmp_path: Path):
+    store = ArtifactStore(stored / "out")
+    for name, kind in ARTIFACTS.items():
+        assert store.read_json(stored / "out" / name, kind)["artifact_type"] == kind
+    good = json.loads((stored / "out" / "dependency_graph.json").read_text())
+    changes = {"nodes": {}, "edges": [good["edges"][0] | {"source": 5}], "unsupported_features": [{"feature_type": "x"}], "more": 1}
+    for key, value in changes.items():
+        path = tmp_path / f"{key}.json"
+        path.write_text(json.dumps(good | {key: value}))
+        with pytest.raises(ValueError, match="shape"):
+            store.read_json(path, "formula_graph")
+
+
 def test_cli_refuses_missing_files(capsys, spark):
     with pytest.raises(SystemExit):
         cli.main(["inspect", "/no/such/book.xlsx"], spark)
@@ -100,7 +113,10 @@ def test_tables_and_stream(spark, stored, tmp_path: Path):
         watch(spark, str(inbox), str(tmp_path / "tables"), str(tmp_path / "check"), once=True).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "tables" / "items")).groupBy("run_id").count().collect() == [("batch-000000000", 26)]
     write_tables(decompose(spark, str(stored / "book.xlsx")), str(tmp_path / "more"), "r1")
-    assert spark.read.parquet(str(tmp_path / "more" / "cells")).count() == 15
+    assert read_table(spark, str(tmp_path / "more"), "cells").count() == 15
+    spark.range(1).withColumnRenamed("id", "sha256").write.parquet(str(tmp_path / "odd" / "coverage"))
+    with pytest.raises(ValueError, match="recognized"):
+        read_table(spark, str(tmp_path / "odd"), "coverage")
 
 
 def test_stages_are_found_by_name_and_used(spark, stored, tmp_path: Path, capsys):

@@ -1,11 +1,13 @@
 """The three-sheet workbook, end to end, against counts worked out by hand (FIXTURES.md)."""
 
+import json
 from pathlib import Path
 
 import pytest
 
-from gridspark.contracts import schema_of
+from gridspark.contracts import FRAMES, schema_of, schemas_json
 from gridspark.plans.pipeline import decompose
+from gridspark.sinks.store import frames_of
 from tests.workbooks import formula, number, package, sheet, text, three_sheets
 
 
@@ -25,7 +27,8 @@ def test_manifest_and_sheets(done):
 
 
 def test_frames_have_their_contracts(done):
-    frames = {"cells": done.inventory.cells, "ranges": done.inventory.ranges, "unsupported": done.inventory.unsupported.unionByName(done.graph.unsupported)}
+    frames = frames_of(done)
+    assert set(frames) == set(FRAMES) == set(json.loads(schemas_json())["frames"])
     for name, frame in frames.items():
         assert [(f.name, f.dataType.simpleString()) for f in frame.schema] == [(f.name, f.dataType.simpleString()) for f in schema_of(name)], name
 
