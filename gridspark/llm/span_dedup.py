@@ -1,11 +1,11 @@
 """Substring dedup: sliding sentence spans that occur elsewhere before are removed.
 
 A text is cut into sentences: after closing punctuation followed by white space, at line ends, and inside sentences
-of over ``LONG`` words after words chosen by their hash (and in runs of one word), so that equal passages are cut alike wherever they stand.
-From every sentence on a span is taken: at least ``MIN_SENTENCES`` sentences and at least ``MIN_WORDS`` words. All
-spans are hashed (words in lower case A-Z, one blank between them) to 96 bits and joined globally. A span's first
-occurrence, by doc_id and position, stays; the sentences covered by any other occurrence are removed, with the white
-space that follows them.
+of over ``LONG`` words after words whose hash is the least among their neighbours (and in runs of one word), so that
+equal passages are cut alike wherever they stand, and into parts of much the same size. From every sentence on a span
+is taken: at least ``MIN_SENTENCES`` sentences and at least ``MIN_WORDS`` words. All spans are hashed (words in lower
+case A-Z, one blank between them) to 96 bits and joined globally. A span's first occurrence, by doc_id and position,
+stays; the sentences covered by any other occurrence are removed, with the white space that follows them.
 
 Only hashes take part in the join. The repeated hashes come from an aggregation that combines before the exchange and
 are written to the shared folder; the join with all spans can then be split by the planner where one span is held by
@@ -13,13 +13,14 @@ very many documents.
 
 Defined results: null and empty texts have no sentences; a null doc_id counts as the greatest; rows with the same
 or no doc_id and differing texts are distinct documents, in the order of a hash of the text; equal rows are one
-document, and equal positions of it are both first; an empty table gives an empty table.
+document, and equal positions of it are both first; an empty table gives an empty table; columns of the input named
+first_doc_ids, n_sentences or n_removed are replaced.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,12 +30,19 @@ from pyspark.sql import functions as F
 
 from gridspark.llm.common import add_columns, written
 
-MIN_SENTENCES, MIN_WORDS, LONG, LAST_ID = 2, 20, 24, 2**63 - 1
-#: What ends a sentence, with the white space after it.
-END = re.compile(r"[.!?]+[\"')\]]*[ \t-\r]+|[。！？]+[ \t-\r]*|[ \t-\r]*\n[ \t-\r]*")
+#: Words of a sentence that isn't cut further; words on either side among which a cut has the least hash, so that 2 * NEAR + 1
+#: words are between cuts on average; words between cuts of a run of one word.
+MIN_SENTENCES, MIN_WORDS, LONG, NEAR, RUN, LAST_ID = 2, 24, 10, 4, 8, 2**63 - 1
+#: Words whose hashes a worker remembers, and what stands for a sentence's edge: less than any hash, so that no part is cut
+#: off with fewer than NEAR words.
+KEPT_HASHES, EDGE = 100_000, -1
+#: What ends a sentence, with the white space after it. Runs are only looked at from their start and never given back, so
+#: that long runs of marks or blanks cost no more than any other text.
+END = re.compile(
+    r"[.!?。！？ \t-\r](?:(?<=[.!?])(?<![.!?][.!?])[.!?]*+[\"')\]]*+[ \t-\r]++|(?<=[。！？])[。！？]*+[ \t-\r]*+"
+    r"|(?<![ \t-\r][ \t-\r])(?:(?<=\n)|(?<=[ \t\x0b-\r])[ \t\x0b-\r]*+\n)[ \t-\r]*+)"
+)
 WORD = re.compile(r"[^ \t-\r]+[ \t-\r]*")
-#: A long sentence is cut after one word in so many.
-CUT_ONE_IN = 8
 
 
 def sentences(text: str | None) -> list[str]:
@@ -50,41 +58,81 @@ def sentences(text: str | None) -> list[str]:
         out.append(text[at:])
     if not any(len(s) > 2 * LONG for s in out):
         return out
-    cut: list[str] = []
-    for s in out:
-        if len(s) > 2 * LONG and s.count(" ") >= LONG and len(words := WORD.findall(s)) > LONG:
-            part = [s[: len(s) - sum(map(len, words))]]  # white space that leads the text
-            last, run = "", 0
-            for w in words:
-                part.append(w)
-                run = run + 1 if w == last else 1
-                last = w
-                if run % CUT_ONE_IN == 0 or xxhash.xxh32_intdigest(w.strip().encode("utf-8", "surrogatepass")) % CUT_ONE_IN == 0:
-                    cut.append("".join(part))
-                    part = []
-            if any(part):
-                cut.append("".join(part))
-        else:
-            cut.append(s)
-    return cut
-
-
-def spans(parts: list[str], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int, bytes]]:
+    # split() finds as many words or more, as it knows more kinds of white space
+    words = {i: w for i, s in enumerate(out) if len(s) > 2 * LONG and len(s.split()) > LONG and len(w := WORD.findall(s)) > LONG}
+    if not words:
+        return out
+    cuts, short, done = cut_points(words.values()), [], 0
+    for i, ws in words.items():
+        s = out[i]
+        short += out[done:i]
+        done = i + 1
+        at, part = 0, s[: len(s) - sum(map(len, ws))]  # white space that leads the text
+        for k in next(cuts):
+            short.append(part + "".join(ws[at : k + 1]))
+            at, part = k + 1, ""
+        if at < len(ws):
+            short.append(part + "".join(ws[at:]))
+    return short + out[done:]
+
+
+class _Hashes(dict):
+    """The hash of each word, white space after it aside; words come again and again."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) >= KEPT_HASHES:
+            self.clear()
+        value = self[word] = xxhash.xxh32_intdigest(word.strip().encode("utf-8", "surrogatepass"))
+        return value
+
+
+_HASHES = _Hashes()
+
+
+def cut_points(sentences: Iterable[list[str]]) -> Iterator[list[int]]:
+    """The words after which each long sentence is cut: where the word's hash is the least of NEAR words before and after
+    it in the sentence, which depends on nothing but these words, and after every RUN words of a run of one word."""
+    hashes, begins = [EDGE] * NEAR, []
+    for words in sentences:
+        begins.append(len(hashes))
+        hashes += map(_HASHES.__getitem__, words)
+        hashes += [EDGE] * NEAR
+    h = np.array(hashes)
+    least = np.full(len(h), 2**32)
+    for k in range(1, NEAR + 1):
+        np.minimum(least[k:], h[:-k], out=least[k:])
+        np.minimum(least[:-k], h[k:], out=least[:-k])
+    at = np.arange(len(h))
+    run = np.maximum.accumulate(np.where(np.append(True, h[1:] != h[:-1]), at, 0))
+    cut = np.flatnonzero(((h < least) | ((at - run) % RUN == RUN - 1)) & (h > EDGE))
+    edges = np.searchsorted(cut, [*begins, len(h)]).tolist()
+    cut = cut.tolist()
+    for begin, low, high in zip(begins, edges, edges[1:]):
+        yield [x - begin for x in cut[low:high]]
+
+
+def spans(parts: list[str]) -> Iterator[tuple[int, int, bytes]]:
     """(first sentence, number of sentences, 12-byte hash) of the span from each sentence on that has one."""
     words = [p.encode("utf-8", "surrogatepass").lower().split() for p in parts]
-    joined, sizes = [b" ".join(w) for w in words], list(map(len, words))
-    filled = [i for i, n in enumerate(sizes) if n]
+    filled = [i for i, w in enumerate(words) if w]
+    joined = [b" ".join(words[i]) for i in filled]
+    for k, end in windows([len(words[i]) for i in filled]):
+        yield filled[k], filled[end - 1] - filled[k] + 1, xxhash.xxh3_128_digest(b" ".join(joined[k:end]))[:12]
+
+
+def windows(sizes: list[int], min_sentences: int = MIN_SENTENCES, min_words: int = MIN_WORDS) -> Iterator[tuple[int, int]]:
+    """(first, end) of the shortest window from each sentence on with enough sentences and words. sizes: the words of
+    each sentence that has any."""
     end, total = 0, 0
-    for k, i in enumerate(filled):
-        if k and filled[k - 1] < i:
-            total -= sizes[filled[k - 1]]
-        end = max(end, k)
-        while end < len(filled) and (end - k < min_sentences or total < min_words):
-            total += sizes[filled[end]]
+    for k in range(len(sizes)):
+        if k:
+            total -= sizes[k - 1]
+        while end < len(sizes) and (end - k < min_sentences or total < min_words):
+            total += sizes[end]
             end += 1
         if end - k < min_sentences or total < min_words:
             return
-        yield i, filled[end - 1] - i + 1, xxhash.xxh3_128_digest(b" ".join([joined[j] for j in filled[k:end]]))[:12]
+        yield k, end
 
 
 def doc_key() -> Column:
@@ -96,62 +144,67 @@ def text_key() -> Column:
 
 
 def span_rows(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, pos, n, h1, h2) of every span. doc is the doc_id, the greatest long for none."""
+    """(doc, text_key, pos, h1, h2) of every span. doc is the doc_id, the greatest long for none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = batch.column("text"), list(zip(batch.column("doc").to_pylist(), batch.column("text_key").to_pylist()))
             for low in range(0, len(ids), 512):
-                doc, pos, size, digest = [], [], [], []
+                doc, pos, digest = [], [], []
                 for d, t in zip(ids[low : low + 512], texts.slice(low, 512).to_pylist()):
                     before = len(pos)
-                    for i, n, h in spans(sentences(t)):
+                    for i, _, h in spans(sentences(t)):
                         pos.append(i)
-                        size.append(n)
                         digest.append(h)
                     doc += [d] * (len(pos) - before)
                 h = np.frombuffer(b"".join(digest), np.dtype([("h1", "<i8"), ("h2", "<i4")]))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([d for d, _ in doc], pa.int64()), pa.array([k for _, k in doc], pa.int64()), pa.array(pos, pa.int32()), pa.array(size, pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
-                    names=["doc", "text_key", "pos", "n", "h1", "h2"],
+                    [pa.array([d for d, _ in doc], pa.int64()), pa.array([k for _, k in doc], pa.int64()), pa.array(pos, pa.int32()), pa.array(h["h1"].copy()), pa.array(h["h2"].copy())],
+                    names=["doc", "text_key", "pos", "h1", "h2"],
                 )
 
-    return docs.select(doc_key().alias("doc"), text_key().alias("text_key"), "text").where("text <> ''").mapInArrow(run, "doc long, text_key long, pos int, n int, h1 long, h2 int")
+    return docs.select(doc_key().alias("doc"), text_key().alias("text_key"), "text").where("text <> ''").mapInArrow(run, "doc long, text_key long, pos int, h1 long, h2 int")
 
 
 def repeated_ranges(docs: DataFrame) -> DataFrame:
-    """(doc, text_key, ranges, first_docs): the sentence ranges (start, n) of each document to remove, and the documents that
+    """(doc, text_key, starts, first_docs): the first sentences of each document's spans to remove, and the documents that
     hold their first occurrences."""
     rows = written(span_rows(docs))  # read twice; texts are split and hashed once
     place = F.struct("doc", "text_key", "pos")
-    firsts = written(rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.text_key").alias("first_key"), F.col("first.pos").alias("first_pos")))
+    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = written(firsts.select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.text_key").alias("first_key"), F.col("first.pos").alias("first_pos")))
     later = rows.join(firsts, ["h1", "h2"]).where("doc <> first_doc or text_key <> first_key or pos <> first_pos")
-    return later.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set(F.struct("pos", "n"))).alias("ranges"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
+    return later.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
 
-def cut_ranges(text: str | None, ranges: list[dict]) -> tuple[str, int, int]:
-    """The text without the sentences in the ranges, the number of sentences, and how many were removed."""
+def cut_spans(text: str | None, starts: list[int]) -> tuple[str, int, int]:
+    """The text without the spans that begin at `starts`, the number of sentences, and how many were removed."""
     parts = sentences(text)
-    gone = [False] * len(parts)
-    for r in ranges:
-        for i in range(r["pos"], min(len(parts), r["pos"] + r["n"])):
-            gone[i] = True
+    if not starts:
+        return "".join(parts), len(parts), 0
+    gone, wanted = [False] * len(parts), set(starts)
+    sizes = [len(p.encode("utf-8", "surrogatepass").split()) for p in parts]
+    filled = [i for i, n in enumerate(sizes) if n]
+    for k, end in windows([sizes[i] for i in filled]):
+        if filled[k] in wanted:
+            for i in range(filled[k], filled[end - 1] + 1):
+                gone[i] = True
     return "".join(p for p, g in zip(parts, gone) if not g), len(parts), sum(gone)
 
 
 def span_dedup(docs: DataFrame, changed_only: bool = False) -> DataFrame:
     """docs with the repeated sentences cut out of text, and n_sentences, n_removed, first_doc_ids. changed_only: only
     the documents that lose sentences."""
-    found = repeated_ranges(docs).select(F.col("doc").alias("__sd_doc"), F.col("text_key").alias("__sd_text"), F.col("ranges").alias("__sd_ranges"), F.col("first_docs").alias("first_doc_ids"))
+    found = repeated_ranges(docs).select(F.col("doc").alias("__sd_doc"), F.col("text_key").alias("__sd_text"), F.col("starts").alias("__sd_starts"), F.col("first_docs").alias("first_doc_ids"))
     keep = [c for c in docs.columns if c not in ("text", "n_sentences", "n_removed", "first_doc_ids")]
     keyed = docs.select(*[F.col(f"`{c}`") for c in [*keep, "text"]]).withColumns({"__sd_doc": doc_key(), "__sd_text": text_key()})
     joined = keyed.join(found.hint("shuffle_hash"), ["__sd_doc", "__sd_text"], "inner" if changed_only else "left")
 
     def compute(columns: dict[str, list]) -> dict[str, list]:
-        done = [cut_ranges(t, r or []) for t, r in zip(columns["text"], columns["__sd_ranges"])]
+        done = [cut_spans(t, r or []) for t, r in zip(columns["text"], columns["__sd_starts"])]
         return {"text": [None if t is None else x[0] for t, x in zip(columns["text"], done)], "n_sentences": [x[1] for x in done], "n_removed": [x[2] for x in done]}
 
-    out = add_columns(joined, [*keep, "first_doc_ids"], "text string, n_sentences long, n_removed long", compute, ["text", "__sd_ranges"])
+    out = add_columns(joined, [*keep, "first_doc_ids"], "text string, n_sentences long, n_removed long", compute, ["text", "__sd_starts"])
     return out.where("n_removed > 0") if changed_only else out
 
 
