@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import let
+from gridspark.llm.common import let, written
 
 SEED, TEMPERATURE, PIECE, TERMS, BROADCAST_SOURCES = 42, 0.5, 8.0, 64, 10_000
 
@@ -54,7 +54,7 @@ def poisson_cdf(rate: Column) -> Column:
 def source_rates(docs: DataFrame, weights: dict[str | None, float] | None = None, temperature: float = TEMPERATURE, size: float = 1.0) -> DataFrame:
     """(source, rate, pieces, cdf). weights: target share of each source, in any unit; none: the number of its documents
     to the power `temperature`. size: documents of the mixture, as a multiple of those there are."""
-    counts = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
+    counts = written(docs.groupBy("source").agg(F.count(F.lit(1)).alias("n")))  # one pass over the documents
     if weights is None:
         weighed = counts.withColumn("w", F.pow("n", F.lit(temperature)))
     else:
