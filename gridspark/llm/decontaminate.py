@@ -16,13 +16,15 @@ one pass over the documents, so that a benchmark of any size never has to fit at
 Defined results: an item or document without words has no shingles and never matches; one with fewer than five words
 is a single shingle, the whole sequence; null texts are empty; rows of the benchmark with the same item_id and text
 give one match, with differing texts each counts on its own and the best is given; rows with a null id match like any
-others; repeated documents match alike.
+others; repeated documents match alike; other columns are ignored, whatever their names; without documents or items
+there is no match.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -115,6 +117,18 @@ class Sketches:
                 yield item_id, shared, len(shingles)
 
 
+#: The sketches of the block that this worker has searched last.
+_SKETCHED: dict[str, Sketches] = {}
+
+
+def sketched(name: str, make: Callable[[], Sketches]) -> Sketches:
+    """What `make` gives, made once in each worker and not for each task."""
+    if name not in _SKETCHED:
+        _SKETCHED.clear()
+        _SKETCHED[name] = make()
+    return _SKETCHED[name]
+
+
 def item_blocks(benchmark: DataFrame, most: int = BLOCK_SHINGLES) -> Iterator[list[tuple[int | None, str]]]:
     """The items, block by block; only one block is on the driver at a time."""
     block, size = [], 0
@@ -138,8 +152,8 @@ def containment_matches(docs: DataFrame, benchmark: DataFrame, threshold: float
         block.sort(key=lambda x: (x[0] is None, x[0] or 0, x[1]))
         shared = spark.sparkContext.broadcast(block)
 
-        def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            sketches = Sketches(shared.value, threshold, width)
+        def search(batches: Iterator[pa.RecordBatch], shared=shared, name=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            sketches = sketched(name, lambda: Sketches(shared.value, threshold, width))
             for batch in batches:
                 out: list[tuple] = []
                 for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
