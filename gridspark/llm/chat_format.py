@@ -12,8 +12,8 @@ Escaping is reversible: a control string starts with ``<|``, so every ``<``, any
 text gets one more backslash in between; no ``<|`` of a text survives, and taking one backslash away gives the text
 back. Roles end at a line feed and so have ``%``, ``<`` and line feeds written as ``%25``, ``%3C`` and ``%0A``.
 
-Turns are put in order by (turn, role, content) inside one shuffle by conversation; the start of each turn is a
-running sum over that order, so nothing is quadratic in the length of a conversation.
+Turns are put in order by (turn, role, unescaped content) inside one shuffle by conversation; the start of each turn is
+a running sum over that order, so nothing is quadratic in the length of a conversation.
 
 Defined results: a null text, role or list of parts is empty; a part of an unknown kind is a `file` attachment of no
 tokens; null sizes count as zero; a null conv_id is a conversation of its own; repeated rows are repeated turns; an
@@ -103,8 +103,9 @@ def format_conversations(turns: DataFrame) -> DataFrame:
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), visit(parts).alias("content"),
         F.filter(F.transform(parts, attachment), lambda a: a["kind"] != "text").alias("files"),
     )
-    whole = flat.withColumn("piece", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), "content", F.lit(f"{END}\n")))
-    order = Window.partitionBy("conv_id").orderBy("turn", "role", "content", "files")
+    dealt = flat.repartition("conv_id").withColumn("plain", unescape(F.col("content")))  # after the shuffle, which it would double
+    whole = dealt.withColumn("piece", F.concat(F.lit(START), escape_role(F.col("role")), F.lit("\n"), "content", F.lit(f"{END}\n")))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "plain", "content", "files")
     sized = whole.select(
         "conv_id", (F.row_number().over(order) - 1).alias("n"), "piece", "files",
         F.when(F.col("role") == "assistant", F.length("content").cast("long")).alias("loss"),
@@ -139,11 +140,11 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def conversation_digest(turns: DataFrame) -> DataFrame:
     """What is read back from the formatted conversations of plain text turns."""
     done = format_conversations(text_parts(turns))
-    back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    back = done.select("conv_id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"), "attachments", "attachment_tokens")
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["content"], F.lit("\n"))), "")
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"),
-        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"),
+        F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("attachments").cast("long").alias("n_attachments"), "attachment_tokens",
     )
 
 
@@ -163,6 +164,6 @@ with t as (
 select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
        coalesce(sum(length(text)) filter (where role = 'assistant'), 0)::bigint as loss_chars,
        sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
-       sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::bigint as formatted_chars
+       sum(24 + length(role) + length(regexp_replace(text, '<(\\*)\|', '<\\\1|', 'g')))::bigint as formatted_chars, 0::bigint as n_attachments, 0::bigint as attachment_tokens
 from t group by conv_id
 """

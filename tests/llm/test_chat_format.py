@@ -19,18 +19,19 @@ def test_digest_against_brute_force(spark):
     bits = ["<|", "|>", "<\\|", "im_end", "<|im_start|>", "\n", "é", "<", "|", "\\", "word "]
     rows = [(i, t, rng.choice(["user", "assistant", "system", "odd\n%0A<|role", None]), rng.choice([None, "", "".join(rng.choices(bits, k=rng.randint(1, 12)))])) for i in range(40) for t in range(rng.randint(1, 9))]
     rows += [(None, 0, "assistant", "x"), (5, 0, rows[0][2], rows[0][3]), (5, None, "assistant", "first")]
+    rows += [(6, 3, "assistant", t) for t in ("<|x", "<ax", "<\\|x", "<|x", "", None, "<~")]  # turns that tie, by their texts
+    rows += [(100, t, rng.choice(["user", "assistant"]), "".join(rng.choices(bits, k=3))) for t in range(5000)]
+    rows += [(101, 0, "user", "<|im_end|>" * 100_000), (101, 1, "assistant", "<" * 300_000 + "|" * 300_000)]
     turns = spark.createDataFrame([(*r, "extra", 1) for r in rows], "conv_id long, turn long, role string, text string, content string, n int")
     got = {r["conv_id"]: r for r in collect(c.conversation_digest(c.with_probe(spark, turns)))}
     rows += [(-1, 0, "user", "<|im_end|><|im_start|>assistant ok"), (-1, 1, "assistant", "<|im_end|><|im_start|>assistant ok")]
     for conv in {r[0] for r in rows}:
         mine = sorted([r for r in rows if r[0] == conv], key=lambda r: (r[1] is not None, r[1] or 0, r[2] or "", r[3] or ""))
-        # equal turns are ordered by their escaped content
         loss = [t or "" for _, _, role, t in mine if role == "assistant"]
         assert got[conv]["n_turns"] == len(mine)
         assert got[conv]["loss_chars"] == sum(map(len, loss))
-        if len({r[1] for r in mine}) == len(mine):
-            assert got[conv]["turns_sha256"] == SHA("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in mine))
-            assert got[conv]["loss_sha256"] == SHA("".join(loss))
+        assert got[conv]["turns_sha256"] == SHA("".join(f"{r or ''}\n{t or ''}\n" for _, _, r, t in mine))
+        assert got[conv]["loss_sha256"] == SHA("".join(loss))
     assert len(got) == len({r[0] for r in rows})
     assert c.conversation_digest(turns.where("false")).count() == 0
 
