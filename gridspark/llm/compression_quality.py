@@ -6,11 +6,12 @@ labelled text that no dictionary has seen turns it into a calibrated score. Long
 ``PIECE`` bytes, all of them, as a dictionary only helps at a frame's start.
 
 The dictionaries and the curve are fitted on a bounded sample (``FIT_DOCS`` labelled documents of each class, by a
-hash of doc_id, outside the fold where crc32(doc_id) mod 4 is 2); every document is scored.
+hash of doc_id, outside the fold where crc32(doc_id) mod 4 is 2, of each at most ``FIT_CHARS`` code points, spread over
+a longer one); every document is scored, and by its whole text.
 
 Defined results: a null or empty text has difference 0 and the curve's score for it; repeated rows score alike; a
 null doc_id is held in (its remainder is unknown); without labels of both classes every score is the share of good
-labels, 0.5 without any; an empty table gives an empty table.
+labels, 0.5 without any; an empty table gives an empty table; carried columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import add_columns
-from gridspark.llm.quality_rules import in_fold, labelled_sample
+from gridspark.llm.quality_rules import FIT_CHARS, in_fold, labelled_sample
 
 FIT_DOCS, PIECE, DICTIONARY, LEVEL, KEEP_AT = 1500, 512, 112_640, 3, 0.7
 
@@ -82,7 +83,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 50)
 
 
 def fit_size_model(docs: DataFrame, labels: DataFrame, per_class: int = FIT_DOCS) -> SizeModel:
-    rows = labelled_sample(docs, labels, per_class)
+    rows = labelled_sample(docs, labels, per_class, most_chars=FIT_CHARS)
     good, bad = ([t for y, t in rows if y == c] for c in (1, 0))
     if not good or not bad:
         share = len(good) / len(rows) if rows else 0.5

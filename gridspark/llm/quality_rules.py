@@ -6,8 +6,8 @@ content lines decides whether the document is retained. Hard base rules (too few
 the text) reject a document before the chain is asked.
 
 The weights are fitted here, by gradient ascent on the conditional likelihood, on a bounded sample of labelled
-documents (``FIT_DOCS`` per class, and of each at most ``FIT_WINDOWS`` windows of ``FIT_LINES`` lines, spread evenly over
-a longer one): the lines of a document marked good count as content, those of a document marked bad as boilerplate.
+documents (``FIT_DOCS`` per class, and of each at most ``FIT_CHARS`` code points and ``FIT_WINDOWS`` windows of
+``FIT_LINES`` lines, spread evenly over a longer one): the lines of a document marked good count as content, those of a document marked bad as boilerplate.
 The sample is drawn by a hash of doc_id, so that a run can be repeated. Every document is judged by all its lines.
 
 Defined results: a null or empty text has no words, fails the base rules and is not kept; a null doc_id is carried
@@ -20,7 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.llm.common import SPACE, add_columns
@@ -30,6 +30,8 @@ UPPER, DIGITS, LETTERS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"abcdefg
 SPACE_BYTES = SPACE.encode()
 #: Labelled documents of each class that the fit may use, windows of each and lines of a window, and gradient steps.
 FIT_DOCS, FIT_WINDOWS, FIT_LINES, FIT_STEPS = 300, 8, 64, 100
+#: Code points of a labelled document that a fit may use; a longer one gives slices spread over all of it.
+FIT_CHARS = 100_000
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT_SHARE = 10, 20, 0.5
 
 FEATURES = (
@@ -211,9 +213,18 @@ def in_fold(labels: DataFrame, column: str) -> DataFrame:
     return labels.where(f"doc_id is not null and `{column}` in (0, 1) and crc32(cast(doc_id as string)) % 4 != 2").select("doc_id", F.col(column).cast("int").alias("y"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "quality") -> list[tuple[int, str]]:
-    """(label, text) of at most per_class documents of each label 0 and 1. Only labelled rows outside the fold that is
-    held out (crc32 of doc_id modulo 4 is 2) are used. The ids are a bounded set, so the texts are found by one scan."""
+def excerpt(text: Column, most: int, slices: int = 8) -> Column:
+    """The text if it has at most `most` code points, else as many in equal slices at even distances, from its start to its
+    end, a line each."""
+    size = most // slices
+    at = lambda k: F.floor((F.length(text) - size) * k / (slices - 1)).cast("int") + 1
+    return F.when(F.length(text) <= most, text).otherwise(F.concat_ws("\n", *[F.substring(text, at(k), F.lit(size)) for k in range(slices)]))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, column: str = "quality", most_chars: int = FIT_CHARS) -> list[tuple[int, str]]:
+    """(label, text) of at most per_class documents of each label 0 and 1, of each at most most_chars code points, so that the
+    sample is bounded in bytes too. Only labelled rows outside the fold that is held out (crc32 of doc_id modulo 4 is 2)
+    are used. The ids are a bounded set, so the texts are found by one scan."""
     good = in_fold(labels, column)
     picked = [good.where(f"y = {y}").distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(per_class) for y in (0, 1)]
     ids = {(r.doc_id, r.y) for p in picked for r in p.collect()}
@@ -221,7 +232,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int, column:
         return []
     wanted = docs.sparkSession.createDataFrame(sorted(ids), "doc_id long, y int")
     found = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(wanted), "doc_id").select("doc_id", "y", "text")
-    rows = found.groupBy("doc_id", "y").agg(F.min("text").alias("text")).collect()
+    rows = found.groupBy("doc_id", "y").agg(F.min(excerpt(F.col("text"), most_chars)).alias("text")).collect()
     return [(r.y, r.text) for r in sorted(rows, key=lambda r: (r.doc_id, r.y))]
 
 

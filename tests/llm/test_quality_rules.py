@@ -118,3 +118,12 @@ def test_verdict_of_whole_texts(spark):
         share = sum(n for n, z in zip(size, path) if z) / sum(size) if sum(size) else 0.0
         assert got[i]["content_share"] == pytest.approx(share) and got[i]["n_content_lines"] == sum(path)
         assert got[i]["kept"] == (not brute(text)[5] and share >= q.MIN_CONTENT_SHARE)
+
+
+def test_excerpts_of_long_texts_reach_from_start_to_end(spark):
+    long = "".join(f"{i:05d}\n" for i in range(2000))
+    table = spark.createDataFrame([("short",), ("x" * 800,), (long,)], "text string")
+    short, exact, cut = (r.e for r in table.select(q.excerpt(q.F.col("text"), 800).alias("e")).collect())
+    assert (short, exact) == ("short", "x" * 800)
+    assert len(cut) == 807 and cut.startswith(long[:100]) and cut.endswith(long[-100:])
+    assert all(piece in long for piece in (cut[k * 101 : k * 101 + 100] for k in range(8)))
