@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from gridspark.functions.text import let
 from gridspark.sources.tables import delete, temporary_tables, written
 from gridspark.sources.tables import shared_folder as checkpoint_dir
 
@@ -56,11 +57,6 @@ def add_columns(
     return df.mapInArrow(run, schema)
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with the value worked out once, also where body uses it inside a lambda function."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def prefix_sums(lengths: Column, block: int = 128) -> Column:
     """For an array of n numbers the n sums of what stands before each. Blocks keep long arrays from being copied for
     every element."""

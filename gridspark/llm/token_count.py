@@ -23,7 +23,7 @@ is refused. Special strings in texts count as the library's default has it: an a
 before anything else.
 
 Defined results: a null or empty text has no bytes and no tokens; repeated rows count alike; a null doc_id is carried
-along; an empty table gives an empty table.
+along; an empty table gives an empty table; carried columns named as the new ones are replaced.
 """
 
 from __future__ import annotations
