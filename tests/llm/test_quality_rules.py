@@ -95,7 +95,7 @@ def brute_features(lines):
         doubled = sum(a == b for a, b in zip(words, words[1:]))
         found = {
             "few_words": n < 3, "many_words": n >= 8, "mostly_upper": count("[A-Z]") > 0.5 * count("[A-Za-z]"), "some_upper": count("[A-Z]") > 0.2 * count("[A-Za-z]"), "symbols_5": count(r"[#*$%&|<>]") * 20 > size,
-            "symbols_15": count(r"[#*$%&|<>]") * 20 > 3 * size, "shouting": 2 * count("!") > n, "bars": 4 * count(r"\\|") > n, "word_repeats": doubled > 0, "many_repeats": 3 * len(set(words)) < n or 4 * doubled > n,
+            "symbols_15": count(r"[#*$%&|<>]") * 20 > 3 * size, "shouting": 2 * count("!") > n, "bars": 4 * line.count("|") > n, "word_repeats": doubled > 0, "many_repeats": 3 * len(set(words)) < n or 4 * doubled > n,
             "line_repeats": line in lines[:i], "ends_sentence": words[-1][-1] in '.!?"', "starts_upper": bool(re.match("[A-Z]", words[0])), "digits": 10 * count("[0-9]") > size, "markup": "</" in line, "long_words": size > 14 * n,
         }
         out.append({k for k, on in found.items() if on})
