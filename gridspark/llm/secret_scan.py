@@ -135,8 +135,8 @@ def uncovered(rows: DataFrame) -> DataFrame:
 
 
 def candidates(rows: DataFrame) -> DataFrame:
-    """(row, start, end, value, rank, whole) of what may be random besides the matches. whole: the start of the stretch,
-    null for the segments' own rows; segments carry it as part_of."""
+    """(row, start, end, value, whole, stretch, rank) of what may be random besides the matches: whole stretches and segments
+    of them; stretch is where the stretch begins, of which a row is the whole or a segment."""
     free = uncovered(rows)
     whole = free.select("row", "start", "end", "value", F.lit(True).alias("whole"), F.col("start").alias("stretch"))
     parts = free.where(r"value rlike '[+/_-]'").select("row", "start", F.explode(located(F.col("value"), SEGMENT)).alias("s"))
