@@ -11,7 +11,7 @@ from gridspark.functions.formula import is_formula
 from gridspark.functions.text import column_letters, location
 from gridspark.operators.package import file_type_problems, is_workbook, opaque_marker, opaque_problems, suffix, with_content_types
 from gridspark.sources.ooxml import distinct_workbooks, read_elements, read_parts, read_workbooks
-from gridspark.sources.tables import written
+from gridspark.sources.tables import spread, written
 
 # The number formats that have no text of their own in a workbook.
 BUILT_IN_FORMATS = {
@@ -216,7 +216,7 @@ def inventory_of(files: DataFrame) -> Inventory:
     nothing. `temporary_tables` deletes them when the frames have been used."""
     books = written(distinct_workbooks(files))
     raw = written(read_parts(files.join(books.select("sha256", "path"), ["sha256", "path"], "left_semi")))
-    elements = written(read_elements(raw))
+    elements = written(read_elements(spread(raw)))  # the sheets of a few small files are parsed by all cores
     rels = relations(elements)
     sheets = worksheets(elements, rels)
     types = lambda tag, key: elements.where(F.col("tag") == tag).select("sha256", attr(key).alias("name" if tag == "Override" else "extension"), attr("ContentType").alias("content_type"))

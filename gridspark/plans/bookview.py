@@ -25,6 +25,7 @@ from gridspark.plans.pipeline import Decomposition, decompose
 from gridspark.plugins import registry
 from gridspark.sinks.store import artifact_rows
 from gridspark.sources.ooxml import as_workbooks
+from gridspark.sources.tables import written
 
 BOOK_CUSTOMERS = 1000
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -118,7 +119,8 @@ def book_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         paths = [f"books/book-{book}.xlsx"] + [f"books/copy-of-{book}.xlsx"] * (book % 3 == 0)
         return pd.DataFrame({"path": paths, "content": [content] * len(paths)})
 
-    return as_workbooks(rows.groupBy("book").applyInPandas(put, "path string, content binary"))
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "book")
+    return written(as_workbooks(dealt.groupBy("book").applyInPandas(put, "path string, content binary")))
 
 
 def books(spark: SparkSession, sf_dir: str) -> Inventory:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +33,7 @@ def decompose(spark: SparkSession, paths: str | list[str], use: dict[str, str] |
     parsing happen here, all else is lazy. use: names of registered implementations by stage, for those not built in."""
     stage = lambda name: registry.get(name, (use or {}).get(name, BUILT_IN))
     found = stage("inventory")(stage("read")(spark, paths))
-    found = replace(found, cells=written(found.cells))  # every later stage reads them
+    found = replace(found, **{f.name: written(getattr(found, f.name)) for f in fields(found)})  # later stages read them again and again
     graph = stage("graph")(found.cells)
     unsupported = found.unsupported.unionByName(graph.unsupported)
     items = stage("classify")(found.workbooks, found.cells, found.ranges, unsupported)
