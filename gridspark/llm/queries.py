@@ -11,11 +11,14 @@ from gridspark.llm import compression_quality as quality
 from gridspark.llm import decontaminate as leaks
 from gridspark.llm import line_dedup as lines
 from gridspark.llm import mixing
+from gridspark.llm import prefix_trie as trie
 from gridspark.llm import quality_rules as rules
 from gridspark.llm import secret_scan as secrets
 from gridspark.llm import simhash
 from gridspark.llm import span_dedup as repeats
 from gridspark.llm import token_count as tokens
+from gridspark.llm import vector_codes as vectors
+from gridspark.llm import warc
 from gridspark.llm.common import table
 from gridspark.sources.tables import spread
 
@@ -72,6 +75,18 @@ def op10_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.span_report(documents(spark, sf_dir))
 
 
+def op11_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(spread(table(spark, sf_dir, "pages")))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.code_report(spread(table(spark, sf_dir, "embeddings")))
+
+
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -85,8 +100,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_token_counts,
         op9_decontaminate,
         op10_span_dedup,
+        op11_warc,
+        op12_vector_codes,
+        op13_prefix_trie,
     )
 }
 
 #: DuckDB SQL for the queries that SQL can express.
-ORACLES: dict[str, str] = {"op3_line_dedup": lines.ORACLE, "op5_chat_format": chat.ORACLE, "op7_mixing": mixing.ORACLE, "op9_decontaminate": leaks.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": lines.ORACLE,
+    "op5_chat_format": chat.ORACLE,
+    "op7_mixing": mixing.ORACLE,
+    "op9_decontaminate": leaks.ORACLE,
+    "op11_warc": warc.ORACLE,
+    "op12_vector_codes": vectors.ORACLE,
+    "op13_prefix_trie": trie.ORACLE,
+}
