@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,29 +33,31 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-#: For each open `temporary_tables` the tables written since.
-_OPEN: list[list[str]] = []
+#: The open `temporary_tables` of this thread or task, outermost first, with the tables written in each.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open temporary tables", default=())
 
 
 def written(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder. Unlike a checkpoint it is read as a plain scan, so that the planner knows its
     size and is free to deal it out anew (a skewed join needs that)."""
     path = f"{shared_folder(df.sparkSession)}/gridspark-{uuid.uuid4().hex}"
-    for paths in _OPEN:
-        paths.append(path)
+    if jobs := _OPEN.get():
+        jobs[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 @contextmanager
 def temporary_tables(spark: SparkSession) -> Iterator[None]:
-    """What `written` writes inside is deleted at the end, so results must be written or collected before."""
+    """What `written` writes inside is deleted at the end, so results must be written or collected before. Each table
+    belongs to the innermost job that is open where it is written: other threads' jobs, and jobs that began earlier and
+    end sooner, leave it alone."""
     paths: list[str] = []
-    _OPEN.append(paths)
+    _OPEN.set((*_OPEN.get(), paths))
     try:
         yield
     finally:
-        _OPEN[:] = [p for p in _OPEN if p is not paths]
+        _OPEN.set(tuple(p for p in _OPEN.get() if p is not paths))
         for path in paths:
             delete(spark, path)
 
