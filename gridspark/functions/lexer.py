@@ -79,60 +79,74 @@ def column_of(letters: Column) -> Column:
 
 
 CELL, WHOLE_COLUMN, WHOLE_ROW = r"^(\$?)([A-Za-z]{1,3})(\$?)([1-9][0-9]{0,6})$", r"^(\$?)([A-Za-z]{1,3})$", r"^(\$?)([1-9][0-9]{0,6})$"
+PIECE = "struct<text:string,letters:string,column:bigint,row_sign:string,row:bigint,column_held:boolean,row_held:boolean>"
+
+
+def _piece(text: Column, letters: Column | None = None, row_sign: Column | None = None, row: Column | None = None) -> Column:
+    """A piece of a word: a name (text only), or what it refers to. letters and row_sign have their dollar sign."""
+    none = F.lit(None)
+    column = none if letters is None else column_of(F.ltrim(letters, F.lit("$")))
+    held = lambda c: none if c is None else c.startswith("$")
+    fields = (text, none if letters is None else letters, column, none if row_sign is None else row_sign, none if row is None else row, held(letters), held(row_sign))
+    return F.struct(*[f.alias(n) for f, n in zip(fields, ("text", "letters", "column", "row_sign", "row", "column_held", "row_held"))]).cast(PIECE)
+
+
+def _pieces(words: Column) -> Column:
+    """The pieces of a word between its colons: cells, two whole columns, two whole rows, or names."""
+    part = lambda p, pattern, *groups: F.concat(*[F.regexp_extract(p, pattern, g) for g in groups])
+    number = lambda p, pattern, group: F.regexp_extract(p, pattern, group).try_cast("long")
+    as_columns = F.transform(words, lambda p: _piece(p, letters=part(p, WHOLE_COLUMN, 1, 2)))
+    as_rows = F.transform(words, lambda p: _piece(p, row_sign=F.regexp_extract(p, WHOLE_ROW, 1), row=number(p, WHOLE_ROW, 2)))
+    cell = lambda p: _piece(p, part(p, CELL, 1, 2), F.regexp_extract(p, CELL, 3), number(p, CELL, 4))
+    is_cell = lambda p: p.rlike(CELL) & (column_of(F.regexp_extract(p, CELL, 2)) <= COLUMNS) & F.coalesce(number(p, CELL, 4) <= ROWS, F.lit(False))
+    return (
+        F.when((F.size(words) == 2) & F.forall(words, lambda p: p.rlike(WHOLE_COLUMN) & (column_of(F.regexp_extract(p, WHOLE_COLUMN, 2)) <= COLUMNS)), as_columns)
+        .when((F.size(words) == 2) & F.forall(words, lambda p: p.rlike(WHOLE_ROW) & (number(p, WHOLE_ROW, 2) <= ROWS)), as_rows)
+        .otherwise(F.transform(words, lambda p: F.when(is_cell(p), cell(p)).otherwise(_piece(p))))
+    )
 
 
-def _shifted_column(text: Column, pattern: str, right: Column) -> Column:
-    """A column's letters after the shift, with their dollar sign; null outside the sheet."""
-    dollar, letters = F.regexp_extract(text, pattern, 1), F.regexp_extract(text, pattern, 2)
-    number = column_of(letters) + right
-    return F.when(dollar != "", F.concat(dollar, letters)).when(number.between(1, COLUMNS), column_letters(number))
+def compiled(formula: Column) -> Column:
+    """array<struct<text, pieces, tail>>: a formula ready to be placed. A lexeme that stays has its text; a word that refers
+    has pieces, and a tail where something follows its last colon that doesn't refer (the INDEX of A1:INDEX())."""
 
+    def of(tokens: Column) -> Column:
+        def word(t: Column, i: Column) -> Column:
+            following = F.substring(F.coalesce(F.try_element_at(tokens, i + 2)["text"], F.lit("")), 1, 1)
+            qualified = F.when(i > 0, F.endswith(F.try_element_at(tokens, F.greatest(i, F.lit(1)))["text"], F.lit("!"))).otherwise(False)
+            words = F.split(t["text"], ":")
+            whole = ~following.isin("!", "(", "[")
+            stays = ~whole & ((F.size(words) == 1) | (following == "!") & ~qualified)  # a function, a table, a sheet's name, or two that sheets lie between
+            refers = F.when(whole, words).otherwise(F.slice(words, F.lit(1), F.size(words) - 1))
+            return F.struct(
+                F.when(stays, t["text"]).alias("text"), F.when(~stays, _pieces(refers)).alias("pieces"),
+                F.when(~stays & ~whole, F.concat(F.lit(":"), F.element_at(words, -1))).otherwise("").alias("tail"),
+            )
 
-def _shifted_row(dollar: Column, digits: Column, down: Column) -> Column:
-    number = digits.cast("long") + down
-    return F.when(dollar != "", F.concat(dollar, digits)).when(number.between(1, ROWS), number.cast("string"))
+        fixed = lambda t: F.struct(t["text"].alias("text"), F.lit(None).cast(f"array<{PIECE}>").alias("pieces"), F.lit("").alias("tail"))
+        return F.transform(tokens, lambda t, i: F.when(t["kind"] == WORD, word(t, i)).otherwise(fixed(t)))
 
+    return let(lexemes(formula), of)
 
-def _is_cell(text: Column) -> Column:
-    inside = (column_of(F.regexp_extract(text, CELL, 2)) <= COLUMNS) & (F.regexp_extract(text, CELL, 4).try_cast("long") <= ROWS)
-    return text.rlike(CELL) & F.coalesce(inside, F.lit(False))
 
+def placed(template: Column, right: Column, down: Column) -> Column:
+    """The text of a compiled formula `right` columns and `down` rows away from where it stood. That is arithmetic only."""
 
-def _moved_references(pieces: Column, right: Column, down: Column) -> Column:
-    """Pieces of a word between its colons, moved and joined: cells, two whole columns, two whole rows; names stay."""
+    def piece(p: Column) -> Column:
+        column, row = p["column"] + right, p["row"] + down
+        letters = F.when(p["column"].isNull(), "").when(p["column_held"], p["letters"]).when(column.between(1, COLUMNS), column_letters(column))
+        digits = F.when(p["row"].isNull(), "").when(p["row_held"], F.concat(p["row_sign"], p["row"].cast("string"))).when(row.between(1, ROWS), row.cast("string"))
+        return F.when(p["column"].isNull() & p["row"].isNull(), p["text"]).otherwise(F.concat(letters, digits))
 
-    def cell(p: Column) -> Column:
-        return F.concat(_shifted_column(p, CELL, right), _shifted_row(F.regexp_extract(p, CELL, 3), F.regexp_extract(p, CELL, 4), down))
+    def lexeme(t: Column) -> Column:
+        shifted = let(F.transform(t["pieces"], piece), lambda m: F.when(F.exists(m, lambda p: p.isNull()), F.lit(OUTSIDE)).otherwise(F.array_join(m, ":")))
+        return F.when(t["pieces"].isNull(), t["text"]).otherwise(F.concat(shifted, t["tail"]))
 
-    is_columns = (F.size(pieces) == 2) & F.forall(pieces, lambda p: p.rlike(WHOLE_COLUMN) & (column_of(F.regexp_extract(p, WHOLE_COLUMN, 2)) <= COLUMNS))
-    is_rows = (F.size(pieces) == 2) & F.forall(pieces, lambda p: p.rlike(WHOLE_ROW) & (F.regexp_extract(p, WHOLE_ROW, 2).try_cast("long") <= ROWS))
-    moved_pieces = (
-        F.when(is_columns, F.transform(pieces, lambda p: _shifted_column(p, WHOLE_COLUMN, right)))
-        .when(is_rows, F.transform(pieces, lambda p: _shifted_row(F.regexp_extract(p, WHOLE_ROW, 1), F.regexp_extract(p, WHOLE_ROW, 2), down)))
-        .otherwise(F.transform(pieces, lambda p: F.when(_is_cell(p), cell(p)).otherwise(p)))
-    )
-    return let(moved_pieces, lambda m: F.when(F.exists(m, lambda p: p.isNull()), F.lit(OUTSIDE)).otherwise(F.array_join(m, ":")))
+    return F.array_join(F.transform(template, lexeme), "")
 
 
 def moved(formula: Column, right: Column, down: Column) -> Column:
     """The formula as it reads `right` columns and `down` rows away: cells, ranges, whole columns and whole rows move
     along unless a dollar sign holds them, and become #REF! where they leave the sheet. Texts, sheet names, brackets,
     function names, error values and other names stay."""
-
-    def one(tokens: Column) -> Column:
-        def word(t: Column, i: Column) -> Column:
-            following = F.substring(F.coalesce(F.try_element_at(tokens, i + 2)["text"], F.lit("")), 1, 1)
-            qualified = F.when(i > 0, F.endswith(F.try_element_at(tokens, F.greatest(i, F.lit(1)))["text"], F.lit("!"))).otherwise(False)
-            pieces = F.split(t["text"], ":")
-            head = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
-            tail = F.element_at(pieces, -1)
-            some = F.when(F.size(pieces) > 1, F.concat(_moved_references(head, right, down), F.lit(":"), tail)).otherwise(t["text"])
-            return (
-                F.when((following == "!") & ~qualified, t["text"])  # a sheet's name, or two that span sheets
-                .when(following.isin("!", "(", "["), some)  # only what stands before the last colon refers
-                .otherwise(_moved_references(pieces, right, down))
-            )
-
-        return F.array_join(F.transform(tokens, lambda t, i: F.when(t["kind"] == WORD, word(t, i)).otherwise(t["text"])), "")
-
-    return let(lexemes(formula), one)
+    return placed(compiled(formula), right, down)

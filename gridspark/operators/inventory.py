@@ -8,9 +8,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.functions.formula import is_formula
+from gridspark.functions.lexer import COLUMNS as SHEET_COLUMNS
+from gridspark.functions.lexer import ROWS as SHEET_ROWS
+from gridspark.functions.lexer import column_of, compiled, placed
 from gridspark.functions.text import column_letters, location
 from gridspark.operators.package import file_type_problems, is_workbook, opaque_marker, opaque_problems, suffix, with_content_types
-from gridspark.sources.ooxml import distinct_workbooks, read_elements, read_parts, read_workbooks
+from gridspark.sources.ooxml import BULK, distinct_workbooks, read_elements, read_parts, read_workbooks
 from gridspark.sources.tables import spread, written
 
 # The number formats that have no text of their own in a workbook.
@@ -21,8 +24,12 @@ BUILT_IN_FORMATS = {
     45: "mm:ss", 46: "[h]:mm:ss", 47: "mmss.0", 48: "##0.0E+0", 49: "@",
 }
 WORKSHEET, TABLE, COMMENTS = "/worksheet", "/table", "/comments"
+#: The parts that a workbook's relations name, and their names where these don't.
+ROLES = {"book_part": ("/officeDocument", "xl/workbook.xml"), "styles_part": ("/styles", "xl/styles.xml"), "strings_part": ("/sharedStrings", "xl/sharedStrings.xml")}
 #: The order of layout objects in a sheet: kind first, then place.
 ROWS, COLUMNS, PANES, VALIDATIONS, FORMATS, CELL_MARKS, PROTECTION = (k << 48 for k in range(7))
+#: Bytes of a row group of unzipped pieces: tasks that parse them are dealt row groups.
+PARTS_BLOCK = 8 << 20
 DESTINATION = r"((?:'(?:[^']|'')+'|[^'!,()*+\-/&<>= ]+))!(\$?[A-Z]{1,3}\$?[0-9]+(?::\$?[A-Z]{1,3}\$?[0-9]+)?)"
 
 
@@ -50,14 +57,14 @@ def cell_row(address: Column) -> Column:
 
 
 def cell_column(address: Column) -> Column:
-    letters = F.split(F.regexp_extract(address, r"^\$?([A-Z]+)", 1), "")
-    return F.aggregate(letters, F.lit(0).cast("long"), lambda n, ch: n * 26 + F.ascii(ch) - 64)
+    return column_of(F.regexp_extract(address, r"^\$?([A-Z]+)", 1))
 
 
-def relations(elements: DataFrame) -> DataFrame:
-    """(sha256, part, rel_id, type, target, external): target is a part's full name unless it is external."""
-    rows = elements.where("tag = 'Relationship'")
-    owner = F.regexp_replace("part", r"_rels/([^/]+)\.rels$", "$1")
+def relations(facts: DataFrame) -> DataFrame:
+    """(sha256, part, rel_id, type, target, external): target is a part's full name unless it is external; the package
+    itself is part ''."""
+    rows = facts.where("tag = 'Relationship'")
+    owner = F.when(F.col("part") == "_rels/.rels", "").otherwise(F.regexp_replace("part", r"_rels/([^/]+)\.rels$", "$1"))
     folder, target = F.regexp_extract(owner, "^(.*/)?[^/]*$", 1), attr("Target")
     full = F.when(target.startswith("/"), F.substring(target, 2, 2**30)).otherwise(F.concat(folder, target))
     for _ in range(3):  # a/b/../c is a/c
@@ -66,16 +73,47 @@ def relations(elements: DataFrame) -> DataFrame:
     return rows.select("sha256", owner.alias("part"), attr("Id").alias("rel_id"), attr("Type").alias("type"), F.when(external, target).otherwise(full).alias("target"), external.alias("external"))
 
 
-def number_formats(elements: DataFrame) -> DataFrame:
-    """(sha256, style_id, number_format) of every cell style."""
-    styles = elements.where("part = 'xl/styles.xml'")
-    own = styles.where("tag = 'numFmt'").select("sha256", attr("numFmtId").cast("long").alias("format_id"), attr("formatCode").alias("own"))
-    order = Window.partitionBy("sha256").orderBy("seq")
-    cell_styles = styles.where("tag = 'xf'").select("sha256", (F.row_number().over(order) - 1).cast("long").alias("style_id"), F.coalesce(attr("numFmtId"), F.lit("0")).cast("long").alias("format_id"))
+def part_roles(books: DataFrame, rels: DataFrame) -> DataFrame:
+    """(sha256, book_part, styles_part, strings_part) of each workbook."""
+    named = rels.where("not external").groupBy("sha256").agg(*[F.min(F.when(F.col("type").endswith(kind) & ((F.col("part") == "") == (role == "book_part")), F.col("target"))).alias(role) for role, (kind, _) in ROLES.items()])
+    return books.select("sha256").join(named, "sha256", "left").select("sha256", *[F.coalesce(role, F.lit(name)).alias(role) for role, (_, name) in ROLES.items()])
+
+
+def in_role(elements: DataFrame, roles: DataFrame, role: str) -> DataFrame:
+    """The elements of the part that has the role in its workbook."""
+    return elements.join(roles.select("sha256", F.col(role).alias("part")), ["sha256", "part"], "left_semi")
+
+
+def number_formats(styles: DataFrame) -> DataFrame:
+    """(sha256, style_id, number_format) of every cell style, each once."""
+    own = styles.where("tag = 'numFmt'").groupBy("sha256", attr("numFmtId").cast("long").alias("format_id")).agg(F.max_by(attr("formatCode"), "seq").alias("own"))
+    cell_styles = styles.where("tag = 'xf'").select("sha256", F.col("nth").alias("style_id"), F.coalesce(attr("numFmtId"), F.lit("0")).cast("long").alias("format_id"))
     fixed = F.create_map(*[F.lit(x) for kv in BUILT_IN_FORMATS.items() for x in (kv[0], kv[1])])
     return cell_styles.join(own, ["sha256", "format_id"], "left").select("sha256", "style_id", F.coalesce("own", fixed[F.col("format_id").cast("int")], F.lit("General")).alias("number_format"))
 
 
+def shared_strings(strings: DataFrame) -> DataFrame:
+    """(sha256, v, shared): each text under its number. A string is numbered within its piece of the part; the strings of
+    the pieces before are summed over one row a piece."""
+    pieces = strings.where("tag = 'piece'").select("sha256", "piece", "nth")
+    before = F.sum("nth").over(Window.partitionBy("sha256").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = pieces.select("sha256", "piece", before.alias("before")).where("before > 0")
+    numbered = strings.where("tag = 'si'").join(offsets, ["sha256", "piece"], "left")
+    return numbered.select("sha256", (F.col("nth") + F.coalesce("before", F.lit(0))).cast("string").alias("v"), F.col("text").alias("shared"))
+
+
+def with_shared_formulas(cells: DataFrame) -> DataFrame:
+    """cells with f written out where it is shared: the first of a sheet's cells with the same number that has a text is
+    read once, and the others are placed from what it read."""
+    shared = cells.where("si is not null")
+    first = F.min_by(F.struct("f", "row_no", "col_no"), "seq")
+    masters = shared.where("f is not null").groupBy("sha256", "part", "si").agg(first.alias("m"))
+    masters = masters.select("sha256", "part", "si", compiled(F.col("m.f")).alias("template"), F.col("m.row_no").alias("at_row"), F.col("m.col_no").alias("at_col"))
+    text = placed(F.col("template"), F.col("col_no") - F.col("at_col"), F.col("row_no") - F.col("at_row"))
+    out = shared.join(masters, ["sha256", "part", "si"], "left").withColumn("f", text)
+    return cells.where("si is null").unionByName(out.select(*cells.columns))
+
+
 def is_date_format(number_format: Column) -> Column:
     bare = F.regexp_replace(number_format, r'"[^"]*"|\\.|_.|\*.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "")
     return F.lower(bare).rlike("[dmhys]") & (number_format != "General")
@@ -89,26 +127,24 @@ def date_text(serial: Column, from_1904: Column) -> Column:
     return F.concat(F.date_format(at, "yyyy-MM-dd HH:mm:ss"), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)))
 
 
-def worksheets(elements: DataFrame, rels: DataFrame) -> DataFrame:
-    """(sha256, path, part, sheet_name, sheet_index, state) of worksheets, in the workbook's order."""
-    listed = elements.where("tag = 'sheet'").select("sha256", "path", "part", "seq", attr("name").alias("sheet_name"), F.coalesce(attr("state"), F.lit("visible")).alias("state"), attr("r:id").alias("rel_id"))
+def worksheets(book: DataFrame, rels: DataFrame) -> DataFrame:
+    """(sha256, path, part, sheet_name, sheet_index, state) of worksheets, in the workbook's order. book: the elements of
+    the workbooks' own parts."""
+    listed = book.where("tag = 'sheet'").select("sha256", "path", "part", "seq", attr("name").alias("sheet_name"), F.coalesce(attr("state"), F.lit("visible")).alias("state"), attr("r:id").alias("rel_id"))
     found = listed.join(rels.where(F.col("type").endswith(WORKSHEET)).select("sha256", "part", "rel_id", F.col("target").alias("sheet_part")), ["sha256", "part", "rel_id"])
     order = Window.partitionBy("sha256").orderBy("seq")
     return found.select("sha256", "path", F.col("sheet_part").alias("part"), "sheet_name", (F.row_number().over(order) - 1).cast("long").alias("sheet_index"), "state")
 
 
-def cells_of(elements: DataFrame, sheets: DataFrame) -> DataFrame:
-    """The cells that hold something."""
-    raw = elements.where("tag = 'c'").select(
-        "sha256", "part", attr("r").alias("address"), F.coalesce(attr("t"), F.lit("n")).alias("t"), F.coalesce(attr("s"), F.lit("0")).cast("long").alias("style_id"),
-        attr("v").alias("v"), attr("f").alias("f"), attr("is").alias("inline"),
-    ).where("v is not null or f is not null or inline is not null")
-    order = Window.partitionBy("sha256").orderBy("seq")
-    strings = elements.where("tag = 'si'").select("sha256", (F.row_number().over(order) - 1).cast("string").alias("v"), F.lit("s").alias("t"), F.col("text").alias("shared"))
-    dated = elements.where("tag = 'workbookPr'").groupBy("sha256").agg(F.max(truth(attr("date1904"))).alias("from_1904"))
+def cells_of(content: DataFrame, sheets: DataFrame, strings: DataFrame, formats: DataFrame, book: DataFrame) -> DataFrame:
+    """The cells that hold something: (sheets' and strings' elements, worksheets, shared_strings, number_formats, the
+    workbooks' elements). No join is one to many, so there are as many cells as the sheets have."""
+    raw = content.where("tag = 'c' and (v is not null or f is not null or si is not null or inline is not null)").select("sha256", "part", "seq", "row_no", "col_no", "t", "style_id", "v", "f", "si", "inline")
+    dated = book.where("tag = 'workbookPr'").groupBy("sha256").agg(F.max(truth(attr("date1904"))).alias("from_1904"))
     joined = (
-        raw.join(sheets.select("sha256", "part", "path", "sheet_name", "sheet_index"), ["sha256", "part"]).join(strings, ["sha256", "t", "v"], "left")
-        .join(number_formats(elements), ["sha256", "style_id"], "left").join(dated, "sha256", "left")
+        with_shared_formulas(raw).withColumn("address", F.concat(column_letters(F.col("col_no")), F.col("row_no").cast("string")))
+        .join(sheets.select("sha256", "part", "path", "sheet_name", "sheet_index"), ["sha256", "part"])
+        .join(strings.withColumn("t", F.lit("s")), ["sha256", "t", "v"], "left").join(formats, ["sha256", "style_id"], "left").join(dated, "sha256", "left")
     )
     shown = F.coalesce("number_format", F.lit("General"))
     number = F.expr("try_cast(v as double)")
@@ -127,7 +163,7 @@ def cells_of(elements: DataFrame, sheets: DataFrame) -> DataFrame:
     has = F.col("formula").isNotNull()
     letter = F.when(F.col("f").isNotNull(), "f").when(is_date | (F.col("t") == "d"), "d").when(F.col("t").isin("inlineStr", "s", "str"), "s").otherwise(F.col("t"))
     return filled.select(
-        "sha256", "sheet_name", "sheet_index", cell_row(F.col("address")).alias("row"), cell_column(F.col("address")).alias("column"), "address",
+        "sha256", "sheet_name", "sheet_index", F.col("row_no").alias("row"), F.col("col_no").alias("column"), "address",
         F.when(has, "formula").otherwise("value").alias("kind"), F.when(~has, F.col("value")).alias("value"), F.when(~has, F.col("value_type")).alias("value_type"),
         letter.alias("data_type"), shown.alias("number_format"), "formula", "style_id",
         location(path=F.col("path"), object_type="cell", sheet=F.col("sheet_name"), index=F.col("sheet_index"), address=F.col("address"), object_id=F.concat_ws("!", "sheet_name", "address")).alias("loc"),
@@ -143,42 +179,69 @@ def _range(rows: DataFrame, scope: str, kind: str, seq: Column, address: Column,
     )
 
 
-def ranges_of(elements: DataFrame, sheets: DataFrame, rels: DataFrame) -> DataFrame:
+def rectangle(area: Column) -> Column:
+    """struct<top, left, bottom, right> of an area like A1, A1:B2, A:B or 1:2; null for any other text."""
+    pattern = r"^\$?([A-Z]*)\$?([0-9]*)(?::\$?([A-Z]*)\$?([0-9]*))?$"
+    part = lambda k: F.nullif(F.regexp_extract(F.upper(area), pattern, k), F.lit(""))
+    row = lambda k, other: F.coalesce(part(k).try_cast("long"), other)
+    column = lambda k, other: F.when(part(k).isNull(), other).otherwise(column_of(part(k)))
+    two, none = F.contains(area, F.lit(":")), F.lit(None).cast("long")
+    ends = lambda first, last, least, most: (row(first, F.when(two, F.lit(least).cast("long")).otherwise(none)), F.when(two, row(last, F.lit(most).cast("long"))).otherwise(row(first, none)))
+    (top, bottom) = ends(2, 4, 1, SHEET_ROWS)
+    left = column(1, F.when(two, F.lit(1).cast("long")))
+    right = F.when(two, column(3, F.lit(SHEET_COLUMNS).cast("long"))).otherwise(column(1, none))
+    box = F.struct(F.least(top, bottom).alias("top"), F.least(left, right).alias("left"), F.greatest(top, bottom).alias("bottom"), F.greatest(left, right).alias("right"))
+    return F.when(area.rlike(r"^\$?[A-Za-z]{0,3}\$?[0-9]{0,7}(:\$?[A-Za-z]{0,3}\$?[0-9]{0,7})?$") & top.isNotNull() & bottom.isNotNull() & left.isNotNull() & right.isNotNull(), box)
+
+
+def cells_under(areas: DataFrame, used: DataFrame) -> DataFrame:
+    """areas (with sha256, part and ref) with row_no and col_no, a row for each cell of the area. Whole columns and rows
+    reach as far as the sheet is used (max_row, max_column of `used`)."""
+    boxed = areas.withColumn("box", rectangle(F.col("ref"))).where("box is not null").join(used, ["sha256", "part"], "left")
+    bottom = F.when(F.col("box.bottom") == SHEET_ROWS, F.least(F.col("box.bottom"), F.greatest(F.col("box.top"), F.coalesce("max_row", F.lit(1))))).otherwise(F.col("box.bottom"))
+    right = F.when(F.col("box.right") == SHEET_COLUMNS, F.least(F.col("box.right"), F.greatest(F.col("box.left"), F.coalesce("max_column", F.lit(1))))).otherwise(F.col("box.right"))
+    rows = boxed.withColumn("right", right).select("*", F.explode(F.sequence(F.col("box.top"), bottom)).alias("row_no"))
+    return rows.select("*", F.explode(F.sequence(F.col("box.left"), F.col("right"))).alias("col_no")).drop("box", "right", "max_row", "max_column")
+
+
+def ranges_of(content: DataFrame, facts: DataFrame, book: DataFrame, sheets: DataFrame, rels: DataFrame, used: DataFrame) -> DataFrame:
     """Merged cells and tables (scope sheet_range), layout objects (layout) and defined names (workbook)."""
-    placed = sheets.select("sha256", "part", "path", "sheet_name", "sheet_index")
-    on_sheet = elements.drop("path").join(placed, ["sha256", "part"])
+    placed_sheets = sheets.select("sha256", "part", "path", "sheet_name", "sheet_index")
+    on_sheet = content.where("tag not in ('c', 'si', 'piece', 'error')").select("sha256", "part", "seq", "tag", "attrs", "row_no").join(placed_sheets, ["sha256", "part"])
     of = lambda tag: on_sheet.where(F.col("tag") == tag)
     tagged = lambda prefix, c: F.concat(F.lit(prefix), c)
-    linked = lambda kind: placed.join(rels.where(F.col("type").endswith(kind) & ~F.col("external")).select("sha256", "part", "rel_id", "target"), ["sha256", "part"])
+    linked = lambda kind: placed_sheets.join(rels.where(F.col("type").endswith(kind) & ~F.col("external")).select("sha256", "part", "rel_id", "target"), ["sha256", "part"])
 
-    tables = elements.where("tag = 'table'").select("sha256", F.col("part").alias("target"), "attrs")
+    tables = facts.where("tag = 'table'").select("sha256", F.col("part").alias("target"), "attrs")
     table_rows = linked(TABLE).join(tables, ["sha256", "target"]).join(of("tablePart").select("sha256", "part", attr("r:id").alias("rel_id"), "seq"), ["sha256", "part", "rel_id"])
     hidden = truth(attr("hidden"))
     height, width = F.expr("try_cast(attrs['ht'] as double)"), F.coalesce(F.expr("try_cast(attrs['width'] as double)"), F.lit(13.0))
-    rows = of("row").where(hidden | (height != 0))
+    rows = of("row").where(hidden | (height != 0)).withColumn("number", F.col("row_no").cast("string"))
     columns = of("col").where(hidden | (width != 0)).withColumn("letters", column_letters(attr("min").cast("long")))
-    panes = of("pane").where(attr("state").isin("frozen", "frozenSplit") & attr("topLeftCell").isNotNull())
-    formats = of("conditionalFormatting").where(attr("sqref").isNotNull())
+    panes = of("pane").where(attr("state").isin("frozen", "frozenSplit") & attr("topLeftCell").isNotNull()).groupBy(*placed_sheets.columns).agg(F.min_by("attrs", "seq").alias("attrs"))
+    formats = of("conditionalFormatting").withColumn("sqref", attr("sqref")).where("sqref is not null").groupBy(*placed_sheets.columns, "sqref").agg(F.min("seq").alias("seq"))  # equal areas count once
     marks = lambda address, k: F.lit(CELL_MARKS) + cell_row(address) * 65536 + cell_column(address) * 2 + k
 
-    author_order = Window.partitionBy("sha256", "part").orderBy("seq")
-    authors = elements.where("tag = 'author'").select("sha256", F.col("part").alias("target"), (F.row_number().over(author_order) - 1).cast("string").alias("author_id"), F.coalesce("text", F.lit("")).alias("author"))
-    noted = elements.where("tag = 'comment'").select("sha256", F.col("part").alias("target"), attr("ref").alias("ref"), attr("authorId").alias("author_id"), F.col("text").alias("said"))
+    authors = facts.where("tag = 'author'").select("sha256", F.col("part").alias("target"), F.col("nth").cast("string").alias("author_id"), F.coalesce("text", F.lit("")).alias("author"))
+    noted = facts.where("tag = 'comment'").select("sha256", F.col("part").alias("target"), attr("ref").alias("ref"), attr("authorId").alias("author_id"), F.col("text").alias("said"))
     comments = linked(COMMENTS).join(noted, ["sha256", "target"]).join(authors, ["sha256", "target", "author_id"], "left")
-    links = of("hyperlink").withColumn("rel_id", attr("r:id")).join(rels.select("sha256", "part", "rel_id", "target"), ["sha256", "part", "rel_id"], "left").withColumn("cell", F.substring_index(attr("ref"), ":", 1))
+    marked = of("hyperlink").drop("row_no").select("*", attr("ref").alias("ref"), attr("r:id").alias("rel_id"), attr("location").alias("place"))
+    linked_cells = cells_under(marked, used).withColumn("cell", F.concat(column_letters(F.col("col_no")), F.col("row_no").cast("string")))
+    last = linked_cells.groupBy(*placed_sheets.columns, "cell").agg(F.max_by(F.struct("rel_id", "place"), "seq").alias("link"))  # a later link takes a cell over
+    links = last.select(*placed_sheets.columns, "cell", "link.rel_id", "link.place").join(rels.select("sha256", "part", "rel_id", "target"), ["sha256", "part", "rel_id"], "left")
 
     out = [
         _range(of("mergeCell"), "sheet_range", "merged_range", F.col("seq"), attr("ref")),
         _range(table_rows, "sheet_range", "table", F.col("seq") + 2**40, attr("ref"), attr("name"), attr("name"), {"display_name": attr("displayName")}),
-        _range(rows, "layout", "row_layout", ROWS + attr("r").cast("long"), attr("r"), None, tagged("row:", attr("r")), {"hidden": hidden, "height": height}),
+        _range(rows, "layout", "row_layout", ROWS + F.col("row_no"), F.col("number"), None, tagged("row:", F.col("number")), {"hidden": hidden, "height": height}),
         _range(columns, "layout", "column_layout", COLUMNS + attr("min").cast("long"), F.col("letters"), None, tagged("col:", F.col("letters")), {"hidden": hidden, "width": width}),
         _range(panes, "layout", "freeze_panes", F.lit(PANES), attr("topLeftCell"), None, F.lit("freeze_panes")),
         _range(of("dataValidation"), "layout", "data_validation", VALIDATIONS + F.col("seq"), attr("sqref"), None, tagged("dv:", attr("sqref")), {"type": attr("type"), "formula1": attr("formula1"), "formula2": attr("formula2")}),
-        _range(formats, "layout", "conditional_formatting", FORMATS + F.col("seq"), attr("sqref"), None, tagged("cf:", attr("sqref"))),
+        _range(formats, "layout", "conditional_formatting", FORMATS + F.col("seq"), F.col("sqref"), None, tagged("cf:", F.col("sqref"))),
         _range(comments, "layout", "comment", marks(F.col("ref"), 0), F.col("ref"), None, tagged("comment:", F.col("ref")), {"text": F.col("said"), "author": F.col("author")}),
-        _range(links, "layout", "hyperlink", marks(F.col("cell"), 1), F.col("cell"), None, tagged("hyperlink:", F.col("cell")), {"target": F.col("target"), "location": attr("location")}),
+        _range(links, "layout", "hyperlink", marks(F.col("cell"), 1), F.col("cell"), None, tagged("hyperlink:", F.col("cell")), {"target": F.col("target"), "location": F.col("place")}),
         _range(of("sheetProtection").where(truth(attr("sheet"))), "layout", "sheet_protection", F.lit(PROTECTION), F.lit("sheet"), None, F.lit("sheet_protection"), placed=False),
-        names_of(elements, sheets),
+        names_of(book, sheets),
     ]
     ranges = out[0]
     for more in out[1:]:
@@ -194,11 +257,11 @@ def destinations(text: Column) -> Column:
     return F.when(text.rlike(f"^{item}(?:,{item})*$"), pairs).otherwise(F.array().cast("array<struct<sheet:string,address:string>>"))
 
 
-def names_of(elements: DataFrame, sheets: DataFrame) -> DataFrame:
+def names_of(book: DataFrame, sheets: DataFrame) -> DataFrame:
     """Names of workbook scope, one row for each destination; a name without any has one row and no sheet."""
-    names = elements.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).select("sha256", "path", "seq", attr("name").alias("name"), F.coalesce("text", F.lit("")).alias("says"))
+    names = book.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).select("sha256", "path", "seq", attr("name").alias("name"), F.coalesce("text", F.lit("")).alias("says"))
     rows = names.select("*", F.posexplode_outer(destinations(F.col("says"))).alias("k", "d")).select("*", F.col("d.sheet").alias("sheet_name"), F.col("d.address").alias("address"))
-    known = rows.join(sheets.select("sha256", "sheet_name", "sheet_index"), ["sha256", "sheet_name"], "left")
+    known = rows.join(sheets.groupBy("sha256", "sheet_name").agg(F.min("sheet_index").alias("sheet_index")), ["sha256", "sheet_name"], "left")
     seq = F.col("seq") * 65536 + F.coalesce("k", F.lit(0))
     both = known.withColumn("shown", F.coalesce("address", "says"))
     out = _range(both, "workbook", "defined_name", seq, F.col("shown"), F.col("name"), F.col("name"), {"scope": F.lit("workbook")})
@@ -211,38 +274,55 @@ def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
 
 
 def inventory_of(files: DataFrame) -> Inventory:
-    """All frames of the workbooks in `files` (read_workbooks). Packages are unzipped and parsed once, here: parts and
+    """All frames of the workbooks in `files` (read_workbooks). Packages are unzipped and parsed once, here: pieces and
     elements are tables in the shared folder, so that nothing of an earlier call is used again, and a lost executor costs
-    nothing. `temporary_tables` deletes them when the frames have been used."""
+    nothing. The few facts of a workbook (relations, sheets, styles, names) are a table apart from the content of its
+    sheets, so that the planner knows how small they are: it broadcasts them, or else joins by shuffle and splits what is
+    skewed. `temporary_tables` deletes the tables when the frames have been used."""
     books = written(distinct_workbooks(files))
-    raw = written(read_parts(files.join(books.select("sha256", "path"), ["sha256", "path"], "left_semi")))
-    elements = written(read_elements(spread(raw)))  # the sheets of a few small files are parsed by all cores
-    rels = relations(elements)
-    sheets = worksheets(elements, rels)
-    types = lambda tag, key: elements.where(F.col("tag") == tag).select("sha256", attr(key).alias("name" if tag == "Override" else "extension"), attr("ContentType").alias("content_type"))
-    entries = raw.where("error is null").select("sha256", "path", "part_seq", "name", "size")
-    readable = elements.where("part = '[Content_Types].xml' and tag <> 'error'").select("sha256").distinct().withColumn("typed", F.lit(True))
+    raw = written(read_parts(files.join(books.select("sha256", "path"), ["sha256", "path"], "left_semi")), block_bytes=PARTS_BLOCK)
+    bulk = F.coalesce(F.col("root").isin(*BULK), F.lit(False))
+    facts = written(read_elements(spread(raw.where(~bulk))))
+    content = written(read_elements(spread(raw.where(bulk))))  # the sheets of a few small files, and the pieces of a large one, are parsed by all cores
+    rels = relations(facts)
+    roles = written(part_roles(books, rels))
+    book = in_role(facts, roles, "book_part")
+    sheets = written(worksheets(book, rels))
+    types = lambda tag, key: facts.where(F.col("tag") == tag).select("sha256", attr(key).alias("name" if tag == "Override" else "extension"), attr("ContentType").alias("content_type"))
+    entries = raw.where("error is null and piece = 0").select("sha256", "path", "part_seq", "name", "size")
+    readable = facts.where("part = '[Content_Types].xml' and tag <> 'error'").select("sha256").distinct().withColumn("typed", F.lit(True))
     parts = (
         with_content_types(entries, types("Override", "PartName"), types("Default", "Extension")).join(readable, "sha256", "left")
         .withColumns({"content_type": F.when(F.col("typed"), F.col("content_type")), "relationship_type": F.lit(None).cast("string"), "opaque": opaque_marker(F.col("name")).isNotNull(),
                       "loc": location(path=F.col("path"), object_type="ooxml_part", object_id=F.col("name"), part=F.col("name"))}).drop("typed")
     )
-    corrupt = raw.where("error is not null").select(
-        "sha256", F.lit("inventory").alias("origin"), F.array(F.lit(-1).cast("long")).alias("seq"), F.lit("corrupt_package").alias("feature_type"),
-        F.concat(F.lit("Package cannot be read: "), F.col("error")).alias("description"), F.lit("error").alias("severity"), F.lit(True).alias("opaque"),
-        F.create_map().cast("map<string,string>").alias("metadata"), location(path=F.col("path"), object_type="workbook").alias("loc"),
-    )
-    unsupported = file_type_problems(books).unionByName(opaque_problems(entries)).unionByName(corrupt)
-    used = elements.where("tag = 'c'").groupBy("sha256", "part").agg(F.max(cell_row(attr("r"))).alias("max_row"), F.max(cell_column(attr("r"))).alias("max_column"))
+    unsupported = file_type_problems(books).unionByName(opaque_problems(entries)).unionByName(corrupt_problems(raw, facts, content))
+    used = content.where("tag = 'c'").groupBy("sha256", "part").agg(F.max("row_no").alias("max_row"), F.max("col_no").alias("max_column"))
     sized = sheets.join(used, ["sha256", "part"], "left").withColumns({"max_row": F.coalesce("max_row", F.lit(1).cast("long")), "max_column": F.coalesce("max_column", F.lit(1).cast("long"))})
-    macro = raw.groupBy("sha256").agg(F.bool_or(F.col("name").contains("vbaProject.bin")).alias("vba"), F.bool_or(F.col("name") == "xl/workbook.xml").alias("whole"))
-    global_names = elements.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).groupBy("sha256").agg(F.countDistinct(attr("name")).alias("named"))
-    calc = elements.where("tag = 'calcPr'").groupBy("sha256").agg(F.max(F.coalesce(attr("calcMode"), F.lit("auto"))).alias("calc_mode"))
-    facts = books.join(macro, "sha256", "left").join(global_names, "sha256", "left").join(calc, "sha256", "left")
-    manifest = facts.select(
+    macro = raw.groupBy("sha256").agg(F.bool_or(F.col("name").contains("vbaProject.bin")).alias("vba"), F.bool_or(F.col("root") == "workbook").alias("whole"))
+    global_names = book.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).groupBy("sha256").agg(F.countDistinct(attr("name")).alias("named"))
+    calc = book.where("tag = 'calcPr'").groupBy("sha256").agg(F.max(F.coalesce(attr("calcMode"), F.lit("auto"))).alias("calc_mode"))
+    counted = books.join(macro, "sha256", "left").join(global_names, "sha256", "left").join(calc, "sha256", "left")
+    manifest = counted.select(
         "sha256", F.col("path").alias("workbook_path"), "other_paths", "file_name", "file_size",
         (is_workbook(F.col("path")) & ((F.lower(suffix(F.col("path"))) == "xlsm") | F.coalesce("vba", F.lit(False)))).alias("is_macro_enabled"),
         F.coalesce("named", F.lit(0)).cast("long").alias("named_ranges_count"),
         F.coalesce("calc_mode", F.when(F.col("whole"), "auto")).alias("calc_mode"),  # automatic where a workbook doesn't say
     )
-    return Inventory(books, manifest, sized, parts, cells_of(elements, sheets), ranges_of(elements, sheets, rels), unsupported)
+    cells = cells_of(content, sheets, shared_strings(in_role(content.where("tag in ('si', 'piece')"), roles, "strings_part")), number_formats(in_role(facts, roles, "styles_part")), book)
+    return Inventory(books, manifest, sized, parts, cells, ranges_of(content, facts, book, sheets, rels, used), unsupported)
+
+
+def corrupt_problems(raw: DataFrame, facts: DataFrame, content: DataFrame) -> DataFrame:
+    """A diagnostic for each package that is no zip, and each part that can't be unzipped, is too large, or is no XML."""
+    packages = raw.where("error is not null").select("sha256", "path", F.when(F.col("piece") == 0, F.lit(-1).cast("long")).otherwise(F.col("part_seq")).alias("at"), "name", F.col("error").alias("says"))
+    parsed = [df.where("tag = 'error'").select("sha256", "path", attr("part_seq").cast("long").alias("at"), F.col("part").alias("name"), F.col("text").alias("says")) for df in (facts, content)]
+    broken = parsed[0].unionByName(parsed[1]).groupBy("sha256", "path", "at", "name").agg(F.min("says").alias("says"))
+    rows = packages.unionByName(broken)
+    whole = F.col("name").isNull()
+    return rows.select(
+        "sha256", F.lit("inventory").alias("origin"), F.array("at").alias("seq"), F.when(whole, "corrupt_package").otherwise("corrupt_part").alias("feature_type"),
+        F.concat(F.when(whole, "Package cannot be read: ").otherwise(F.concat(F.lit("Part cannot be read: "), F.col("name"), F.lit(": "))), F.col("says")).alias("description"), F.lit("error").alias("severity"), F.lit(True).alias("opaque"),
+        F.create_map().cast("map<string,string>").alias("metadata"),
+        location(path=F.col("path"), object_type="workbook").withField("ooxml_part", F.col("name")).withField("object_type", F.when(whole, "workbook").otherwise("ooxml_part")).withField("object_id", F.col("name")).alias("loc"),
+    )

@@ -9,7 +9,9 @@ from gridspark.functions.text import column_letters, hints, location, python_rep
 from gridspark.operators import package
 from gridspark.operators.coverage import bound_problem, confidence_problem, location_problem
 from gridspark.operators.inventory import cell_column, date_text, destinations, is_date_format
-from gridspark.sources.ooxml import column_name, moved
+from gridspark.functions.lexer import moved
+from gridspark.sources.ooxml import CELL_ADDRESS, column_number
+from tests.test_lexer import letters as column_name
 
 #: (formula, references, external), from FIXTURES.md.
 FORMULAS = [
@@ -65,8 +67,10 @@ def test_destinations(spark):
 @pytest.mark.parametrize(("text", "start", "end", "want"), [
     ("A1+$B2*C$3+$D$4", "A1", "B3", "B3+$B4*D$3+$D$4"), ('IF(A1="A1",S!A1,\'A1 x\'!A1)', "B2", "B3", 'IF(A2="A1",S!A2,\'A1 x\'!A2)'), ("LOG10(A1)", "A1", "A2", "LOG10(A2)"), ("SUM(A1:B2)", "C1", "D1", "SUM(B1:C2)"), ("Z9", "A1", "B1", "AA9"),
 ])
-def test_shared_formulas_move(text, start, end, want):
-    assert moved(text, start, end) == want
+def test_shared_formulas_move(spark, text, start, end, want):
+    a, b = CELL_ADDRESS.match(start), CELL_ADDRESS.match(end)
+    by = column_number(b[1]) - column_number(a[1]), int(b[2]) - int(a[2])
+    assert spark.createDataFrame([(text,)], "t string").select(moved(f.F.col("t"), *map(f.F.lit, by))).collect()[0][0] == want
 
 
 def test_package_columns(spark):
