@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gridspark.functions.text import column_letters, let
+from gridspark.functions.text import letters_sql, sql_text
 
 ROWS, COLUMNS = 1_048_576, 16_384
 OUTSIDE = "#REF!"
@@ -39,114 +39,110 @@ BEGINS = 16
 #: The table as it is looked up: the next state, and BEGINS more where it begins a lexeme.
 FLAT = [to + BEGINS * (to not in CONTINUES[state]) for state, row in enumerate(TRANSITIONS) for to in row]
 LEXEMES = "array<struct<kind:int,text:string>>"
+PIECE = "struct<text:string,letters:string,column:bigint,row_sign:string,row:bigint,column_held:boolean,row_held:boolean>"
 
+# What follows is SQL text in the place of Column calls: a fold of this size is built, sent and analysed many times faster.
 
-def lexemes(formula: Column) -> Column:
-    """array<struct<kind, text>>: the formula in pieces, kind being the state that a piece began in."""
-    table = F.array(*[F.lit(x) for x in FLAT])
-
-    def step(acc: Column, ch: Column) -> Column:
-        at = F.instr(F.lit(SPECIAL), ch)
-        kind = F.when(at > 0, at).when(ch.rlike(WORDS), CLASSES - 1).otherwise(0)
 
-        def go(c: Column) -> Column:
-            code = F.element_at(table, acc["state"] * CLASSES + c + 1)
-            deeper = F.when(acc["state"].isin(BRACKET, OPERATOR, WORD, DONE, ERROR, ERROR_REST), F.when(c == 3, 1).when((c == 4) & (acc["state"] == BRACKET), -1)).otherwise(None)
-            depth = acc["depth"] + F.coalesce(deeper, F.lit(0))
+def bound(value: str, name: str, body: str) -> str:
+    """body with `name` standing for value, which is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
-            def put(m: Column) -> Column:
-                state = F.when((m["code"] % BEGINS == DONE) & (acc["state"] == BRACKET) & (m["depth"] > 0), BRACKET).otherwise(m["code"] % BEGINS)
-                ended = F.when(acc["text"] == "", acc["out"]).otherwise(F.concat(acc["out"], F.array(F.struct(acc["kind"].alias("kind"), acc["text"].alias("text")))))
-                new = m["code"] >= BEGINS
-                return F.struct(
-                    state.cast("int").alias("state"), m["depth"].alias("depth"), F.when(new, m["code"] % BEGINS).otherwise(acc["kind"]).cast("int").alias("kind"),
-                    F.when(new, ch).otherwise(F.concat(acc["text"], ch)).alias("text"), F.when(new, ended).otherwise(acc["out"]).alias("out"),
-                )
 
-            return let(F.struct(code.alias("code"), depth.cast("int").alias("depth")), put)
+def lexemes_sql(formula: str) -> str:
+    kind = f"case when instr({sql_text(SPECIAL)}, ch) > 0 then instr({sql_text(SPECIAL)}, ch) when ch rlike {sql_text(WORDS)} then {CLASSES - 1} else 0 end"
+    code = f"array({', '.join(map(str, FLAT))})[a.state * {CLASSES} + c]"
+    opens = f"a.state in ({OPERATOR}, {WORD}, {BRACKET}, {ERROR}, {ERROR_REST}, {DONE})"
+    depth = f"a.depth + case when c = 3 and {opens} then 1 when c = 4 and a.state = {BRACKET} then -1 else 0 end"
+    ended = "case when a.text = '' then a.out else concat(a.out, array(named_struct('kind', a.kind, 'text', a.text))) end"
+    new = f"m.code >= {BEGINS}"
+    after = (
+        f"named_struct('state', case when m.code % {BEGINS} = {DONE} and a.state = {BRACKET} and m.depth > 0 then {BRACKET} else m.code % {BEGINS} end, 'depth', m.depth, "
+        f"'kind', case when {new} then m.code % {BEGINS} else a.kind end, 'text', case when {new} then ch else concat(a.text, ch) end, 'out', case when {new} then {ended} else a.out end)"
+    )
+    step = bound(kind, "c", bound(f"named_struct('code', {code}, 'depth', {depth})", "m", after))
+    start = f"named_struct('state', {OPERATOR}, 'depth', 0, 'kind', {OPERATOR}, 'text', '', 'out', cast(array() as {LEXEMES}))"
+    return f"aggregate(regexp_extract_all({formula}, '(?s).', 0), {start}, (a, ch) -> {step}, a -> {ended})"
 
-        return let(kind.cast("int"), go)
 
-    start = F.struct(F.lit(OPERATOR).alias("state"), F.lit(0).alias("depth"), F.lit(OPERATOR).alias("kind"), F.lit("").alias("text"), F.array().cast(LEXEMES).alias("out"))
-    characters = F.regexp_extract_all(formula, F.lit(r"(?s)."), F.lit(0))
-    last = lambda a: F.when(a["text"] == "", a["out"]).otherwise(F.concat(a["out"], F.array(F.struct(a["kind"].alias("kind"), a["text"].alias("text")))))
-    return F.aggregate(characters, start, step, last)
+def column_sql(letters: str) -> str:
+    """A to 1, XFD to 16384."""
+    return f"aggregate(split(upper({letters}), ''), 0L, (n, l) -> n * 26 + ascii(l) - 64)"
 
 
 def column_of(letters: Column) -> Column:
-    """A to 1, XFD to 16384."""
     return F.aggregate(F.split(F.upper(letters), ""), F.lit(0).cast("long"), lambda n, ch: n * 26 + F.ascii(ch) - 64)
 
 
 CELL, WHOLE_COLUMN, WHOLE_ROW = r"^(\$?)([A-Za-z]{1,3})(\$?)([1-9][0-9]{0,6})$", r"^(\$?)([A-Za-z]{1,3})$", r"^(\$?)([1-9][0-9]{0,6})$"
-PIECE = "struct<text:string,letters:string,column:bigint,row_sign:string,row:bigint,column_held:boolean,row_held:boolean>"
 
 
-def _piece(text: Column, letters: Column | None = None, row_sign: Column | None = None, row: Column | None = None) -> Column:
-    """A piece of a word: a name (text only), or what it refers to. letters and row_sign have their dollar sign."""
-    none = F.lit(None)
-    column = none if letters is None else column_of(F.ltrim(letters, F.lit("$")))
-    held = lambda c: none if c is None else c.startswith("$")
-    fields = (text, none if letters is None else letters, column, none if row_sign is None else row_sign, none if row is None else row, held(letters), held(row_sign))
-    return F.struct(*[f.alias(n) for f, n in zip(fields, ("text", "letters", "column", "row_sign", "row", "column_held", "row_held"))]).cast(PIECE)
+def _piece(letters: str = "null", row_sign: str = "null", row: str = "null") -> str:
+    """A piece p of a word: a name (text only), or what it refers to. letters and row_sign have their dollar sign."""
+    column = "null" if letters == "null" else column_sql(f"ltrim('$', {letters})")
+    held = lambda c: "null" if c == "null" else f"startswith({c}, '$')"
+    return f"cast(named_struct('text', p, 'letters', {letters}, 'column', {column}, 'row_sign', {row_sign}, 'row', {row}, 'column_held', {held(letters)}, 'row_held', {held(row_sign)}) as {PIECE})"
 
 
-def _pieces(words: Column) -> Column:
+def _pieces(words: str) -> str:
     """The pieces of a word between its colons: cells, two whole columns, two whole rows, or names."""
-    part = lambda p, pattern, *groups: F.concat(*[F.regexp_extract(p, pattern, g) for g in groups])
-    number = lambda p, pattern, group: F.regexp_extract(p, pattern, group).try_cast("long")
-    as_columns = F.transform(words, lambda p: _piece(p, letters=part(p, WHOLE_COLUMN, 1, 2)))
-    as_rows = F.transform(words, lambda p: _piece(p, row_sign=F.regexp_extract(p, WHOLE_ROW, 1), row=number(p, WHOLE_ROW, 2)))
-    cell = lambda p: _piece(p, part(p, CELL, 1, 2), F.regexp_extract(p, CELL, 3), number(p, CELL, 4))
-    is_cell = lambda p: p.rlike(CELL) & (column_of(F.regexp_extract(p, CELL, 2)) <= COLUMNS) & F.coalesce(number(p, CELL, 4) <= ROWS, F.lit(False))
+    part = lambda pattern, group: f"regexp_extract(p, {sql_text(pattern)}, {group})"
+    fits = lambda pattern: f"p rlike {sql_text(pattern)}"
+    number = lambda pattern, group: f"try_cast({part(pattern, group)} as bigint)"
+    columns = f"{fits(WHOLE_COLUMN)} and {column_sql(part(WHOLE_COLUMN, 2))} <= {COLUMNS}"
+    rows = f"{fits(WHOLE_ROW)} and {number(WHOLE_ROW, 2)} <= {ROWS}"
+    cell = f"{fits(CELL)} and {column_sql(part(CELL, 2))} <= {COLUMNS} and {number(CELL, 4)} <= {ROWS}"
+    as_cell = _piece(f"concat({part(CELL, 1)}, {part(CELL, 2)})", part(CELL, 3), number(CELL, 4))
     return (
-        F.when((F.size(words) == 2) & F.forall(words, lambda p: p.rlike(WHOLE_COLUMN) & (column_of(F.regexp_extract(p, WHOLE_COLUMN, 2)) <= COLUMNS)), as_columns)
-        .when((F.size(words) == 2) & F.forall(words, lambda p: p.rlike(WHOLE_ROW) & (number(p, WHOLE_ROW, 2) <= ROWS)), as_rows)
-        .otherwise(F.transform(words, lambda p: F.when(is_cell(p), cell(p)).otherwise(_piece(p))))
+        f"case when size({words}) = 2 and forall({words}, p -> {columns}) then transform({words}, p -> {_piece(f'concat({part(WHOLE_COLUMN, 1)}, {part(WHOLE_COLUMN, 2)})')}) "
+        f"when size({words}) = 2 and forall({words}, p -> {rows}) then transform({words}, p -> {_piece(row_sign=part(WHOLE_ROW, 1), row=number(WHOLE_ROW, 2))}) "
+        f"else transform({words}, p -> case when {cell} then {as_cell} else {_piece()} end) end"
     )
 
 
-def compiled(formula: Column) -> Column:
-    """array<struct<text, pieces, tail>>: a formula ready to be placed. A lexeme that stays has its text; a word that refers
-    has pieces, and a tail where something follows its last colon that doesn't refer (the INDEX of A1:INDEX())."""
+def compiled_sql(formula: str) -> str:
+    following = "substring(coalesce(try_element_at(tokens, i + 2).text, ''), 1, 1)"
+    qualified = "(i > 0 and endswith(coalesce(try_element_at(tokens, greatest(i, 1)).text, ''), '!'))"
+    whole = f"not {following} in ('!', '(', '[')"
+    # a function, a table, a sheet's name, or two that sheets lie between, stays
+    stays = f"not ({whole}) and (size(w) = 1 or {following} = '!' and not {qualified})"
+    head = f"case when {whole} then w else slice(w, 1, size(w) - 1) end"
+    word = bound(
+        "split(t.text, ':')", "w",
+        f"named_struct('text', case when {stays} then t.text end, 'pieces', case when not ({stays}) then {bound(head, 'refers', _pieces('refers'))} end, "
+        f"'tail', case when not ({stays}) and not ({whole}) then concat(':', element_at(w, -1)) else '' end)",
+    )
+    fixed = f"named_struct('text', t.text, 'pieces', cast(null as array<{PIECE}>), 'tail', '')"
+    return bound(lexemes_sql(formula), "tokens", f"transform(tokens, (t, i) -> case when t.kind = {WORD} then {word} else {fixed} end)")
 
-    def of(tokens: Column) -> Column:
-        def word(t: Column, i: Column) -> Column:
-            following = F.substring(F.coalesce(F.try_element_at(tokens, i + 2)["text"], F.lit("")), 1, 1)
-            qualified = F.when(i > 0, F.endswith(F.try_element_at(tokens, F.greatest(i, F.lit(1)))["text"], F.lit("!"))).otherwise(False)
-            words = F.split(t["text"], ":")
-            whole = ~following.isin("!", "(", "[")
-            stays = ~whole & ((F.size(words) == 1) | (following == "!") & ~qualified)  # a function, a table, a sheet's name, or two that sheets lie between
-            refers = F.when(whole, words).otherwise(F.slice(words, F.lit(1), F.size(words) - 1))
-            return F.struct(
-                F.when(stays, t["text"]).alias("text"), F.when(~stays, _pieces(refers)).alias("pieces"),
-                F.when(~stays & ~whole, F.concat(F.lit(":"), F.element_at(words, -1))).otherwise("").alias("tail"),
-            )
 
-        fixed = lambda t: F.struct(t["text"].alias("text"), F.lit(None).cast(f"array<{PIECE}>").alias("pieces"), F.lit("").alias("tail"))
-        return F.transform(tokens, lambda t, i: F.when(t["kind"] == WORD, word(t, i)).otherwise(fixed(t)))
+def placed_sql(template: str, right: str, down: str) -> str:
+    column, row = f"(p.column + {right})", f"(p.row + {down})"
+    letters = f"case when p.column is null then '' when p.column_held then p.letters when {column} between 1 and {COLUMNS} then {letters_sql(column)} end"
+    digits = f"case when p.row is null then '' when p.row_held then concat(p.row_sign, cast(p.row as string)) when {row} between 1 and {ROWS} then cast({row} as string) end"
+    piece = f"case when p.column is null and p.row is null then p.text else concat({letters}, {digits}) end"
+    shifted = bound(f"transform(t.pieces, p -> {piece})", "s", f"case when exists(s, x -> x is null) then {sql_text(OUTSIDE)} else array_join(s, ':') end")
+    return f"array_join(transform({template}, t -> case when t.pieces is null then t.text else concat({shifted}, t.tail) end), '')"
 
-    return let(lexemes(formula), of)
 
+def lexemes(formula: str) -> Column:
+    """array<struct<kind, text>>: the formula (a column, as SQL text) in pieces, kind being the state a piece began in."""
+    return F.expr(lexemes_sql(formula))
 
-def placed(template: Column, right: Column, down: Column) -> Column:
-    """The text of a compiled formula `right` columns and `down` rows away from where it stood. That is arithmetic only."""
 
-    def piece(p: Column) -> Column:
-        column, row = p["column"] + right, p["row"] + down
-        letters = F.when(p["column"].isNull(), "").when(p["column_held"], p["letters"]).when(column.between(1, COLUMNS), column_letters(column))
-        digits = F.when(p["row"].isNull(), "").when(p["row_held"], F.concat(p["row_sign"], p["row"].cast("string"))).when(row.between(1, ROWS), row.cast("string"))
-        return F.when(p["column"].isNull() & p["row"].isNull(), p["text"]).otherwise(F.concat(letters, digits))
+def compiled(formula: str) -> Column:
+    """array<struct<text, pieces, tail>>: a formula ready to be placed. A lexeme that stays has its text; a word that refers
+    has pieces, and a tail where something follows its last colon that doesn't refer (the INDEX of A1:INDEX())."""
+    return F.expr(compiled_sql(formula))
 
-    def lexeme(t: Column) -> Column:
-        shifted = let(F.transform(t["pieces"], piece), lambda m: F.when(F.exists(m, lambda p: p.isNull()), F.lit(OUTSIDE)).otherwise(F.array_join(m, ":")))
-        return F.when(t["pieces"].isNull(), t["text"]).otherwise(F.concat(shifted, t["tail"]))
 
-    return F.array_join(F.transform(template, lexeme), "")
+def placed(template: str, right: str, down: str) -> Column:
+    """The text of a compiled formula `right` columns and `down` rows away from where it stood. That is arithmetic only."""
+    return F.expr(placed_sql(template, right, down))
 
 
-def moved(formula: Column, right: Column, down: Column) -> Column:
+def moved(formula: str, right: str, down: str) -> Column:
     """The formula as it reads `right` columns and `down` rows away: cells, ranges, whole columns and whole rows move
     along unless a dollar sign holds them, and become #REF! where they leave the sheet. Texts, sheet names, brackets,
     function names, error values and other names stay."""
-    return placed(compiled(formula), right, down)
+    return F.expr(bound(compiled_sql(formula), "template", placed_sql("template", right, down)))

@@ -45,6 +45,26 @@ def column_letters(number: Column) -> Column:
     return F.concat(first, second, letter(n - 1))
 
 
+def sql_text(text: str) -> str:
+    """A SQL literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def letters_sql(n: str) -> str:
+    """column_letters as SQL text, which is planned faster where it is part of something larger."""
+    letter = lambda k: f"char(cast(65 + ({k}) % 26 as int))"
+    return f"concat(case when {n} > 702 then {letter(f'({n} - 703) div 676')} else '' end, case when {n} > 26 then {letter(f'({n} - 27) div 26')} else '' end, {letter(f'{n} - 1')})"
+
+
+def location_sql(object_type: str, path: str = "path", sheet: str = "null", index: str = "null", address: str = "null", object_id: str = "null", part: str = "null") -> str:
+    """The provenance struct of `location` as SQL text."""
+    text = lambda c: f"cast({c} as string)"
+    return (
+        f"named_struct('workbook_path', {text(path)}, 'sheet_name', {text(sheet)}, 'sheet_index', cast({index} as bigint), 'address', {text(address)}, "
+        f"'object_type', {text(object_type)}, 'object_id', {text(object_id)}, 'ooxml_part', {text(part)})"
+    )
+
+
 def python_repr(text: Column) -> Column:
     """A string literal as Python prints it: double quotes only where the text holds a single quote and no double one."""
     plain = text

@@ -7,11 +7,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridspark.functions.formula import is_formula
 from gridspark.functions.lexer import COLUMNS as SHEET_COLUMNS
 from gridspark.functions.lexer import ROWS as SHEET_ROWS
-from gridspark.functions.lexer import column_of, compiled, placed
-from gridspark.functions.text import column_letters, location
+from gridspark.functions.lexer import column_sql, compiled_sql, placed
+from gridspark.functions.text import letters_sql, location_sql, sql_text
 from gridspark.operators.package import file_type_problems, is_workbook, opaque_marker, opaque_problems, suffix, with_content_types
 from gridspark.sources.ooxml import BULK, distinct_workbooks, read_elements, read_parts, read_workbooks
 from gridspark.sources.tables import spread, written
@@ -30,6 +29,9 @@ ROLES = {"book_part": ("/officeDocument", "xl/workbook.xml"), "styles_part": ("/
 ROWS, COLUMNS, PANES, VALIDATIONS, FORMATS, CELL_MARKS, PROTECTION = (k << 48 for k in range(7))
 #: Bytes of a row group of unzipped pieces: tasks that parse them are dealt row groups.
 PARTS_BLOCK = 8 << 20
+WHOLE_OR_PART = "if(name is null, 'workbook', 'ooxml_part')"
+NOTE_REF = "attrs['ref']"
+CELL_ID = "concat_ws('!', sheet_name, address)"
 DESTINATION = r"((?:'(?:[^']|'')+'|[^'!,()*+\-/&<>= ]+))!(\$?[A-Z]{1,3}\$?[0-9]+(?::\$?[A-Z]{1,3}\$?[0-9]+)?)"
 
 
@@ -52,14 +54,6 @@ def truth(value: Column) -> Column:
     return F.coalesce(F.lower(value).isin("1", "true"), F.lit(False))
 
 
-def cell_row(address: Column) -> Column:
-    return F.regexp_extract(address, r"([0-9]+)$", 1).cast("long")
-
-
-def cell_column(address: Column) -> Column:
-    return column_of(F.regexp_extract(address, r"^\$?([A-Z]+)", 1))
-
-
 def relations(facts: DataFrame) -> DataFrame:
     """(sha256, part, rel_id, type, target, external): target is a part's full name unless it is external; the package
     itself is part ''."""
@@ -108,8 +102,8 @@ def with_shared_formulas(cells: DataFrame) -> DataFrame:
     shared = cells.where("si is not null")
     first = F.min_by(F.struct("f", "row_no", "col_no"), "seq")
     masters = shared.where("f is not null").groupBy("sha256", "part", "si").agg(first.alias("m"))
-    masters = masters.select("sha256", "part", "si", compiled(F.col("m.f")).alias("template"), F.col("m.row_no").alias("at_row"), F.col("m.col_no").alias("at_col"))
-    text = placed(F.col("template"), F.col("col_no") - F.col("at_col"), F.col("row_no") - F.col("at_row"))
+    masters = masters.selectExpr("sha256", "part", "si", f"{compiled_sql('m.f')} as template", "m.row_no as at_row", "m.col_no as at_col")
+    text = placed("template", "(col_no - at_col)", "(row_no - at_row)")
     out = shared.join(masters, ["sha256", "part", "si"], "left").withColumn("f", text)
     return cells.where("si is null").unionByName(out.select(*cells.columns))
 
@@ -142,111 +136,112 @@ def cells_of(content: DataFrame, sheets: DataFrame, strings: DataFrame, formats:
     raw = content.where("tag = 'c' and (v is not null or f is not null or si is not null or inline is not null)").select("sha256", "part", "seq", "row_no", "col_no", "t", "style_id", "v", "f", "si", "inline")
     dated = book.where("tag = 'workbookPr'").groupBy("sha256").agg(F.max(truth(attr("date1904"))).alias("from_1904"))
     joined = (
-        with_shared_formulas(raw).withColumn("address", F.concat(column_letters(F.col("col_no")), F.col("row_no").cast("string")))
+        with_shared_formulas(raw).selectExpr("*", f"concat({letters_sql('col_no')}, cast(row_no as string)) as address")
         .join(sheets.select("sha256", "part", "path", "sheet_name", "sheet_index"), ["sha256", "part"])
         .join(strings.withColumn("t", F.lit("s")), ["sha256", "t", "v"], "left").join(formats, ["sha256", "style_id"], "left").join(dated, "sha256", "left")
     )
-    shown = F.coalesce("number_format", F.lit("General"))
-    number = F.expr("try_cast(v as double)")
-    is_date = (F.col("t") == "n") & is_date_format(shown) & number.isNotNull()
-    value = (
-        F.when(F.col("t") == "s", F.col("shared")).when(F.col("t") == "inlineStr", F.coalesce("inline", "v")).when(F.col("t") == "b", F.when(truth(F.col("v")), "true").otherwise("false"))
-        .when(is_date, date_text(number, F.coalesce("from_1904", F.lit(False)))).otherwise(F.col("v"))
+    shown, number = F.coalesce("number_format", F.lit("General")), F.expr("try_cast(v as double)")
+    read = joined.withColumns({"shown": shown, "is_date": (F.col("t") == "n") & is_date_format(shown) & number.isNotNull(), "date": date_text(number, F.coalesce("from_1904", F.lit(False)))})
+    truth_text = "case when lower(v) in ('1', 'true') then 'true' else 'false' end"
+    valued = read.selectExpr(
+        "*", f"case when t = 's' then shared when t = 'inlineStr' then coalesce(inline, v) when t = 'b' and v is not null then {truth_text} when is_date then date else v end as value",
+        r"case when t = 'b' then 'boolean' when t <> 'n' or is_date then 'string' when v rlike r'^[+-]?[0-9]{1,18}$' then 'long' else 'double' end as value_type",
     )
-    kind = (
-        F.when(F.col("t") == "b", "boolean").when((F.col("t") != "n") | is_date, "string").when(F.col("v").rlike(r"^[+-]?[0-9]{1,18}$"), "long").otherwise("double")
-    )
-    valued = joined.withColumns({"value": value, "value_type": kind, "formula": F.when(F.col("f").isNotNull(), F.concat(F.lit("="), F.col("f")))})
     # a text that begins with = counts as a formula
-    formula = F.coalesce("formula", F.when((F.col("value_type") == "string") & is_formula(F.col("value")), F.col("value")))
-    filled = valued.withColumn("formula", formula).where("formula is not null or value is not null")
-    has = F.col("formula").isNotNull()
-    letter = F.when(F.col("f").isNotNull(), "f").when(is_date | (F.col("t") == "d"), "d").when(F.col("t").isin("inlineStr", "s", "str"), "s").otherwise(F.col("t"))
-    return filled.select(
-        "sha256", "sheet_name", "sheet_index", F.col("row_no").alias("row"), F.col("col_no").alias("column"), "address",
-        F.when(has, "formula").otherwise("value").alias("kind"), F.when(~has, F.col("value")).alias("value"), F.when(~has, F.col("value_type")).alias("value_type"),
-        letter.alias("data_type"), shown.alias("number_format"), "formula", "style_id",
-        location(path=F.col("path"), object_type="cell", sheet=F.col("sheet_name"), index=F.col("sheet_index"), address=F.col("address"), object_id=F.concat_ws("!", "sheet_name", "address")).alias("loc"),
+    says = "coalesce(concat('=', f), case when value_type = 'string' and startswith(value, '=') then value end)"
+    filled = valued.selectExpr("*", f"{says} as formula").where("formula is not null or value is not null")
+    return filled.selectExpr(
+        "sha256", "sheet_name", "sheet_index", "row_no as row", "col_no as column", "address", "if(formula is null, 'value', 'formula') as kind",
+        "if(formula is null, value, null) as value", "if(formula is null, value_type, null) as value_type",
+        "case when f is not null then 'f' when is_date or t = 'd' then 'd' when t in ('inlineStr', 's', 'str') then 's' else t end as data_type", "shown as number_format", "formula", "style_id",
+        f"{location_sql(sql_text('cell'), sheet='sheet_name', index='sheet_index', address='address', object_id=CELL_ID)} as loc",
     )
 
 
-def _range(rows: DataFrame, scope: str, kind: str, seq: Column, address: Column, name: Column | None = None, object_id: Column | None = None, metadata: dict[str, Column] | None = None, placed: bool = True) -> DataFrame:
-    entries = [x for k, v in (metadata or {}).items() for x in (F.lit(k), v.cast("string"))]
-    return rows.select(
-        "sha256", F.lit(scope).alias("scope"), "sheet_name", "sheet_index", seq.cast("long").alias("seq"), (F.lit(None) if name is None else name).cast("string").alias("name"), address.alias("address"),
-        F.lit(kind).alias("kind"), (F.create_map(*entries) if entries else F.create_map()).cast("map<string,string>").alias("metadata"),
-        location(path=F.col("path"), object_type=kind, sheet=F.col("sheet_name"), index=F.col("sheet_index"), address=address if placed else None, object_id=address if object_id is None else object_id).alias("loc"),
-    )
+RANGE = ("sha256", "path", "scope", "sheet_name", "sheet_index", "seq", "name", "address", "kind", "metadata", "object_id", "placed")
+
 
+def _ranges(rows: DataFrame, scope: str, kind: str, seq: str, address: str, object_id: str, metadata: str = "map()", name: str = "null", placed: str = "true") -> DataFrame:
+    """Rows of ranges by SQL text; `located` gives them their provenance."""
+    text = {"scope": scope, "kind": kind, "seq": f"cast({seq} as bigint)", "name": f"cast({name} as string)", "address": address, "metadata": f"cast({metadata} as map<string,string>)", "object_id": object_id, "placed": placed}
+    return rows.selectExpr(*[f"{text[c]} as {c}" if c in text else c for c in RANGE])
 
-def rectangle(area: Column) -> Column:
-    """struct<top, left, bottom, right> of an area like A1, A1:B2, A:B or 1:2; null for any other text."""
-    pattern = r"^\$?([A-Z]*)\$?([0-9]*)(?::\$?([A-Z]*)\$?([0-9]*))?$"
-    part = lambda k: F.nullif(F.regexp_extract(F.upper(area), pattern, k), F.lit(""))
-    row = lambda k, other: F.coalesce(part(k).try_cast("long"), other)
-    column = lambda k, other: F.when(part(k).isNull(), other).otherwise(column_of(part(k)))
-    two, none = F.contains(area, F.lit(":")), F.lit(None).cast("long")
-    ends = lambda first, last, least, most: (row(first, F.when(two, F.lit(least).cast("long")).otherwise(none)), F.when(two, row(last, F.lit(most).cast("long"))).otherwise(row(first, none)))
-    (top, bottom) = ends(2, 4, 1, SHEET_ROWS)
-    left = column(1, F.when(two, F.lit(1).cast("long")))
-    right = F.when(two, column(3, F.lit(SHEET_COLUMNS).cast("long"))).otherwise(column(1, none))
-    box = F.struct(F.least(top, bottom).alias("top"), F.least(left, right).alias("left"), F.greatest(top, bottom).alias("bottom"), F.greatest(left, right).alias("right"))
-    return F.when(area.rlike(r"^\$?[A-Za-z]{0,3}\$?[0-9]{0,7}(:\$?[A-Za-z]{0,3}\$?[0-9]{0,7})?$") & top.isNotNull() & bottom.isNotNull() & left.isNotNull() & right.isNotNull(), box)
+
+def located(ranges: DataFrame) -> DataFrame:
+    loc = location_sql("kind", sheet="sheet_name", index="sheet_index", address="if(placed, address, null)", object_id="object_id")
+    return ranges.selectExpr("sha256", "scope", "sheet_name", "sheet_index", "seq", "name", "address", "kind", "metadata", f"{loc} as loc")
+
+
+#: A sheet's own elements: (tag, when it counts, scope, kind, seq, address, object id, metadata).
+HIDDEN = "coalesce(lower(attrs['hidden']) in ('1', 'true'), false)"
+HEIGHT, WIDTH = "try_cast(attrs['ht'] as double)", "coalesce(try_cast(attrs['width'] as double), 13.0D)"
+COLUMN = letters_sql("try_cast(attrs['min'] as bigint)")
+SHEET_OBJECTS = (
+    ("mergeCell", "attrs['ref'] is not null", "sheet_range", "merged_range", "seq", "attrs['ref']", "attrs['ref']", "map()"),
+    ("row", f"({HIDDEN} or {HEIGHT} <> 0)", "layout", "row_layout", f"{ROWS} + row_no", "cast(row_no as string)", "concat('row:', row_no)", f"map('hidden', cast({HIDDEN} as string), 'height', cast({HEIGHT} as string))"),
+    ("col", f"({HIDDEN} or {WIDTH} <> 0)", "layout", "column_layout", f"{COLUMNS} + try_cast(attrs['min'] as bigint)", COLUMN, f"concat('col:', {COLUMN})", f"map('hidden', cast({HIDDEN} as string), 'width', cast({WIDTH} as string))"),
+    ("pane", "nth = 0 and attrs['state'] in ('frozen', 'frozenSplit') and attrs['topLeftCell'] is not null", "layout", "freeze_panes", f"{PANES}", "attrs['topLeftCell']", "'freeze_panes'", "map()"),
+    ("dataValidation", "true", "layout", "data_validation", f"{VALIDATIONS} + seq", "attrs['sqref']", "concat('dv:', attrs['sqref'])", "map('type', attrs['type'], 'formula1', attrs['formula1'], 'formula2', attrs['formula2'])"),
+    ("sheetProtection", "coalesce(lower(attrs['sheet']) in ('1', 'true'), false)", "layout", "sheet_protection", f"{PROTECTION}", "'sheet'", "'sheet_protection'", "map()"),
+)
+
+
+def area_sql(ref: str) -> str:
+    """struct<top, left, bottom, right> of an area like A1, A1:B2, A:B or 1:2 as SQL text; null for any other text."""
+    pattern = sql_text(r"^\$?([A-Za-z]{0,3})\$?([0-9]{0,7})(?::\$?([A-Za-z]{0,3})\$?([0-9]{0,7}))?$")
+    part = lambda k: f"nullif(regexp_extract({ref}, {pattern}, {k}), '')"
+    row, column = lambda k: f"cast({part(k)} as bigint)", lambda k: f"if({part(k)} is null, null, {column_sql(part(k))})"
+    two = f"contains({ref}, ':')"
+    top, bottom = f"coalesce({row(2)}, if({two}, 1L, null))", f"coalesce({row(4)}, if({two}, {SHEET_ROWS}L, {row(2)}))"
+    left, right = f"coalesce({column(1)}, if({two}, 1L, null))", f"coalesce({column(3)}, if({two}, {SHEET_COLUMNS}L, {column(1)}))"
+    box = f"named_struct('top', least({top}, {bottom}), 'left', least({left}, {right}), 'bottom', greatest({top}, {bottom}), 'right', greatest({left}, {right}))"
+    return f"case when {ref} rlike {pattern} and {top} is not null and {bottom} is not null and {left} is not null and {right} is not null then {box} end"
 
 
 def cells_under(areas: DataFrame, used: DataFrame) -> DataFrame:
-    """areas (with sha256, part and ref) with row_no and col_no, a row for each cell of the area. Whole columns and rows
-    reach as far as the sheet is used (max_row, max_column of `used`)."""
-    boxed = areas.withColumn("box", rectangle(F.col("ref"))).where("box is not null").join(used, ["sha256", "part"], "left")
-    bottom = F.when(F.col("box.bottom") == SHEET_ROWS, F.least(F.col("box.bottom"), F.greatest(F.col("box.top"), F.coalesce("max_row", F.lit(1))))).otherwise(F.col("box.bottom"))
-    right = F.when(F.col("box.right") == SHEET_COLUMNS, F.least(F.col("box.right"), F.greatest(F.col("box.left"), F.coalesce("max_column", F.lit(1))))).otherwise(F.col("box.right"))
-    rows = boxed.withColumn("right", right).select("*", F.explode(F.sequence(F.col("box.top"), bottom)).alias("row_no"))
-    return rows.select("*", F.explode(F.sequence(F.col("box.left"), F.col("right"))).alias("col_no")).drop("box", "right", "max_row", "max_column")
+    """areas (with sha256, part and ref) with row_no, col_no and cell, a row for each cell of the area. Whole columns and
+    rows reach as far as the sheet is used (max_row, max_column of `used`)."""
+    boxed = areas.selectExpr("*", f"{area_sql('ref')} as box").where("box is not null").join(used, ["sha256", "part"], "left")
+    clipped = lambda end, start, whole, most: f"if(box.{end} = {whole}, least(box.{end}, greatest(box.{start}, coalesce({most}, 1L))), box.{end})"
+    rows = boxed.selectExpr("*", f"explode(sequence(box.top, {clipped('bottom', 'top', SHEET_ROWS, 'max_row')})) as row_no")
+    cells = rows.selectExpr("*", f"explode(sequence(box.left, {clipped('right', 'left', SHEET_COLUMNS, 'max_column')})) as col_no")
+    return cells.selectExpr("*", f"concat({letters_sql('col_no')}, cast(row_no as string)) as cell").drop("box", "max_row", "max_column")
 
 
 def ranges_of(content: DataFrame, facts: DataFrame, book: DataFrame, sheets: DataFrame, rels: DataFrame, used: DataFrame) -> DataFrame:
     """Merged cells and tables (scope sheet_range), layout objects (layout) and defined names (workbook)."""
-    placed_sheets = sheets.select("sha256", "part", "path", "sheet_name", "sheet_index")
-    on_sheet = content.where("tag not in ('c', 'si', 'piece', 'error')").select("sha256", "part", "seq", "tag", "attrs", "row_no").join(placed_sheets, ["sha256", "part"])
-    of = lambda tag: on_sheet.where(F.col("tag") == tag)
-    tagged = lambda prefix, c: F.concat(F.lit(prefix), c)
-    linked = lambda kind: placed_sheets.join(rels.where(F.col("type").endswith(kind) & ~F.col("external")).select("sha256", "part", "rel_id", "target"), ["sha256", "part"])
-
+    sheet = ["sha256", "part", "path", "sheet_name", "sheet_index"]
+    placed_sheets = sheets.select(*sheet)
+    on_sheet = written(content.where("tag not in ('c', 'si', 'piece', 'error') and (tag <> 'row' or attrs['hidden'] is not null or attrs['ht'] is not null)").select("sha256", "part", "seq", "nth", "tag", "attrs", "row_no")).join(placed_sheets, ["sha256", "part"])
+    of = lambda tag: on_sheet.where(f"tag = '{tag}'")
+    linked = lambda kind: placed_sheets.join(rels.where(f"endswith(type, '{kind}') and not external").select("sha256", "part", "rel_id", "target"), ["sha256", "part"])
+    choose = lambda k: "case tag " + " ".join(f"when '{o[0]}' then {o[k]}" for o in SHEET_OBJECTS) + " end"
+    named = lambda k: "case tag " + " ".join(f"when '{o[0]}' then '{o[k]}'" for o in SHEET_OBJECTS) + " end"
+    objects = on_sheet.where(" or ".join(f"tag = '{o[0]}' and {o[1]}" for o in SHEET_OBJECTS))
+
+    formats = of("conditionalFormatting").selectExpr("*", "attrs['sqref'] as sqref").where("sqref is not null").groupBy(*sheet, "sqref").agg(F.min("seq").alias("seq"))  # equal areas count once
     tables = facts.where("tag = 'table'").select("sha256", F.col("part").alias("target"), "attrs")
-    table_rows = linked(TABLE).join(tables, ["sha256", "target"]).join(of("tablePart").select("sha256", "part", attr("r:id").alias("rel_id"), "seq"), ["sha256", "part", "rel_id"])
-    hidden = truth(attr("hidden"))
-    height, width = F.expr("try_cast(attrs['ht'] as double)"), F.coalesce(F.expr("try_cast(attrs['width'] as double)"), F.lit(13.0))
-    rows = of("row").where(hidden | (height != 0)).withColumn("number", F.col("row_no").cast("string"))
-    columns = of("col").where(hidden | (width != 0)).withColumn("letters", column_letters(attr("min").cast("long")))
-    panes = of("pane").where(attr("state").isin("frozen", "frozenSplit") & attr("topLeftCell").isNotNull()).groupBy(*placed_sheets.columns).agg(F.min_by("attrs", "seq").alias("attrs"))
-    formats = of("conditionalFormatting").withColumn("sqref", attr("sqref")).where("sqref is not null").groupBy(*placed_sheets.columns, "sqref").agg(F.min("seq").alias("seq"))  # equal areas count once
-    marks = lambda address, k: F.lit(CELL_MARKS) + cell_row(address) * 65536 + cell_column(address) * 2 + k
-
-    authors = facts.where("tag = 'author'").select("sha256", F.col("part").alias("target"), F.col("nth").cast("string").alias("author_id"), F.coalesce("text", F.lit("")).alias("author"))
-    noted = facts.where("tag = 'comment'").select("sha256", F.col("part").alias("target"), attr("ref").alias("ref"), attr("authorId").alias("author_id"), F.col("text").alias("said"))
-    comments = linked(COMMENTS).join(noted, ["sha256", "target"]).join(authors, ["sha256", "target", "author_id"], "left")
-    marked = of("hyperlink").drop("row_no").select("*", attr("ref").alias("ref"), attr("r:id").alias("rel_id"), attr("location").alias("place"))
-    linked_cells = cells_under(marked, used).withColumn("cell", F.concat(column_letters(F.col("col_no")), F.col("row_no").cast("string")))
-    last = linked_cells.groupBy(*placed_sheets.columns, "cell").agg(F.max_by(F.struct("rel_id", "place"), "seq").alias("link"))  # a later link takes a cell over
-    links = last.select(*placed_sheets.columns, "cell", "link.rel_id", "link.place").join(rels.select("sha256", "part", "rel_id", "target"), ["sha256", "part", "rel_id"], "left")
+    table_rows = linked(TABLE).join(tables, ["sha256", "target"]).join(of("tablePart").selectExpr("sha256", "part", "attrs['r:id'] as rel_id", "seq"), ["sha256", "part", "rel_id"])
+    authors = facts.where("tag = 'author'").selectExpr("sha256", "part as target", "cast(nth as string) as author_id", "coalesce(text, '') as author")
+    noted = facts.where("tag = 'comment'").selectExpr("sha256", "part as target", "attrs['ref'] as cell", "attrs['authorId'] as author_id", "text as said", f"{area_sql(NOTE_REF)} as box")
+    comments = linked(COMMENTS).join(noted, ["sha256", "target"]).join(authors, ["sha256", "target", "author_id"], "left").selectExpr("*", "box.top as row_no", "box.left as col_no")
+    marked = of("hyperlink").drop("row_no").selectExpr("*", "attrs['ref'] as ref", "attrs['r:id'] as rel_id", "attrs['location'] as place")
+    last = cells_under(marked, used).groupBy(*sheet, "cell", "row_no", "col_no").agg(F.max_by(F.struct("rel_id", "place"), "seq").alias("link"))  # a later link takes a cell over
+    links = last.selectExpr(*sheet, "cell", "row_no", "col_no", "link.rel_id", "link.place").join(rels.select("sha256", "part", "rel_id", "target"), ["sha256", "part", "rel_id"], "left")
+    mark = lambda k: f"{CELL_MARKS} + row_no * 65536 + col_no * 2 + {k}"
 
     out = [
-        _range(of("mergeCell"), "sheet_range", "merged_range", F.col("seq"), attr("ref")),
-        _range(table_rows, "sheet_range", "table", F.col("seq") + 2**40, attr("ref"), attr("name"), attr("name"), {"display_name": attr("displayName")}),
-        _range(rows, "layout", "row_layout", ROWS + F.col("row_no"), F.col("number"), None, tagged("row:", F.col("number")), {"hidden": hidden, "height": height}),
-        _range(columns, "layout", "column_layout", COLUMNS + attr("min").cast("long"), F.col("letters"), None, tagged("col:", F.col("letters")), {"hidden": hidden, "width": width}),
-        _range(panes, "layout", "freeze_panes", F.lit(PANES), attr("topLeftCell"), None, F.lit("freeze_panes")),
-        _range(of("dataValidation"), "layout", "data_validation", VALIDATIONS + F.col("seq"), attr("sqref"), None, tagged("dv:", attr("sqref")), {"type": attr("type"), "formula1": attr("formula1"), "formula2": attr("formula2")}),
-        _range(formats, "layout", "conditional_formatting", FORMATS + F.col("seq"), F.col("sqref"), None, tagged("cf:", F.col("sqref"))),
-        _range(comments, "layout", "comment", marks(F.col("ref"), 0), F.col("ref"), None, tagged("comment:", F.col("ref")), {"text": F.col("said"), "author": F.col("author")}),
-        _range(links, "layout", "hyperlink", marks(F.col("cell"), 1), F.col("cell"), None, tagged("hyperlink:", F.col("cell")), {"target": F.col("target"), "location": F.col("place")}),
-        _range(of("sheetProtection").where(truth(attr("sheet"))), "layout", "sheet_protection", F.lit(PROTECTION), F.lit("sheet"), None, F.lit("sheet_protection"), placed=False),
+        _ranges(objects, named(2), named(3), choose(4), choose(5), choose(6), choose(7), placed="tag <> 'sheetProtection'"),
+        _ranges(table_rows, "'sheet_range'", "'table'", f"seq + {2**40}", "attrs['ref']", "attrs['name']", "map('display_name', attrs['displayName'])", "attrs['name']"),
+        _ranges(formats, "'layout'", "'conditional_formatting'", f"{FORMATS} + seq", "sqref", "concat('cf:', sqref)"),
+        _ranges(comments, "'layout'", "'comment'", mark(0), "cell", "concat('comment:', cell)", "map('text', said, 'author', author)"),
+        _ranges(links, "'layout'", "'hyperlink'", mark(1), "cell", "concat('hyperlink:', cell)", "map('target', target, 'location', place)"),
         names_of(book, sheets),
     ]
     ranges = out[0]
     for more in out[1:]:
         ranges = ranges.unionByName(more)
-    return ranges
+    return located(ranges)
 
 
 def destinations(text: Column) -> Column:
@@ -259,13 +254,10 @@ def destinations(text: Column) -> Column:
 
 def names_of(book: DataFrame, sheets: DataFrame) -> DataFrame:
     """Names of workbook scope, one row for each destination; a name without any has one row and no sheet."""
-    names = book.where((F.col("tag") == "definedName") & attr("localSheetId").isNull()).select("sha256", "path", "seq", attr("name").alias("name"), F.coalesce("text", F.lit("")).alias("says"))
-    rows = names.select("*", F.posexplode_outer(destinations(F.col("says"))).alias("k", "d")).select("*", F.col("d.sheet").alias("sheet_name"), F.col("d.address").alias("address"))
+    names = book.where("tag = 'definedName' and attrs['localSheetId'] is null").selectExpr("sha256", "path", "seq", "attrs['name'] as name", "coalesce(text, '') as says")
+    rows = names.select("*", F.posexplode_outer(destinations(F.col("says"))).alias("k", "d")).selectExpr("*", "d.sheet as sheet_name", "d.address as address")
     known = rows.join(sheets.groupBy("sha256", "sheet_name").agg(F.min("sheet_index").alias("sheet_index")), ["sha256", "sheet_name"], "left")
-    seq = F.col("seq") * 65536 + F.coalesce("k", F.lit(0))
-    both = known.withColumn("shown", F.coalesce("address", "says"))
-    out = _range(both, "workbook", "defined_name", seq, F.col("shown"), F.col("name"), F.col("name"), {"scope": F.lit("workbook")})
-    return out.withColumn("loc", F.when(F.col("sheet_name").isNull(), F.col("loc").withField("address", F.lit(None).cast("string"))).otherwise(F.col("loc")))
+    return _ranges(known, "'workbook'", "'defined_name'", "seq * 65536 + coalesce(k, 0)", "coalesce(address, says)", "name", "map('scope', 'workbook')", "name", "sheet_name is not null")
 
 
 def inventory(spark: SparkSession, paths: str | list[str]) -> Inventory:
@@ -294,7 +286,7 @@ def inventory_of(files: DataFrame) -> Inventory:
     parts = (
         with_content_types(entries, types("Override", "PartName"), types("Default", "Extension")).join(readable, "sha256", "left")
         .withColumns({"content_type": F.when(F.col("typed"), F.col("content_type")), "relationship_type": F.lit(None).cast("string"), "opaque": opaque_marker(F.col("name")).isNotNull(),
-                      "loc": location(path=F.col("path"), object_type="ooxml_part", object_id=F.col("name"), part=F.col("name"))}).drop("typed")
+                      "loc": F.expr(location_sql(sql_text("ooxml_part"), object_id="name", part="name"))}).drop("typed")
     )
     unsupported = file_type_problems(books).unionByName(opaque_problems(entries)).unionByName(corrupt_problems(raw, facts, content))
     used = content.where("tag = 'c'").groupBy("sha256", "part").agg(F.max("row_no").alias("max_row"), F.max("col_no").alias("max_column"))
@@ -319,10 +311,8 @@ def corrupt_problems(raw: DataFrame, facts: DataFrame, content: DataFrame) -> Da
     parsed = [df.where("tag = 'error'").select("sha256", "path", attr("part_seq").cast("long").alias("at"), F.col("part").alias("name"), F.col("text").alias("says")) for df in (facts, content)]
     broken = parsed[0].unionByName(parsed[1]).groupBy("sha256", "path", "at", "name").agg(F.min("says").alias("says"))
     rows = packages.unionByName(broken)
-    whole = F.col("name").isNull()
-    return rows.select(
-        "sha256", F.lit("inventory").alias("origin"), F.array("at").alias("seq"), F.when(whole, "corrupt_package").otherwise("corrupt_part").alias("feature_type"),
-        F.concat(F.when(whole, "Package cannot be read: ").otherwise(F.concat(F.lit("Part cannot be read: "), F.col("name"), F.lit(": "))), F.col("says")).alias("description"), F.lit("error").alias("severity"), F.lit(True).alias("opaque"),
-        F.create_map().cast("map<string,string>").alias("metadata"),
-        location(path=F.col("path"), object_type="workbook").withField("ooxml_part", F.col("name")).withField("object_type", F.when(whole, "workbook").otherwise("ooxml_part")).withField("object_id", F.col("name")).alias("loc"),
+    return rows.selectExpr(
+        "sha256", "'inventory' as origin", "array(at) as seq", "if(name is null, 'corrupt_package', 'corrupt_part') as feature_type",
+        "concat(if(name is null, 'Package cannot be read: ', concat('Part cannot be read: ', name, ': ')), says) as description", "'error' as severity", "true as opaque",
+        "cast(map() as map<string,string>) as metadata", f"{location_sql(WHOLE_OR_PART, object_id='name', part='name')} as loc",
     )

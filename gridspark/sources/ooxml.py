@@ -151,10 +151,14 @@ def root_of(head: bytes) -> re.Match | None:
     return ROOT.search(re.sub(rb"<!--.*?-->", lambda m: b" " * len(m[0]), head, flags=re.S))
 
 
+QUOTE = re.compile(rb"<!--|<!\[CDATA\[")
+QUOTES = re.compile(rb"<!--.*?-->|<!\[CDATA\[.*?\]\]>", re.S)
+
+
 def inside_quote(data: bytes, at: int) -> bool:
     """Whether `at` lies in a comment or a CDATA section, where tags are text."""
     here = 0
-    while m := re.compile(rb"<!--|<!\[CDATA\[").search(data, here, at):
+    while m := QUOTE.search(data, here, at):
         here = data.find(b"-->" if m[0] == b"<!--" else b"]]>", m.end())
         if here < 0 or here > at:
             return True
@@ -189,6 +193,8 @@ def cut(stream, head: bytes, prefix: bytes, name: bytes, root: re.Match, piece_b
 
 def last_row(piece: bytes, opening: re.Pattern, rows: int) -> int:
     """The number of the last row in a piece, rows without a number being counted on."""
+    if b"<!" in piece:
+        piece = QUOTES.sub(b"", piece)
     tags = [m.end() for m in opening.finditer(piece)]
     number = lambda at: ROW_NUMBER.search(piece, at, piece.find(b">", at))
     if not tags or (last := number(tags[-1])):

@@ -8,8 +8,8 @@ from gridspark.functions import formula as f
 from gridspark.functions.text import column_letters, hints, location, python_repr
 from gridspark.operators import package
 from gridspark.operators.coverage import bound_problem, confidence_problem, location_problem
-from gridspark.operators.inventory import cell_column, date_text, destinations, is_date_format
-from gridspark.functions.lexer import moved
+from gridspark.operators.inventory import date_text, destinations, is_date_format
+from gridspark.functions.lexer import column_of, moved
 from gridspark.sources.ooxml import CELL_ADDRESS, column_number
 from tests.test_lexer import letters as column_name
 
@@ -32,7 +32,7 @@ def test_references(spark):
 
 def test_column_letters(spark):
     numbers = [1, 26, 27, 52, 53, 702, 703, 704, 728, 729, 16384]
-    got = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", column_letters(f.F.col("n")).alias("a")).select("n", "a", cell_column(f.F.concat("a", f.F.lit("7"))).alias("back")).collect()
+    got = spark.createDataFrame([(n,) for n in numbers], "n int").select("n", column_letters(f.F.col("n")).alias("a")).select("n", "a", column_of(f.F.col("a")).alias("back")).collect()
     assert [(r.a, r.back) for r in got] == [(column_name(n), n) for n in numbers]
     assert column_name(16384) == "XFD"
 
@@ -70,7 +70,7 @@ def test_destinations(spark):
 def test_shared_formulas_move(spark, text, start, end, want):
     a, b = CELL_ADDRESS.match(start), CELL_ADDRESS.match(end)
     by = column_number(b[1]) - column_number(a[1]), int(b[2]) - int(a[2])
-    assert spark.createDataFrame([(text,)], "t string").select(moved(f.F.col("t"), *map(f.F.lit, by))).collect()[0][0] == want
+    assert spark.createDataFrame([(text,)], "t string").select(moved("t", *map(str, by))).collect()[0][0] == want
 
 
 def test_package_columns(spark):

@@ -73,9 +73,9 @@ def test_grammar(spark, seed):
         right, down = rng.choice([(0, 1), (1, 0), (1, 1), (-1, -1), (-3, 2), (700, 3000), (0, 0)])
         rows.append((*Grammar(rng, right, down).expression(2), right, down))
     table = spark.createDataFrame(rows, "f string, want string, right int, down int")
-    got = table.select("f", "want", "right", "down", lexer.moved(F.col("f"), F.col("right"), F.col("down")).alias("got")).collect()
+    got = table.select("f", "want", "right", "down", lexer.moved("f", "right", "down").alias("got")).collect()
     assert [r for r in got if r.got != r.want] == []
-    pieces = table.select("f", F.array_join(F.transform(lexer.lexemes(F.col("f")), lambda t: t["text"]), "").alias("back")).collect()
+    pieces = table.select("f", F.array_join(F.transform(lexer.lexemes("f"), lambda t: t["text"]), "").alias("back")).collect()
     assert all(r.f == r.back for r in pieces)
 
 
@@ -89,10 +89,10 @@ def test_grammar(spark, seed):
 )
 def test_known_formulas(spark, text, want):
     table = spark.createDataFrame([(text,)], "f string")
-    assert table.select(lexer.moved(F.col("f"), F.lit(1), F.lit(1))).collect()[0][0] == want
+    assert table.select(lexer.moved("f", "1", "1")).collect()[0][0] == want
 
 
 def test_kinds(spark):
     table = spark.createDataFrame([("'a'!B1+\"x\"&T[[c]]+#N/A",)], "f string")
-    got = [(r.kind, r.text) for r in table.select(lexer.lexemes(F.col("f")).alias("t")).collect()[0].t]
+    got = [(r.kind, r.text) for r in table.select(lexer.lexemes("f").alias("t")).collect()[0].t]
     assert got == [(lexer.NAME, "'a'"), (lexer.OPERATOR, "!"), (lexer.WORD, "B1"), (lexer.OPERATOR, "+"), (lexer.TEXT, '"x"'), (lexer.OPERATOR, "&"), (lexer.WORD, "T"), (lexer.BRACKET, "[[c]]"), (lexer.OPERATOR, "+"), (lexer.ERROR, "#N/A")]
