@@ -10,6 +10,7 @@ links, protection, names, opaque parts. Every third package is there a second ti
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
@@ -23,9 +24,9 @@ from gridspark.operators.graph import formula_graph
 from gridspark.operators.inventory import Inventory, inventory_of
 from gridspark.plans.pipeline import Decomposition, decompose
 from gridspark.plugins import registry
-from gridspark.sinks.store import artifact_rows
+from gridspark.sinks.json_files import LAYOUTS, artifact_lines, stage
 from gridspark.sources.ooxml import as_workbooks
-from gridspark.sources.tables import written
+from gridspark.sources.tables import shared_folder, written
 
 BOOK_CUSTOMERS = 1000
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
@@ -212,8 +213,12 @@ def workbook_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def workbook_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the JSON artifacts of each workbook hold, read back from their texts."""
-    rows = artifact_rows(whole(spark, sf_dir))
+    """What the JSON artifacts of each workbook hold, written by tasks and read back from their files."""
+    staging = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
+    stage(artifact_lines(whole(spark, sf_dir)), staging)
+    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!s]*.json").load(staging)
+    named = texts.select(F.element_at(F.split("path", "/"), -2).alias("sha256"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
+    rows = named.groupBy("sha256").pivot("name", list(LAYOUTS)).agg(F.first("text"))
     at = lambda name, path: F.get_json_object(f"`{name}`", path)
     size = lambda name, path: F.json_array_length(at(name, path)).cast("long")
     first = lambda key: at("inventory.json", f"$.sheets[0].{key}")

@@ -1,32 +1,35 @@
 """The artifact store: JSON artifacts in folders by content hash and run, with checksums, an index and verified reads.
 
     <out>/workbooks/<sha256>/<run_id>/<artifact>.json      what a run wrote
+    <out>/workbooks/<sha256>/index/<run_id>.json           the run's entry in the index
     <out>/workbooks/<sha256>/artifact_index.json           the workbook's runs
     <out>/<artifact>.json                                  the last run's copies
 
-Spark builds each workbook's artifacts as one row of JSON texts; the rows come to the driver one workbook at a time and
-are written there, each file under a temporary name first. Large corpora are better kept as tables (`write_tables`),
-partitioned by workbook, without a file per workbook.
+Tasks write the artifacts into a staging folder (json_files.py); a run is published by renaming. `out` is a local path or
+a URI of any file system that pyarrow knows. Several writers may publish at once: each adds the entry of its own run and
+then writes the index from all entries there are, until it holds them all, so no run is lost. Large corpora are better
+kept as tables (`write_tables`), partitioned by workbook, without a file per workbook.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-import os
-import shutil
+import re
 import uuid
-from collections.abc import Iterable
 from dataclasses import asdict, dataclass
 from datetime import UTC, datetime
 from pathlib import Path
+from urllib.parse import quote
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gridspark.contracts import ANY, ARTIFACT_SHAPES, SCHEMA_VERSION, mismatch, schema_of
 from gridspark.plans.pipeline import Decomposition
 from gridspark.plugins import BUILT_IN, registry
+from gridspark.sinks.json_files import LAYOUTS, artifact_lines, file_system, stage
 
 #: File names and the artifact type that each must hold.
 ARTIFACTS = {
@@ -38,10 +41,6 @@ ARTIFACTS = {
     "run_metadata.json": "run_metadata",
 }
 INDEX, METADATA = "artifact_index.json", "run_metadata.json"
-#: Metadata entries that are no text.
-TYPED = {"hidden": lambda v: v == "true", "height": float, "width": float, "bytes": int}
-
-
 @dataclass
 class ArtifactRecord:
     name: str
@@ -68,150 +67,109 @@ def sha256_of(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
-def cell_value() -> Column:
-    """A cell's value with its type."""
-    return F.expr(
-        "case value_type when 'long' then cast(try_cast(value as bigint) as variant) when 'double' then cast(try_cast(value as double) as variant) "
-        "when 'boolean' then cast(value = 'true' as variant) else cast(value as variant) end"
-    )
-
-
-def artifact_rows(done: Decomposition) -> DataFrame:
-    """(sha256, and one column of JSON text for each artifact but the metadata)."""
-    inv, head = done.inventory, [F.lit(SCHEMA_VERSION).alias("schema_version")]
-
-    def gathered(df: DataFrame, keys: list[str], order: str | list[str], row: Column, name: str) -> DataFrame:
-        keyed = F.struct(*[F.col(c) for c in ([order] if isinstance(order, str) else order)]).alias("k")
-        out = df.groupBy(*keys).agg(F.collect_list(F.struct(keyed, F.to_json(row, {"ignoreNullFields": "false"}).alias("j"))).alias("rows"))
-        return out.select(*keys, F.array_join(F.transform(F.array_sort("rows", lambda a, b: F.when(a["k"] < b["k"], -1).when(a["k"] > b["k"], 1).otherwise(0)), lambda r: r["j"]), ",").alias(name))
-
-    cell = F.struct(F.col("loc").alias("source_location"), "address", "row", "column", "kind", cell_value().alias("value"), "data_type", "number_format", "formula", "style_id")
-    ranged = F.struct(F.col("loc").alias("source_location"), "name", "address", "kind", "metadata")
-    problem = F.struct("feature_type", "description", F.col("loc").alias("source_location"), "severity", "opaque", "metadata")
-    per_sheet = ["sha256", "sheet_index"]
-    cells = gathered(inv.cells, per_sheet, ["row", "column"], cell, "cells")
-    ranges = gathered(inv.ranges.where("scope = 'sheet_range'"), per_sheet, "seq", ranged, "ranges")
-    layout = gathered(inv.ranges.where("scope = 'layout'"), per_sheet, "seq", ranged, "layout_objects")
-    names = gathered(inv.ranges.where("scope = 'workbook'"), ["sha256"], "seq", ranged, "workbook_ranges")
-    unsupported = inv.unsupported.unionByName(done.graph.unsupported)
-    known = gathered(inv.unsupported, ["sha256"], "seq", problem, "known")
-    unread = gathered(done.graph.unsupported, ["sha256"], "seq", problem, "unread")
-    every = gathered(unsupported.withColumn("late", (F.col("origin") == "graph").cast("int")), ["sha256"], ["late", "seq"], problem, "every")
-    parts = gathered(inv.parts, ["sha256"], "part_seq", F.struct("name", "content_type", "relationship_type", "size", "opaque", F.col("loc").alias("source_location")), "parts")
-    listed = gathered(inv.sheets, ["sha256"], "sheet_index", F.struct(F.col("sheet_name").alias("name"), F.col("sheet_index").alias("index"), "state", "max_row", "max_column"), "sheets")
-    nodes = gathered(done.graph.nodes, ["sha256"], "first_seq", F.struct("id", "kind", "label", F.col("loc").alias("source_location"), F.create_map().cast("map<string,string>").alias("metadata")), "nodes")
-    edges = gathered(done.graph.edges, ["sha256"], "seq", F.struct("source", "target", "relationship", "formula", F.col("loc").alias("source_location")), "edges")
-    items = gathered(done.items, ["sha256"], "seq", F.struct("id", "category", "confidence", "reasons", F.col("loc").alias("source_location"), "source_artifact_refs", F.col("hints").alias("actuarial_hints")), "items")
-    asked = gathered(done.questions, ["sha256"], "seq", F.struct("id", "prompt", "question_type", F.col("loc").alias("source_location"), "options", "default", "rationale"), "questions")
-
-    def array(name: str) -> Column:
-        return F.concat(F.lit("["), F.coalesce(F.col(name), F.lit("")), F.lit("]"))
-
-    def whole(fields: Column, **arrays: str) -> Column:
-        """A JSON object of the fields, and of arrays that are JSON already."""
-        body = F.to_json(fields, {"ignoreNullFields": "false"})
-        out = F.substring(body, F.lit(1), F.length(body) - 1)
-        for key, name in arrays.items():
-            out = F.concat(out, F.lit(f',"{key}":'), array(name))
-        return F.concat(out, F.lit("}"))
-
-    sheet_loc = F.struct(F.col("path").alias("workbook_path"), "sheet_name", "sheet_index", F.lit(None).cast("string").alias("address"), F.lit("sheet").alias("object_type"), F.lit(None).cast("string").alias("object_id"), F.lit(None).cast("string").alias("ooxml_part"))
-    full = inv.sheets.join(cells, per_sheet, "left").join(ranges, per_sheet, "left").join(layout, per_sheet, "left")
-    sheet = whole(F.struct(sheet_loc.alias("source_location"), F.col("sheet_name").alias("name"), F.col("sheet_index").alias("index"), "max_row", "max_column", "state"), cells="cells", ranges="ranges", layout_objects="layout_objects")
-    order = F.array_sort(F.collect_list(F.struct("sheet_index", sheet.alias("j"))))
-    sheets = full.groupBy("sha256").agg(F.array_join(F.transform(order, lambda r: r["j"]), ",").alias("full_sheets"))
-
-    def kind(name: str) -> Column:
-        return F.lit(name).alias("artifact_type")
-
-    book = inv.manifest
-    for more in (listed, parts, known, unread, every, sheets, names, nodes, edges, items, asked, done.coverage):
-        book = book.join(more, "sha256", "left")
-    covered = F.struct(F.col("recognized").alias("recognized_inventory_objects"), F.col("opaque").alias("unsupported_or_opaque_objects"), F.col("discovered").alias("discovered_workbook_objects"))
-    manifest = F.struct(*head, kind("workbook_manifest"), "workbook_path", "file_name", "file_size", "sha256", "is_macro_enabled", "named_ranges_count", "calc_mode")
-    return book.select(
-        "sha256",
-        whole(manifest, sheets="sheets", package_parts="parts", unsupported_features="known").alias("workbook_manifest.json"),
-        whole(F.struct(*head, kind("workbook_inventory"), F.col("sha256").alias("workbook_sha256"), covered.alias("coverage")), sheets="full_sheets", workbook_ranges="workbook_ranges", unsupported_features="known").alias("inventory.json"),
-        whole(F.struct(*head, kind("formula_graph")), nodes="nodes", edges="edges", unsupported_features="unread").alias("dependency_graph.json"),
-        whole(F.struct(*head, kind("module_classification")), items="items", unsupported_features="every").alias("module_classification.json"),
-        whole(F.struct(*head, kind("confirmation_template"), F.array().cast("array<string>").alias("decisions")), questions="questions").alias("confirmation_template.json"),
-    )
-
-
-def pretty(text: str) -> bytes:
-    """Indented JSON with typed metadata and a line end."""
-
-    def typed(pairs: list[tuple[str, object]]) -> dict:
-        out = dict(pairs)
-        if isinstance(out.get("metadata"), dict):
-            out["metadata"] = {k: TYPED[k](v) if k in TYPED and v is not None else v for k, v in out["metadata"].items()}
-        return out
-
-    return (json.dumps(json.loads(text, object_pairs_hook=typed), indent=2, ensure_ascii=False) + "\n").encode()
-
-
 @registry.implements("store", BUILT_IN, replace=True)
 def store_runs(done: Decomposition, out: str | Path) -> list[RunRecord]:
     return ArtifactStore(out).write_runs(done)
 
 
 class ArtifactStore:
-    """Written by one driver at a time."""
+    """Artifacts under `out`."""
 
     def __init__(self, out: str | Path) -> None:
-        self.out = Path(out).expanduser().resolve()
+        self.out = str(out) if re.match(r"[a-z][a-z0-9+.-]+:/", str(out)) else str(Path(out).expanduser().resolve())
+        self.system, self.root = file_system(self.out)
 
-    def workbook_dir(self, sha256: str) -> Path:
-        return self.out / "workbooks" / sha256
+    def workbook_dir(self, sha256: str) -> str:
+        return f"{self.root}/workbooks/{sha256}"
 
-    def run_dir(self, sha256: str, run_id: str) -> Path:
-        return self.workbook_dir(sha256) / run_id
+    def run_dir(self, sha256: str, run_id: str) -> str:
+        return f"{self.workbook_dir(sha256)}/{run_id}"
 
-    def put(self, path: Path, data: bytes) -> ArtifactRecord:
-        path.parent.mkdir(parents=True, exist_ok=True)
-        new = path.with_name(f".{path.name}.{uuid.uuid4().hex[:8]}")
-        new.write_bytes(data)
-        os.replace(new, path)
-        return ArtifactRecord(path.name, str(path), sha256_of(data), len(data))
+    def exists(self, path: str) -> bool:
+        return self.system.get_file_info(path).type != fs.FileType.NotFound
+
+    def read(self, path: str) -> bytes:
+        with self.system.open_input_stream(path) as found:
+            return found.read()
+
+    def put(self, path: str, data: bytes) -> ArtifactRecord:
+        """The file at once, as a whole."""
+        folder, _, name = path.rpartition("/")
+        self.system.create_dir(folder, recursive=True)
+        new = f"{folder}/.{name}.{uuid.uuid4().hex[:8]}"
+        with self.system.open_output_stream(new) as out:
+            out.write(data)
+        self.system.move(new, path)
+        return ArtifactRecord(name, path, sha256_of(data), len(data))
 
     def write_runs(self, done: Decomposition, run_id: str | None = None, replace: bool = False) -> list[RunRecord]:
-        """One run of every workbook. A run id that a workbook has already is refused unless `replace`."""
+        """One run of every workbook. A run id that a workbook has already is refused unless `replace`; then nothing is
+        published."""
         started = datetime.now(UTC)
         run_id = run_id if run_id is not None else new_run_id(started)
         if not run_id.strip():
             raise ValueError("run_id must not be blank")
-        return [self._write(row.asDict(), run_id, started, replace) for row in artifact_rows(done).toLocalIterator()]
-
-    def _write(self, texts: dict[str, str], run_id: str, started: datetime, replace: bool) -> RunRecord:
-        sha256 = texts.pop("sha256")
+        staging = f"{self.out}/.staging-{uuid.uuid4().hex}"
+        try:
+            staged = stage(artifact_lines(done), staging)
+            runs: dict[str, dict[str, dict]] = {}
+            for file in staged:
+                runs.setdefault(file["sha256"], {})[file["name"]] = file
+            for sha256 in runs:
+                if self.exists(self.run_dir(sha256, run_id)) and not replace:
+                    raise FileExistsError(f"run {run_id} of workbook {sha256} exists")
+            return [self._publish(sha256, files, run_id, started) for sha256, files in sorted(runs.items())]
+        finally:
+            _, root = file_system(staging)
+            if self.exists(root):
+                self.system.delete_dir(root)
+
+    def _publish(self, sha256: str, files: dict[str, dict], run_id: str, started: datetime) -> RunRecord:
         folder = self.run_dir(sha256, run_id)
-        if folder.exists() and not replace:
-            raise FileExistsError(f"run {run_id} of workbook {sha256} exists")
-        record = RunRecord(run_id, sha256, started.isoformat(), None, [self.put(folder / name, pretty(text)) for name, text in texts.items()])
-        record.completed_at = datetime.now(UTC).isoformat()
-        own = self.put(folder / METADATA, self._metadata(record))
-        record.artifacts.append(own)
+        self.system.create_dir(folder, recursive=True)
+        artifacts = []
+        for name in LAYOUTS:
+            self.system.move(files[name]["staged"], f"{folder}/{name}")
+            artifacts.append(ArtifactRecord(name, f"{folder}/{name}", files[name]["digest"], files[name]["bytes"]))
+        record = RunRecord(run_id, sha256, started.isoformat(), datetime.now(UTC).isoformat(), artifacts)
+        record.artifacts.append(self.put(f"{folder}/{METADATA}", self._metadata(record)))
         record.artifacts.append(self._index(record, folder))
-        record.artifacts[-2] = self.put(folder / METADATA, self._metadata(record))
+        record.artifacts[-2] = self.put(f"{folder}/{METADATA}", self._metadata(record))
         for artifact in record.artifacts[:-1]:
-            shutil.copy2(artifact.path, self.out / artifact.name)
+            self._copy(artifact.path, f"{self.root}/{artifact.name}")
         return record
 
+    def _copy(self, path: str, to: str) -> None:
+        new = f"{to}.{uuid.uuid4().hex[:8]}"
+        self.system.copy_file(path, new)
+        self.system.move(new, to)
+
     def _metadata(self, record: RunRecord) -> bytes:
         return (json.dumps({"schema_version": SCHEMA_VERSION, "artifact_type": "run_metadata", **asdict(record)}, indent=2) + "\n").encode()
 
-    def _index(self, record: RunRecord, folder: Path) -> ArtifactRecord:
-        path = self.workbook_dir(record.workbook_sha256) / INDEX
-        runs = json.loads(path.read_text()).get("runs", []) if path.exists() else []
-        entry = {"run_id": record.run_id, "run_dir": str(folder), "started_at": record.started_at, "completed_at": record.completed_at, "artifacts": [asdict(a) for a in record.artifacts]}
-        merged = {"schema_version": SCHEMA_VERSION, "workbook_sha256": record.workbook_sha256, "latest_run_id": record.run_id, "runs": [r for r in runs if r.get("run_id") != record.run_id] + [entry]}
-        data = (json.dumps(merged, indent=2) + "\n").encode()
-        self.put(self.out / INDEX, data)
-        return self.put(path, data)
+    def _index(self, record: RunRecord, folder: str) -> ArtifactRecord:
+        """The run's entry, and the index of all entries. What another writer adds meanwhile is seen afterwards, and the
+        index is written again; whoever writes last has seen all."""
+        home = self.workbook_dir(record.workbook_sha256)
+        entry = {"run_id": record.run_id, "run_dir": folder, "started_at": record.started_at, "completed_at": record.completed_at, "artifacts": [asdict(a) for a in record.artifacts]}
+        self.put(f"{home}/index/{quote(record.run_id, safe='')}.json", (json.dumps(entry) + "\n").encode())
+        while True:
+            listed = self._entries(home)
+            runs = [json.loads(self.read(path)) for path in listed]
+            runs.sort(key=lambda r: (r["completed_at"] or "", r["run_id"]))
+            index = {"schema_version": SCHEMA_VERSION, "workbook_sha256": record.workbook_sha256, "latest_run_id": runs[-1]["run_id"], "runs": runs}
+            data = (json.dumps(index, indent=2) + "\n").encode()
+            self.put(f"{self.root}/{INDEX}", data)
+            own = self.put(f"{home}/{INDEX}", data)
+            if self._entries(home) == listed:
+                return own
+
+    def _entries(self, home: str) -> list[str]:
+        found = self.system.get_file_info(fs.FileSelector(f"{home}/index"))
+        return sorted(f.path for f in found if f.base_name.endswith(".json") and not f.base_name.startswith("."))
 
     def read_json(self, path: str | Path, artifact_type: str | None = None) -> dict:
-        return self._checked(Path(path).read_bytes(), str(path), SCHEMA_VERSION, artifact_type)
+        return self._checked(self.read(str(path)), str(path), SCHEMA_VERSION, artifact_type)
 
     def _checked(self, data: bytes, path: str, version: str, artifact_type: str | None) -> dict:
         found = json.loads(data)
@@ -226,14 +184,14 @@ class ArtifactStore:
     def read_artifact(self, record: ArtifactRecord) -> dict:
         if record.name not in ARTIFACTS:
             raise ValueError(f"unknown artifact: {record.name}")
-        data = Path(record.path).read_bytes()
+        data = self.read(record.path)
         if sha256_of(data) != record.sha256:
             raise ValueError(f"checksum mismatch: {record.path}")
         return self._checked(data, record.path, record.schema_version, ARTIFACTS[record.name])
 
     def read_run(self, sha256: str, run_id: str) -> RunRecord:
         """The run's record after all its artifacts have been verified; index and metadata change later and are not."""
-        found = self.read_json(self.run_dir(sha256, run_id) / METADATA, "run_metadata")
+        found = self.read_json(f"{self.run_dir(sha256, run_id)}/{METADATA}", "run_metadata")
         artifacts = [ArtifactRecord(**a) for a in found["artifacts"]]
         for record in artifacts:
             if record.name not in (INDEX, METADATA):
