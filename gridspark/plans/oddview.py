@@ -10,6 +10,7 @@ areas of conditional formats, links over areas, and stray styles that no relatio
 from __future__ import annotations
 
 import io
+import uuid
 import zipfile
 from xml.sax.saxutils import escape, quoteattr
 
@@ -20,10 +21,15 @@ from pyspark.sql import functions as F
 from gridspark.operators.graph import formula_graph
 from gridspark.operators.inventory import Inventory, inventory_of
 from gridspark.plans.bookview import MAIN, OFFICE, PACKAGE, by_file, relations
+from gridspark.plans.pipeline import Decomposition, decompose
+from gridspark.plugins import registry
+from gridspark.sinks.store import INDEX, ArtifactStore, RunRecord
+from gridspark.sources.artifacts import cells_back, read_artifacts
 from gridspark.sources.ooxml import as_workbooks
-from gridspark.sources.tables import written
+from gridspark.sources.tables import shared_folder, written
 
 BOOK_SUPPLIERS = 200
+RUNS = ("first", "second")
 KRONA = '0.0" kr"'
 
 
@@ -90,7 +96,8 @@ def package(book: int, rows: list[tuple[int, str, int]]) -> bytes:
     return out.getvalue()
 
 
-def odd_books(spark: SparkSession, sf_dir: str) -> Inventory:
+def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(sha256, path, file_name, file_size, content) of the packages."""
     table = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey is not null")
     rows = table.selectExpr(f"s_suppkey div {BOOK_SUPPLIERS} as book", "cast(s_suppkey as long) as key", "coalesce(s_name, '') as name", "cast(coalesce(round(s_acctbal * 100), 0) as long) as cents")
 
@@ -99,7 +106,14 @@ def odd_books(spark: SparkSession, sf_dir: str) -> Inventory:
         book = int(ordered["book"].iloc[0])
         return pd.DataFrame({"path": [f"odd/odd-{book}.xlsx"], "content": [package(book, list(zip(map(int, ordered["key"]), ordered["name"], map(int, ordered["cents"]))))]})
 
-    return inventory_of(written(as_workbooks(rows.groupBy("book").applyInPandas(put, "path string, content binary"))))
+    return written(as_workbooks(rows.groupBy("book").applyInPandas(put, "path string, content binary")))
+
+
+registry.implements("read", "suppliers", replace=True)(odd_files)
+
+
+def odd_books(spark: SparkSession, sf_dir: str) -> Inventory:
+    return inventory_of(odd_files(spark, sf_dir))
 
 
 def odd_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,6 +138,40 @@ def odd_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_file(formula_graph(inv.cells).edges, inv).select("file", "source", "target")
 
 
+def stored(spark: SparkSession, sf_dir: str) -> tuple[Decomposition, str, list[RunRecord]]:
+    """The packages decomposed and stored twice, under a new folder of the shared one."""
+    done = decompose(spark, sf_dir, {"read": "suppliers"})
+    out = f"{shared_folder(spark)}/store-{uuid.uuid4().hex}"
+    return done, out, [record for run in RUNS for record in ArtifactStore(out).write_runs(done, run)]
+
+
+def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the runs say of their files, against the files: each hashed and measured anew by a task."""
+    done, out, runs = stored(spark, sf_dir)
+    said = spark.createDataFrame([(r.workbook_sha256, r.run_id, a.name, a.path, a.sha256, a.bytes) for r in runs for a in r.artifacts], "sha256 string, run_id string, name string, path string, said string, bytes long")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/workbooks").select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("own"), F.length("content").alias("size"))
+    where = F.endswith("path", F.concat(F.lit("/workbooks/"), F.col("sha256"), F.lit("/"), F.when(F.col("name") == INDEX, "").otherwise(F.concat("run_id", F.lit("/"))), F.col("name")))
+    rows = said.join(found, "path", "left").withColumn("placed", where)
+    return by_file(rows, done.inventory).select("file", "run_id", "name", F.coalesce(F.col("own") == F.col("said"), F.lit(False)).alias("hash_ok"), F.coalesce(F.col("size") == F.col("bytes"), F.lit(False)).alias("size_ok"), "placed")
+
+
+def store_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of each workbook's runs, and what of each run is read and verified again."""
+    done, out, runs = stored(spark, sf_dir)
+    store = ArtifactStore(out)
+    verified = spark.createDataFrame([(r.workbook_sha256, len(store.read_run(r.workbook_sha256, r.run_id).artifacts)) for r in runs if r.run_id == RUNS[0]], "sha256 string, verified long")
+    found = spark.read.schema("workbook_sha256 string, latest_run_id string, runs array<struct<run_id:string,artifacts:array<struct<name:string>>>>").option("multiLine", "true").json(f"{out}/workbooks/*/{INDEX}")
+    listed = found.select(F.col("workbook_sha256").alias("sha256"), F.col("latest_run_id").alias("latest"), F.array_join(F.col("runs.run_id"), ",").alias("runs"), F.size(F.col("runs")[0]["artifacts"]).cast("long").alias("n_artifacts"))
+    return by_file(listed.join(verified, "sha256", "left"), done.inventory).select("file", "latest", "runs", "n_artifacts", "verified")
+
+
+def store_cells_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of all packages from the JSON of their runs."""
+    done, out, _ = stored(spark, sf_dir)
+    cells = cells_back(read_artifacts(spark, f"{out}/workbooks/*/{RUNS[1]}/inventory.json", "workbook_inventory"))
+    return by_file(cells, done.inventory).select("file", F.col("sheet_name").alias("sheet"), F.col("row").alias("row_no"), F.col("column").alias("col_no"), "address", "kind", "value", F.col("number_format").alias("fmt"), "formula")
+
+
 _ROWS = f"""s as (
   select s_suppkey // {BOOK_SUPPLIERS} as book, s_suppkey as key, coalesce(s_name, '') as name, coalesce(round(s_acctbal * 100), 0)::bigint as cents,
          row_number() over (partition by s_suppkey // {BOOK_SUPPLIERS} order by s_suppkey) + 1 as r from supplier where s_suppkey is not null
@@ -140,7 +188,7 @@ _CELLS = " union all ".join(
 _FILE = "'odd-' || book || '.xlsx' as file"
 _URL = "'https://example.com/' || book || '|'"
 
-QUERIES = {f.__name__: f for f in (odd_cells, odd_ranges, odd_manifest, odd_edges)}
+QUERIES = {f.__name__: f for f in (odd_cells, odd_ranges, odd_manifest, odd_edges, store_records, store_index, store_cells_back)}
 ORACLES = {
     "odd_cells": f"with {_ROWS} select {_FILE}, sheet, r::bigint as row_no, c::bigint as col_no, chr((64 + c)::int) || r as address, kind, value, fmt, formula from ({_CELLS})",
     "odd_ranges": f"with {_ROWS} select {_FILE}, kind, sheet as sheet_name, address, told from (select book, 'freeze_panes' as kind, 'Q1' as sheet, 'A2' as address, '|' as told from b union all select book, 'conditional_formatting', 'Q1', 'C2:C' || last, '|' from b "
@@ -148,4 +196,8 @@ ORACLES = {
     "odd_manifest": f"with {_ROWS} select {_FILE}, 1::bigint as named, 'auto' as calc_mode, 'Q1:' || last || ':8,FY24:1:1' as sheets from b",
     "odd_edges": f"with {_ROWS} select {_FILE}, 'cell:Q1!' || cell as source, target from (select book, 'E' || r as cell, unnest(['cell:Q1!A' || r, 'cell:FY24!A1']) as target from s union all select book, unnest(['F', 'G']) || r, 'cell:Q1!B2' from s "
     "union all select book, 'H' || r, unnest(['external:=Tab[Q1]*LOG10($A' || r || ')', 'cell:Q1!Q1', 'cell:Q1!A' || r, 'cell:Q1!LOG10']) from s)",
+    "store_records": f"with {_ROWS} select {_FILE}, run_id, name, not (name = 'artifact_index.json' and run_id = 'first') as hash_ok, not (name = 'artifact_index.json' and run_id = 'first') as size_ok, true as placed "
+    "from b, (select unnest(['first', 'second']) as run_id), (select unnest(['workbook_manifest.json', 'inventory.json', 'dependency_graph.json', 'module_classification.json', 'confirmation_template.json', 'run_metadata.json', 'artifact_index.json']) as name)",
+    "store_index": f"with {_ROWS} select {_FILE}, 'second' as latest, 'first,second' as runs, 6::bigint as n_artifacts, 7::bigint as verified from b",
 }
+ORACLES["store_cells_back"] = ORACLES["odd_cells"]
