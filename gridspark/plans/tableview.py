@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridspark.functions.text import column_letters, location
+from gridspark.functions.text import letters_sql, location, location_sql
 from gridspark.sources.tables import spread
 
 VIEW, PATH, BOOK_ROWS = "view-0", "view.xlsx", 1_000_000
@@ -85,11 +85,11 @@ def sheet_cells(spark: SparkSession, sf_dir: str, index: int) -> DataFrame:
     titles = [cell(i, literal(c), "string", "General") for i, c in enumerate((*columns, "calc"), 1)]
     heads = spark.range(1).selectExpr(f"{literal(VIEW)} as sha256", "1L as row", f"explode(array({', '.join(titles)})) as c")
     cells = rows.unionByName(heads).where("not c.blank").select("sha256", "row", "c.*")
-    address = F.concat(column_letters(F.col("column")), F.col("row").cast("string"))
-    return cells.select(
-        "sha256", F.lit(name).alias("sheet_name"), F.lit(index).cast("long").alias("sheet_index"), "row", "column", address.alias("address"),
-        F.when(F.col("formula").isNotNull(), "formula").otherwise("value").alias("kind"), "value", "value_type", F.lit("n").alias("data_type"), "number_format", "formula", F.lit(0).cast("long").alias("style_id"),
-        location(path=F.lit(PATH), object_type="cell", sheet=F.lit(name), index=F.lit(index), address=address, object_id=F.concat(F.lit(f"{name}!"), address)).alias("loc"),
+    sheet, path = literal(name), literal(PATH)
+    placed = cells.selectExpr("*", f"concat({letters_sql('column')}, cast(row as string)) as address")
+    return placed.selectExpr(
+        "sha256", f"{sheet} as sheet_name", f"{index}L as sheet_index", "row", "column", "address", "if(formula is not null, 'formula', 'value') as kind", "value", "value_type", "'n' as data_type", "number_format",
+        "formula", "0L as style_id", f"{location_sql(literal('cell'), path=path, sheet=sheet, index=str(index), address='address', object_id=f'concat({sheet}, {literal(chr(33))}, address)')} as loc",
     )
 
 
