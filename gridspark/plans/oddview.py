@@ -12,10 +12,11 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
+from collections.abc import Iterable
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from gridspark.operators.graph import formula_graph
@@ -23,9 +24,11 @@ from gridspark.operators.inventory import Inventory, inventory_of
 from gridspark.plans.bookview import MAIN, OFFICE, PACKAGE, by_file, relations
 from gridspark.plans.pipeline import Decomposition, decompose
 from gridspark.plugins import registry
+from gridspark.sinks.json_files import file_system
 from gridspark.sinks.store import INDEX, ArtifactStore, RunRecord
 from gridspark.sources.artifacts import cells_back, read_artifacts
 from gridspark.sources.ooxml import as_workbooks
+from gridspark.sources.ooxml_source import register
 from gridspark.sources.tables import shared_folder, written
 
 BOOK_SUPPLIERS = 200
@@ -172,6 +175,23 @@ def store_cells_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_file(cells, done.inventory).select("file", F.col("sheet_name").alias("sheet"), F.col("row").alias("row_no"), F.col("column").alias("col_no"), "address", "kind", "value", F.col("number_format").alias("fmt"), "formula")
 
 
+def source_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of the packages below own/, from files in the shared folder, by the data source."""
+    folder = f"{shared_folder(spark)}/books-{uuid.uuid4().hex}"
+    odd_files(spark, sf_dir).select("file_name", "content").foreachPartition(lambda rows: put_files(folder, rows))
+    register(spark)
+    parts = spark.read.format("ooxml").load(folder).where("startswith(name, 'own/')")
+    return parts.selectExpr("substring_index(path, '/', -1) as file", "part_seq", "name", "root", "xml is not null as has_text")
+
+
+def put_files(folder: str, rows: Iterable[Row]) -> None:
+    system, root = file_system(folder)
+    for row in rows:
+        system.create_dir(root, recursive=True)
+        with system.open_output_stream(f"{root}/{row.file_name}") as out:
+            out.write(bytes(row.content))
+
+
 _ROWS = f"""s as (
   select s_suppkey // {BOOK_SUPPLIERS} as book, s_suppkey as key, coalesce(s_name, '') as name, coalesce(round(s_acctbal * 100), 0)::bigint as cents,
          row_number() over (partition by s_suppkey // {BOOK_SUPPLIERS} order by s_suppkey) + 1 as r from supplier where s_suppkey is not null
@@ -188,7 +208,7 @@ _CELLS = " union all ".join(
 _FILE = "'odd-' || book || '.xlsx' as file"
 _URL = "'https://example.com/' || book || '|'"
 
-QUERIES = {f.__name__: f for f in (odd_cells, odd_ranges, odd_manifest, odd_edges, store_records, store_index, store_cells_back)}
+QUERIES = {f.__name__: f for f in (odd_cells, odd_ranges, odd_manifest, odd_edges, store_records, store_index, store_cells_back, source_parts)}
 ORACLES = {
     "odd_cells": f"with {_ROWS} select {_FILE}, sheet, r::bigint as row_no, c::bigint as col_no, chr((64 + c)::int) || r as address, kind, value, fmt, formula from ({_CELLS})",
     "odd_ranges": f"with {_ROWS} select {_FILE}, kind, sheet as sheet_name, address, told from (select book, 'freeze_panes' as kind, 'Q1' as sheet, 'A2' as address, '|' as told from b union all select book, 'conditional_formatting', 'Q1', 'C2:C' || last, '|' from b "
@@ -201,3 +221,5 @@ ORACLES = {
     "store_index": f"with {_ROWS} select {_FILE}, 'second' as latest, 'first,second' as runs, 6::bigint as n_artifacts, 7::bigint as verified from b",
 }
 ORACLES["store_cells_back"] = ORACLES["odd_cells"]
+_OWN = (("book.xml", "workbook"), ("_rels/book.xml.rels", "Relationships"), ("look.xml", "styleSheet"), ("texts.xml", "sst"), ("first.xml", "worksheet"), ("_rels/first.xml.rels", "Relationships"), ("second.xml", "worksheet"), ("externalLinks/link.xml", "externalLink"))
+ORACLES["source_parts"] = f"with {_ROWS}, p as ({' union all '.join(f"select {i + 2}::bigint as part_seq, 'own/{n}' as name, '{r}' as root" for i, (n, r) in enumerate(_OWN))}) select {_FILE}, part_seq, name, root, root <> 'externalLink' as has_text from b, p"

@@ -16,7 +16,8 @@ from __future__ import annotations
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+import zlib
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -107,16 +108,24 @@ def read_parts(workbooks: DataFrame, piece_bytes: int = PIECE_BYTES, max_part_by
 
 
 def entries(content: bytes, piece_bytes: int = PIECE_BYTES, max_part_bytes: int = MAX_PART_BYTES) -> Iterator[dict]:
-    broken = (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, OSError, EOFError, zipfile.zlib.error)
+    return entries_of(io.BytesIO(content), piece_bytes, max_part_bytes)
+
+
+def entries_of(file, piece_bytes: int, max_part_bytes: int, wanted: Callable[[str], bool] = lambda name: True, unzip: bool = True) -> Iterator[dict]:
+    """The parts of a package in a seekable file, those whose names are wanted; without `unzip` what the directory says."""
+    broken = (zipfile.BadZipFile, zipfile.LargeZipFile, NotImplementedError, RuntimeError, OSError, EOFError, ValueError, zlib.error)
     try:
-        package = zipfile.ZipFile(io.BytesIO(content))
+        package = zipfile.ZipFile(file)
     except broken as e:
         yield {"part_seq": -1, "name": None, "size": None, "root": None, "piece": 0, "rows_before": 0, "xml": None, "error": f"{type(e).__name__}: {e}"}
         return
     for i, info in enumerate(package.infolist()):
+        if not wanted(info.filename):
+            continue
         entry = {"part_seq": i, "name": info.filename, "size": info.file_size, "root": None, "piece": 0, "rows_before": 0, "xml": None, "error": None}
         found = False
-        if info.filename.endswith((".xml", ".rels")) and info.file_size <= max_part_bytes:  # no more than that is ever unzipped
+        is_xml = unzip and info.filename.endswith((".xml", ".rels"))
+        if is_xml and info.file_size <= max_part_bytes:  # no more than that is ever unzipped
             try:
                 with package.open(info) as stream:
                     for piece, (root, rows_before, xml) in enumerate(pieces(stream, piece_bytes)):
@@ -124,7 +133,7 @@ def entries(content: bytes, piece_bytes: int = PIECE_BYTES, max_part_bytes: int
                         yield entry | {"root": root, "piece": piece, "rows_before": rows_before, "xml": xml}
             except broken as e:
                 yield entry | {"piece": -1, "error": f"{type(e).__name__}: {e}"}
-        elif info.filename.endswith((".xml", ".rels")):
+        elif is_xml:
             yield entry | {"piece": -1, "error": f"larger than {max_part_bytes} bytes"}
         if not found:
             yield entry
