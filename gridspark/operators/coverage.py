@@ -6,16 +6,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridspark.contracts import CATEGORIES
+from gridspark.operators.inventory import SHEET_OBJECTS
 
 
-def coverage(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame) -> DataFrame:
+def coverage(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame, counted: DataFrame | None = None) -> DataFrame:
     """(sha256, recognized, opaque, discovered) of each workbook: cells and ranges are recognized, the inventory's diagnostics
-    opaque, and what was discovered is defined as their sum. Diagnostics of the graph don't count. In these counts the
-    equation is an identity; `holds` guards counts that come from elsewhere, such as artifacts that are read back."""
-    one = lambda df, r, o: df.groupBy("sha256").agg((F.count(F.lit(1)) * r).alias("recognized"), (F.count(F.lit(1)) * o).alias("opaque"))
-    parts = one(cells, 1, 0).unionByName(one(ranges, 1, 0)).unionByName(one(unsupported.where("origin = 'inventory'"), 0, 1))
-    known = workbooks.select("sha256").distinct().select("sha256", F.lit(0).cast("long").alias("recognized"), F.lit(0).cast("long").alias("opaque"))
-    return known.unionByName(parts).groupBy("sha256").agg(F.sum("recognized").alias("recognized"), F.sum("opaque").alias("opaque")).withColumn("discovered", F.col("recognized") + F.col("opaque"))
+    opaque. Diagnostics of the graph don't count. What was discovered is their sum, where `counted` has nothing to say; of
+    the kinds that it has (sha256, kind, counted: the parser's own counts) it takes these instead of the frames' rows. So
+    objects that a frame has lost or doubled break the equation, which `holds` guards."""
+    rows = cells.select("sha256", F.lit("cell").alias("kind")).unionByName(ranges.select("sha256", "kind"))
+    by_kind = rows.groupBy("sha256", "kind").agg(F.count(F.lit(1)).alias("n"))
+    if counted is None:
+        found = by_kind.select("sha256", F.col("n").alias("recognized"), F.lit(0).cast("long").alias("opaque"), F.col("n").alias("discovered"))
+    else:
+        both = by_kind.unionByName(counted.select("sha256", "kind", "counted"), allowMissingColumns=True).groupBy("sha256", "kind").agg(F.sum("n").alias("n"), F.sum("counted").alias("counted"))
+        own = counted_kinds()
+        found = both.select("sha256", F.coalesce("n", F.lit(0)).alias("recognized"), F.lit(0).cast("long").alias("opaque"), F.when(F.col("kind").isin(*own), F.coalesce("counted", F.lit(0))).otherwise(F.coalesce("n", F.lit(0))).alias("discovered"))
+    problems = unsupported.where("origin = 'inventory'").groupBy("sha256").agg(F.count(F.lit(1)).alias("opaque"))
+    zero = F.lit(0).cast("long")
+    parts = found.unionByName(problems.select("sha256", zero.alias("recognized"), "opaque", F.col("opaque").alias("discovered")))
+    known = workbooks.select("sha256").distinct().select("sha256", zero.alias("recognized"), zero.alias("opaque"), zero.alias("discovered"))
+    return known.unionByName(parts).groupBy("sha256").agg(*[F.sum(c).alias(c) for c in ("recognized", "opaque", "discovered")])
+
+
+def counted_kinds() -> list[str]:
+    """The kinds of objects that the parser counts."""
+    return ["cell", *(o[3] for o in SHEET_OBJECTS)]
 
 
 def holds(covered: DataFrame) -> DataFrame:

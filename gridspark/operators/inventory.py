@@ -44,6 +44,8 @@ class Inventory:
     cells: DataFrame
     ranges: DataFrame
     unsupported: DataFrame
+    #: (sha256, kind, counted): what the parser counted itself, of cells (kind `cell`) and ranges by kind, where one element is one object.
+    counted: DataFrame | None = None
 
 
 def attr(name: str) -> Column:
@@ -144,11 +146,11 @@ def cells_of(content: DataFrame, sheets: DataFrame, strings: DataFrame, formats:
     read = joined.withColumns({"shown": shown, "is_date": (F.col("t") == "n") & is_date_format(shown) & number.isNotNull(), "date": date_text(number, F.coalesce("from_1904", F.lit(False)))})
     truth_text = "case when lower(v) in ('1', 'true') then 'true' else 'false' end"
     valued = read.selectExpr(
-        "*", f"case when t = 's' then shared when t = 'inlineStr' then coalesce(inline, v) when t = 'b' and v is not null then {truth_text} when is_date then date else v end as value",
+        "*", f"coalesce(case when t = 's' then coalesce(shared, if(v is null, null, '')) when t = 'inlineStr' then inline when t = 'b' and v is not null then {truth_text} when is_date then date end, v, inline) as value",
         r"case when t = 'b' then 'boolean' when t <> 'n' or is_date then 'string' when v rlike r'^[+-]?[0-9]{1,18}$' then 'long' else 'double' end as value_type",
     )
-    # a text that begins with = counts as a formula
-    says = "coalesce(concat('=', f), case when value_type = 'string' and startswith(value, '=') then value end)"
+    # a text that begins with = counts as a formula; a shared one without a first cell is =
+    says = "coalesce(concat('=', f), if(si is null, null, '='), case when value_type = 'string' and startswith(value, '=') then value end)"
     filled = valued.selectExpr("*", f"{says} as formula").where("formula is not null or value is not null")
     return filled.selectExpr(
         "sha256", "sheet_name", "sheet_index", "row_no as row", "col_no as column", "address", "if(formula is null, 'value', 'formula') as kind",
@@ -177,7 +179,7 @@ HIDDEN = "coalesce(lower(attrs['hidden']) in ('1', 'true'), false)"
 HEIGHT, WIDTH = "try_cast(attrs['ht'] as double)", "coalesce(try_cast(attrs['width'] as double), 13.0D)"
 COLUMN = letters_sql("try_cast(attrs['min'] as bigint)")
 SHEET_OBJECTS = (
-    ("mergeCell", "attrs['ref'] is not null", "sheet_range", "merged_range", "seq", "attrs['ref']", "attrs['ref']", "map()"),
+    ("mergeCell", "true", "sheet_range", "merged_range", "seq", "attrs['ref']", "attrs['ref']", "map()"),
     ("row", f"({HIDDEN} or {HEIGHT} <> 0)", "layout", "row_layout", f"{ROWS} + row_no", "cast(row_no as string)", "concat('row:', row_no)", f"map('hidden', cast({HIDDEN} as string), 'height', cast({HEIGHT} as string))"),
     ("col", f"({HIDDEN} or {WIDTH} <> 0)", "layout", "column_layout", f"{COLUMNS} + try_cast(attrs['min'] as bigint)", COLUMN, f"concat('col:', {COLUMN})", f"map('hidden', cast({HIDDEN} as string), 'width', cast({WIDTH} as string))"),
     ("pane", "nth = 0 and attrs['state'] in ('frozen', 'frozenSplit') and attrs['topLeftCell'] is not null", "layout", "freeze_panes", f"{PANES}", "attrs['topLeftCell']", "'freeze_panes'", "map()"),
@@ -302,7 +304,14 @@ def inventory_of(files: DataFrame) -> Inventory:
         F.coalesce("calc_mode", F.when(F.col("whole"), "auto")).alias("calc_mode"),  # automatic where a workbook doesn't say
     )
     cells = cells_of(content, sheets, shared_strings(in_role(content.where("tag in ('si', 'piece')"), roles, "strings_part")), number_formats(in_role(facts, roles, "styles_part")), book)
-    return Inventory(books, manifest, sized, parts, cells, ranges_of(content, facts, book, sheets, rels, used), unsupported)
+    return Inventory(books, manifest, sized, parts, cells, ranges_of(content, facts, book, sheets, rels, used), unsupported, counted_objects(content, sheets))
+
+
+def counted_objects(content: DataFrame, sheets: DataFrame) -> DataFrame:
+    """(sha256, kind, counted): the parser's counts of the sheets' pieces, summed."""
+    kinds = ", ".join(f"'{tag}', '{kind}'" for tag, kind in (("c", "cell"), *((o[0], o[3]) for o in SHEET_OBJECTS)))
+    told = content.where("tag = 'piece'").select("sha256", "part", "attrs").join(sheets.select("sha256", "part"), ["sha256", "part"])
+    return told.select("sha256", F.explode("attrs").alias("tag", "n")).selectExpr("sha256", f"map({kinds})[tag] as kind", "cast(n as bigint) as n").groupBy("sha256", "kind").agg(F.sum("n").alias("counted"))
 
 
 def corrupt_problems(raw: DataFrame, facts: DataFrame, content: DataFrame) -> DataFrame:

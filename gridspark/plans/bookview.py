@@ -191,7 +191,7 @@ def workbook_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def workbook_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     inv = books(spark, sf_dir)
-    return by_file(holds(coverage(inv.workbooks, inv.cells, inv.ranges, inv.unsupported)), inv).select("file", "recognized", "opaque", "discovered")
+    return by_file(holds(coverage(inv.workbooks, inv.cells, inv.ranges, inv.unsupported, inv.counted)), inv).select("file", "recognized", "opaque", "discovered")
 
 
 def workbook_edges(spark: SparkSession, sf_dir: str) -> DataFrame:

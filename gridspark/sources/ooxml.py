@@ -59,6 +59,7 @@ BULK = ("worksheet", "sst")
 ROOT = re.compile(rb"<((?:[A-Za-z_][\w.-]*:)?)([A-Za-z_][\w.-]*)(?=[\s>/])[^>]*>")
 DECLARATION = re.compile(rb"^\s*<\?xml[^>]*\?>")
 ROW_NUMBER = re.compile(rb"""\sr\s*=\s*["'](\d+)["']""")
+SIZE = re.compile(r"\s*[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\s*")
 CELL_ADDRESS = re.compile(r"\$?([A-Za-z]{1,3})\$?([0-9]{1,7})$")
 
 
@@ -241,7 +242,8 @@ class Rows:
 
 def read_elements(parts: DataFrame) -> DataFrame:
     """ELEMENTS of each piece, in order. A piece that is no XML gives one element `error`; a piece of a part that can be
-    cut, besides, an element `piece` with the number of its units. nth counts the elements of a tag within a piece."""
+    cut, besides, an element `piece` with the number of its strings and
+    the counts of a sheet's objects by tag. nth counts the elements of a tag within a piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,18 +273,38 @@ def elements(xml: bytes, rows_before: int = 0) -> Iterator[dict]:
         yield {"tag": "error", "nth": 0, "text": str(e)}
         return
     name, space = local(root.tag), root.tag.rpartition("}")[0] + "}" if root.tag.startswith("{") else ""
-    units = 0
+    counts: dict[str, int] = {}
+    strings = 0
+    for element in _placed(root, name, space, rows_before):
+        if name == "worksheet" and counts_as_object(element):
+            counts[element["tag"]] = counts.get(element["tag"], 0) + 1
+        strings += element["tag"] == "si"
+        yield element
+    if name in BULK:
+        yield {"tag": "piece", "nth": strings, "attrs": [(tag, str(n)) for tag, n in counts.items()]}
+
+
+def _placed(root: ElementTree.Element, name: str, space: str, rows_before: int) -> Iterator[dict]:
     for place in PLACES.get(name, ()):
         found = [root] if place == "." else root.iterfind("/".join(space + step for step in place.split("/")))
         if place == "sheetData/row":
-            for units, element in enumerate(sheet_rows(found, space, rows_before), 1):
-                yield element
+            yield from sheet_rows(found, space, rows_before)
             continue
         for nth, node in enumerate(found):
             yield {"tag": local(node.tag), "nth": nth, "attrs": attributes(node), "text": joined_text(node, space) if local(node.tag) in ("si", "comment") else node.text}
-            units = nth + 1
-    if name in BULK:
-        yield {"tag": "piece", "nth": units}
+
+
+def counts_as_object(element: dict) -> bool:
+    """Whether a sheet's element is something that the inventory lists. The parser's own count, which the frames made by
+    joins are held against."""
+    tag, attrs = element["tag"], dict(element.get("attrs") or ())
+    if tag == "c":
+        return any(element.get(k) is not None for k in ("v", "f", "si", "inline"))
+    yes = lambda key: attrs.get(key, "").lower() in ("1", "true")
+    if tag in ("row", "col"):
+        size = attrs.get("ht", "") if tag == "row" else attrs.get("width", "13")
+        return yes("hidden") or bool(SIZE.fullmatch(size)) and float(size) != 0 or tag == "col" and not SIZE.fullmatch(size)
+    return tag in ("mergeCell", "dataValidation") or tag == "sheetProtection" and yes("sheet") or tag == "pane" and element["nth"] == 0 and attrs.get("state") in ("frozen", "frozenSplit") and "topLeftCell" in attrs
 
 
 def attributes(node: ElementTree.Element) -> list[tuple[str, str]]:

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from gridspark.operators.coverage import coverage, holds
 from gridspark.operators.inventory import area_sql, inventory
 from gridspark.sources import ooxml
 from gridspark.sources.tables import temporary_tables
@@ -189,6 +190,31 @@ def test_diagnostics_of_parts(spark, tmp_path):
         assert inv.cells.count() == 13 and inv.parts.count() == inv.parts.select("name").distinct().count()
 
 
+def test_lost_objects_break_the_coverage_equation(spark, tmp_path):
+    with temporary_tables(spark):
+        inv = inventory(spark, str(three_sheets(tmp_path / "a.xlsx")))
+        whole = lambda cells, ranges: [(r.recognized, r.opaque, r.discovered) for r in holds(coverage(inv.workbooks, cells, ranges, inv.unsupported, inv.counted)).collect()]
+        assert whole(inv.cells, inv.ranges) == [(25, 1, 26)]
+        assert {r.kind: r.counted for r in inv.counted.collect()} == {"cell": 15, "merged_range": 1, "row_layout": 1, "column_layout": 1, "freeze_panes": 1, "data_validation": 1}
+        for cells, ranges in ((inv.cells, inv.ranges.where("kind <> 'merged_range'")), (inv.cells.where("address <> 'A1'"), inv.ranges), (inv.cells.unionByName(inv.cells.where("row = 1")), inv.ranges), (inv.cells.limit(0), inv.ranges)):
+            with pytest.raises(Exception, match="coverage equation violated"):
+                whole(cells, ranges)
+
+
+def test_odd_cells_are_counted_as_they_are_listed(spark, tmp_path):
+    body = (
+        '<row r="1" ht="x"><c r="A1" t="s"><v>99</v></c><c r="B1"><f t="shared" si="7"/></c><c r="C1" t="b"><v></v></c><c r="D1" t="n"><is><t>odd</t></is></c><c r="E1" t="inlineStr"><v>plain</v></c>'
+        '<c r="F1" t="s"><is><t>i</t></is></c><c r="G1" s="9"/><c r="H1" t="inlineStr"><is/></c></row><row r="2" ht="0" hidden="0"/><row r="3" ht="1e1"/>'
+    )
+    xml = f'<worksheet xmlns="{MAIN}"><cols><col min="1"/><col min="2" width="0"/><col min="3" width="bad"/></cols><sheetData>{body}</sheetData></worksheet>'
+    with temporary_tables(spark):
+        inv = inventory(spark, str(package(tmp_path / "a.xlsx", [("S", "visible", xml)])))
+        (row,) = holds(coverage(inv.workbooks, inv.cells, inv.ranges, inv.unsupported, inv.counted)).collect()
+        got = {a: (r.value, r.formula) for (_, a), r in cells(inv).items()}
+    assert got == {"A1": ("", None), "B1": (None, "="), "D1": ("odd", None), "E1": ("plain", None), "F1": ("i", None), "H1": ("", None)}
+    assert row.recognized == len(got) + 1 + 2
+
+
 def test_only_parts_that_are_read_carry_their_text(tmp_path):
     good = three_sheets(tmp_path / "a.xlsx")
     with_more = changed(good, tmp_path / "b.xlsx", add={"xl/pivotCache/pivotCacheRecords1.xml": f'<pivotCacheRecords xmlns="{MAIN}"><r/></pivotCacheRecords>', "xl/media/image1.png": "png"})
