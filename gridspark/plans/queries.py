@@ -11,6 +11,7 @@ from gridspark.functions.formula import REFERENCE, clean_sheet
 from gridspark.functions.text import HINT_TOKENS, hints, location
 from gridspark.operators import classify, confirm, coverage, graph, package
 from gridspark.operators.inventory import destinations
+from gridspark.operators.levels import node_levels
 from gridspark.plans import tableview as view
 from gridspark.sinks.store import checksums, merge_index
 from gridspark.sources.tables import spread
@@ -307,3 +308,15 @@ def decision_override(spark, sf_dir):
     asked = confirm.questions(items).where((F.col("question_type") == "category_override") & ((F.length("id") - 8) % 3 == 0))
     decisions = asked.select("sha256", F.col("id").alias("question_id"), F.explode(F.array(F.struct(F.lit("input").alias("decision"), F.lit(1).alias("timestamp")), F.struct(F.lit("other").alias("decision"), F.lit(2).alias("timestamp")), F.struct(F.lit("nonsense").alias("decision"), F.lit(3).alias("timestamp")))).alias("d")).select("sha256", "question_id", "d.decision", "d.timestamp")
     return confirm.apply_decisions(items, decisions).select(_book(), "id", "category")
+
+
+#: Each order is a running total of its customer: it refers to the customer's order before, and to one rate that all refer to. The first order of every fiftieth customer refers to the last: a circle.
+_CHAIN = "select o_orderkey as k, o_custkey as c, row_number() over (partition by o_custkey order by o_orderkey) as i, lag(o_orderkey) over (partition by o_custkey order by o_orderkey) as before, max(o_orderkey) over (partition by o_custkey) as last from orders where o_custkey is not null and o_orderkey is not null"
+
+
+@query(f"with o as ({_CHAIN}) select 'cell:orders!T' || k as id, case when c % 50 = 0 then null else i end::bigint as level, c % 50 = 0 as cyclic from o union all select 'cell:rates!A1', 0, false where exists (select 1 from o)")
+def formula_levels(spark, sf_dir):
+    chain = spark.sql(_CHAIN.replace("from orders", "from {orders}"), orders=table(spark, sf_dir, "orders"))
+    refs = "array_compact(array(before, if(i = 1 and c % 50 = 0, last, null)))"
+    edges = chain.selectExpr("'view-0' as sha256", "concat('cell:orders!T', k) as source", f"explode(concat(array('cell:rates!A1'), transform({refs}, x -> concat('cell:orders!T', x)))) as target")
+    return node_levels(edges).select("id", "level", "cyclic")

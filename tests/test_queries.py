@@ -4,9 +4,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from gridspark.plans import bookview, queries
+from gridspark.plans import bookview, oddview, queries
 
-QUERIES, ORACLES = queries.QUERIES | bookview.QUERIES, queries.ORACLES | bookview.ORACLES
+QUERIES, ORACLES = queries.QUERIES | bookview.QUERIES | oddview.QUERIES, queries.ORACLES | bookview.ORACLES | oddview.ORACLES
 SF = "/root/testdata/sf0.001"
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "documents")
 
