@@ -12,7 +12,6 @@ from __future__ import annotations
 import io
 import uuid
 import zipfile
-from collections.abc import Iterator
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
