@@ -14,8 +14,8 @@ never as text. A node's key is its depth and the exclusive or of a mix of every
    conversation owns is the end of its path; so a subtree holds the rest of its owner's path, summed along the path in
    blocks of depths, and all that is owned by its other members, summed over their paths above what they own.
 
-The ids of the conversations that end at a node are streamed in order through SHA-256, which can't be computed in parts:
-one task reads the ids of a node, sorted by Spark, and holds none.
+The ids of the conversations that end at a node are listed by family, and the lists streamed in order through SHA-256,
+which can't be computed in parts: one task reads the lists of a node, sorted by Spark, and holds one of them.
 
 Defined results: a null turn is first; turns that tie are ordered by the MD5 of role and text; a null role or text is
 empty; rows without a conv_id belong to no conversation; % keeps the sign, so family 0 has the ids -99 to 99; repeated
@@ -38,7 +38,7 @@ FAMILY, SHARED = 100, 6
 #: Rows of a block of turns, and depths of a block of a path.
 BLOCK_BITS, DEPTHS = 16, 4096
 KEY = ["depth", "k1", "k2"]
-NODES = "kind int, conv_id long, depth long, k1 long, k2 long, p1 long, p2 long, chars long, n long, ends boolean"
+NODES = "kind int, conv_id long, depth long, k1 long, k2 long, p1 long, p2 long, chars long, n long, ends string"
 NODE, PLACE = 0, 1
 
 
@@ -171,13 +171,18 @@ def family_trie(turns: pa.Table, sides: pa.Table) -> pa.Table:
     nodes = [np.full(n, NODE, dtype=np.int32), conv[top], depth[top], k1[top], k2[top], p1[top], p2[top], said[top], count.astype(np.int64)]
     paths = [np.full(m, PLACE, dtype=np.int32), conv, depth, k1, k2]
     columns = [pa.concat_arrays([pa.array(x), pa.array(y) if y is not None else nothing(m)]) for x, y in zip(nodes, [*paths, None, None, None, None])]
-    columns.append(pa.concat_arrays([pa.nulls(n, pa.bool_()), pa.array(ends)]))
+    ended: list[list[str] | None] = [None] * n
+    group = np.cumsum(new) - 1
+    for at in np.flatnonzero(ends[order]):  # one for each conversation that ends here, by node and then by id
+        ended[group[at]] = ended[group[at]] or []
+        ended[group[at]].append(str(conv[order[at]]))
+    columns.append(pa.concat_arrays([pa.array([x and ",".join(x) for x in ended], pa.string()), pa.nulls(m, pa.string())]))
     return pa.Table.from_arrays(columns, names=[f.split()[0] for f in NODES.split(", ")])
 
 
 def family_tries(conversations: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """NODES of all families: nodes (kind NODE: n members of the family, conv_id the smallest of them, p1, p2 the
-    parent's key) and the places of conversations (kind PLACE; ends where it is the last)."""
+    parent's key, ends the ids of those that end there) and the places of conversations (kind PLACE)."""
     turns = numbered_turns(conversations, block_bits)
     pieces = written(pieces_of(turns))
     base = F.slice(F.coalesce("base", F.array().cast("array<struct<d1:bigint,d2:bigint,chars:bigint>>")), F.lit(1), F.col("h").cast("int"))
@@ -191,21 +196,23 @@ def family_tries(conversations: DataFrame, block_bits: int = BLOCK_BITS) -> Data
 # ------------------------------------------------------------------------------------------------ global merge
 
 
-def end_digests(places: DataFrame) -> DataFrame:
-    """(depth, k1, k2, ends_sha256) of the nodes at which conversations end."""
-    ends = places.where("ends").select(*KEY, "conv_id").repartition(*KEY).sortWithinPartitions(*KEY, "conv_id")
+def end_digests(tries: DataFrame) -> DataFrame:
+    """(depth, k1, k2, ends_sha256) of the nodes at which conversations end. A family's ids are together in the order of
+    all ids, so the lists that its tries have made are hashed one after another."""
+    lists = tries.where(F.col("kind") == NODE).where("ends is not null").select(*KEY, F.substring_index("ends", ",", 1).cast("long").alias("first"), "ends")
+    ends = lists.repartition(*KEY).sortWithinPartitions(*KEY, "first")
     schema = pa.schema([*[(k, pa.int64()) for k in KEY], ("ends_sha256", pa.string())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, digest, out = None, None, []
         for batch in batches:
-            for *key, c in zip(*[batch.column(i).to_pylist() for i in range(4)]):
+            for *key, ids in zip(*[batch.column(i).to_pylist() for i in (0, 1, 2, 4)]):
                 if key != current:
                     if digest:
                         out.append((*current, digest.hexdigest()))
-                    current, digest = key, hashlib.sha256(str(c).encode())
+                    current, digest = key, hashlib.sha256(ids.encode())
                 else:
-                    digest.update(f",{c}".encode())
+                    digest.update(f",{ids}".encode())
             if len(out) >= 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out), schema)], schema=schema)
                 out = []
@@ -246,10 +253,10 @@ def with_subtrees(nodes: DataFrame, places: DataFrame) -> DataFrame:
 def trie_report(conversations: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
     """(conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256) of each node."""
     tries = written(family_tries(conversations, block_bits))
-    places = tries.where(F.col("kind") == PLACE).select("conv_id", *KEY, "ends")
+    places = tries.where(F.col("kind") == PLACE).select("conv_id", *KEY)
     nodes = merged_nodes(tries)
     parents = nodes.select((F.col("depth") + 1).alias("depth"), F.col("k1").alias("p1"), F.col("k2").alias("p2"), F.col("conv_id").alias("parent_conv_id"))
-    placed = nodes.join(with_subtrees(nodes, places), KEY).join(end_digests(places), KEY, "left").join(parents, ["depth", "p1", "p2"], "left")
+    placed = nodes.join(with_subtrees(nodes, places), KEY).join(end_digests(tries), KEY, "left").join(parents, ["depth", "p1", "p2"], "left")
     none = hashlib.sha256(b"").hexdigest()
     return placed.select("conv_id", "depth", F.when(F.col("depth") > 0, F.col("parent_conv_id")).alias("parent_conv_id"), "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(none)).alias("ends_sha256"))
 
