@@ -14,12 +14,14 @@ from gridspark.functions.text import let
 from gridspark.sources.tables import delete, temporary_tables, written
 from gridspark.sources.tables import shared_folder as checkpoint_dir
 
-__all__ = ["add_columns", "checkpoint_dir", "delete", "let", "lower_ascii", "prefix_sums", "table", "temporary_tables", "written"]
+__all__ = ["add_columns", "checkpoint_dir", "delete", "hot_slots", "let", "lower_ascii", "prefix_sums", "table", "temporary_tables", "written"]
 
 #: The white space that separates words in every contract here: space and \x09-\x0D.
 SPACE = " \t\n\x0b\x0c\r"
 #: The same as a Java / RE2 class body.
 SPACE_CLASS = r"\x20\x09-\x0D"
+#: Equal parts of the hash values whose rows are counted; a part is hot with HOT_TIMES the mean and over HOT_LEAST rows.
+SLOTS, HOT_TIMES, HOT_LEAST = 65_536, 4, 1_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +33,17 @@ def lower_ascii(col: Column) -> Column:
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def hot_slots(rows: DataFrame, key: str, least: int = HOT_LEAST) -> Column | None:
+    """Whether a row's hash `key` lies in a hot slot; None if no slot is hot. Rows are counted by slot before the exchange,
+    and at most SLOTS counts come to the driver. A value outside hot slots holds HOT_TIMES / SLOTS of all rows at most (or
+    `least` rows), so it can be grouped in one task; a value that holds more is always in a hot slot."""
+    slot = f"cast(pmod({key}, {SLOTS}) as int)"
+    counts = rows.groupBy(F.expr(slot).alias("slot")).count().collect()
+    limit = max(least, HOT_TIMES * sum(r["count"] for r in counts) / SLOTS)
+    hot = sorted(r["slot"] for r in counts if r["count"] > limit)
+    return F.expr(f"{slot} in ({', '.join(map(str, hot))})") if hot else None
+
+
 def add_columns(
     df: DataFrame, carry: Sequence[str], new: str, compute: Callable[[dict[str, list]], dict[str, list]], needs: Sequence[str]
 ) -> DataFrame:

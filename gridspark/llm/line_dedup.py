@@ -2,9 +2,9 @@
 
 Lines are reduced to 128-bit hashes of their keys and positions; no text takes part in the exchange. The hashes are
 range-partitioned with a secondary sort by document and position, and a running first() streams over each group:
-what follows a group's first document is dropped. A hash that very many documents hold is split in the range
-partitioning by a salt, so that no task gets it whole; then only the lines of each salted group's first document are
-streamed once more, by the hash alone. The operator returns a compressed bitmap per document, not text: an array of
+what follows a group's first document is dropped. Hashes are counted by slot first; those in hot slots, where a hash that
+very many documents hold must be, are split in the range partitioning by a salt, so that no task gets one whole. Of them
+only, the lines of each salted group's first document are streamed once more, by the hash alone. The operator returns a compressed bitmap per document, not text: an array of
 (word, bits) with those 64-line words that have a dropped line; `apply_bitmaps` cuts the lines out.
 
 A line's key is the line without the white space (space, \\x09-\\x0D) at both ends, A-Z in lower case. Keys of fewer
@@ -20,10 +20,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import SPACE, lower_ascii, written
+from gridspark.llm.common import HOT_LEAST, SPACE, hot_slots, lower_ascii, written
 
 MIN_KEY = 10
-#: Parts into which the documents of one hash are dealt.
+#: Parts into which the documents of one hot hash are dealt.
 SALTS = 64
 LAST_ID = 2**63 - 1
 
@@ -46,22 +46,24 @@ def text_key() -> Column:
     return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
 
 
-def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, salts: int = SALTS) -> DataFrame:
-    """(doc_key, text_key, dropped) of each document that loses lines."""
+def keep_bitmaps(docs: DataFrame, min_key: int = MIN_KEY, salts: int = SALTS, hot_least: int = HOT_LEAST) -> DataFrame:
+    """(doc_key, text_key, dropped) of each document that loses lines. hot_least: lines below which no slot is hot."""
     lines = (
         docs.select(doc_key().alias("doc_key"), text_key().alias("text_key"), F.posexplode(lines_of(F.col("text"))).alias("pos", "line"))
         .where(F.length("line") >= min_key)
         .withColumn("key", line_key(F.col("line")))
         .where(F.length("key") >= min_key)
         .select("doc_key", "text_key", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(1), "key").alias("h2"))
-        .withColumn("salt", F.pmod(F.xxhash64("doc_key", F.lit(3)), F.lit(salts)).cast("int"))
     )
-    # range partitioning reads its rows twice, to sample and to deal them: the small hashes, not the texts
+    # read three times, to count, to sample and to deal them: the small hashes, not the texts
     lines = written(lines)
+    hot = hot_slots(lines, "h1", hot_least)
+    salt = F.pmod(F.xxhash64("doc_key", F.lit(3)), F.lit(salts)).cast("int")
+    lines = lines.withColumn("salt", F.lit(-1) if hot is None else F.when(hot, salt).otherwise(-1))
     stream = Window.partitionBy("h1", "h2", "salt").orderBy("doc_key", "pos").rowsBetween(Window.unboundedPreceding, 0)
     ranged = lines.repartitionByRange("h1", "h2", "salt").withColumn("first_doc", F.first("doc_key").over(stream))
     later = ranged.where("doc_key > first_doc").select("doc_key", "text_key", "pos")
-    heads = ranged.where("doc_key = first_doc")
+    heads = ranged.where("salt >= 0 and doc_key = first_doc")
     across = Window.partitionBy("h1", "h2").orderBy("doc_key", "pos").rowsBetween(Window.unboundedPreceding, 0)
     beaten = heads.withColumn("first_doc", F.first("doc_key").over(across)).where("doc_key > first_doc").select("doc_key", "text_key", "pos")
     words = later.unionByName(beaten).groupBy("doc_key", "text_key", F.expr("cast(pos div 64 as int)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, pos % 64))").alias("bits"))

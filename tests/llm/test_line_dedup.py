@@ -42,6 +42,14 @@ def test_one_salt_is_as_good_as_many(spark):
     assert sorted(collect(d.keep_bitmaps(table, salts=1)), key=key) == sorted(collect(d.keep_bitmaps(table, salts=64)), key=key)
 
 
+def test_hot_lines_are_dropped_as_all_others(spark):
+    table = docs(spark, rows_with_shared_lines())
+    key = lambda r: (r["doc_key"], r["text_key"])
+    expected = sorted(collect(d.keep_bitmaps(table)), key=key)
+    for hot_least in (0, 30, 70):  # all slots with lines are hot, some are, a single one is
+        assert sorted(collect(d.keep_bitmaps(table, salts=4, hot_least=hot_least)), key=key) == expected
+
+
 def test_texts_and_columns(spark):
     table = docs(spark, [(1, "the first line\nown"), (2, "THE FIRST LINE\r\nstays"), (3, None), (4, "the first line")])
     done = d.line_dedup(table)
