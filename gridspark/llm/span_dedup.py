@@ -7,9 +7,10 @@ is taken: at least ``MIN_SENTENCES`` sentences and at least ``MIN_WORDS`` words.
 case A-Z, one blank between them) to 96 bits and joined globally. A span's first occurrence, by doc_id and position,
 stays; the sentences covered by any other occurrence are removed, with the white space that follows them.
 
-Only hashes take part in the join. The repeated hashes come from an aggregation that combines before the exchange and
-are written to the shared folder; the join with all spans can then be split by the planner where one span is held by
-very many documents.
+Only hashes take part in the join. Spans are counted by slot of their hash. Outside hot slots the spans of a hash meet in
+one exchange, sorted by place, and a running first() tells the first from the others. In hot slots, where a span that very
+many documents hold must be, the firsts come from an aggregation that combines before the exchange and are written to the
+shared folder; the join with the spans of those slots can then be split by the planner.
 
 Defined results: null and empty texts have no sentences; a null doc_id counts as the greatest; rows with the same
 or no doc_id and differing texts are distinct documents, in the order of a hash of the text; equal rows are one
@@ -25,10 +26,10 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridspark.llm.common import add_columns, written
+from gridspark.llm.common import HOT_LEAST, add_columns, hot_slots, written
 
 #: Words of a sentence that isn't cut further; words on either side among which a cut has the least hash, so that 2 * NEAR + 1
 #: words are between cuts on average; words between cuts of a run of one word.
@@ -166,14 +167,18 @@ def span_rows(docs: DataFrame) -> DataFrame:
     return docs.select(doc_key().alias("doc"), text_key().alias("text_key"), "text").where("text <> ''").mapInArrow(run, "doc long, text_key long, pos int, h1 long, h2 int")
 
 
-def repeated_ranges(docs: DataFrame) -> DataFrame:
+def repeated_ranges(docs: DataFrame, hot_least: int = HOT_LEAST) -> DataFrame:
     """(doc, text_key, starts, first_docs): the first sentences of each document's spans to remove, and the documents that
-    hold their first occurrences."""
-    rows = written(span_rows(docs))  # read twice; texts are split and hashed once
+    hold their first occurrences. hot_least: spans below which no slot is hot."""
+    rows = written(span_rows(docs))  # read two or four times; texts are split and hashed once
+    hot = hot_slots(rows, "h1", hot_least)
     place = F.struct("doc", "text_key", "pos")
-    firsts = rows.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    firsts = written(firsts.select("h1", "h2", F.col("first.doc").alias("first_doc"), F.col("first.text_key").alias("first_key"), F.col("first.pos").alias("first_pos")))
-    later = rows.join(firsts, ["h1", "h2"]).where("doc <> first_doc or text_key <> first_key or pos <> first_pos")
+    stream = Window.partitionBy("h1", "h2").orderBy("doc", "text_key", "pos").rowsBetween(Window.unboundedPreceding, 0)
+    met = (rows if hot is None else rows.where(~hot)).withColumn("first", F.first(place).over(stream))
+    if hot is not None:
+        firsts = rows.where(hot).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        met = met.unionByName(rows.where(hot).join(written(firsts.select("h1", "h2", "first")), ["h1", "h2"]))
+    later = met.where(place != F.col("first")).select("doc", "text_key", "pos", F.col("first.doc").alias("first_doc"))
     return later.groupBy("doc", "text_key").agg(F.sort_array(F.collect_set("pos")).alias("starts"), F.sort_array(F.collect_set("first_doc")).alias("first_docs"))
 
 
