@@ -328,12 +328,14 @@ def pivot_pairs_of(members: DataFrame) -> DataFrame:
     return met.select("a", F.col("pivot.node").alias("b")).where("a <> b")
 
 
-def mixed_cells(members: DataFrame, roots: DataFrame, texts: DataFrame, cell_rows: int) -> DataFrame:
-    """The rows of the buckets that hold more than one component, dealt to cells (key, i, j). A bucket of more than cell_rows
-    rows is cut into parts, and each pair of parts is a cell, so that no task gets it whole."""
+def mixed_cells(members: DataFrame, roots: DataFrame, texts: DataFrame, cell_rows: int) -> DataFrame | None:
+    """The rows of the buckets that hold more than one component, dealt to cells (key, i, j); None if no bucket does. A bucket
+    of more than cell_rows rows is cut into parts, and each pair of parts is a cell, so that no task gets it whole."""
     labelled = written(members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = labelled.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / cell_rows).cast("int").alias("parts")).where("low <> high")
-    rows = written(labelled.join(mixed.select("key", "parts"), "key"))
+    rows = written(labelled.join(written(mixed.select("key", "parts")), "key"))
+    if rows.isEmpty():
+        return None
     part = rows.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     cells = part.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     return cells.join(texts.select("node", "n", "sig"), "node").select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "node", "root", "n", "sig")
@@ -357,11 +359,20 @@ def near_components(keyed: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
         left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
 
-    links = verified(written(pivot_pairs_of(members)))
-    cells = mixed_cells(members, components(links), texts, cell_rows)
+    roots = components(verified(written(pivot_pairs_of(members))))
+    done = prints.join(roots, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("root"))
+    cells = mixed_cells(members, roots, texts, cell_rows)
+    if cells is None:
+        return done
     maybe = written(cells.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_searched, "a long, b long"))
-    roots = components(links.unionByName(verified(maybe)))
-    return prints.join(roots, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("root"))
+    if maybe.isEmpty():
+        return done
+    # what was found later joins whole components: only these are merged, not their nodes once more
+    later = verified(maybe)
+    for end in ("a", "b"):
+        later = later.join(roots.toDF(end, "root"), end, "left").withColumn(end, F.coalesce("root", end)).drop("root")
+    merged = components(later).toDF("root", "least")
+    return done.join(merged, "root", "left").select("id", "text_key", F.coalesce("least", "root").alias("root"))
 
 
 def drop_near_copies(docs: DataFrame) -> DataFrame:
