@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+from gridspark.llm import common
 from gridspark.llm import line_dedup as d
 from tests.llm.helpers import collect, docs, odd_rows
 
@@ -50,6 +51,14 @@ def test_hot_lines_are_dropped_as_all_others(spark):
         assert sorted(collect(d.keep_bitmaps(table, salts=4, hot_least=hot_least)), key=key) == expected
 
 
+def test_hot_slots(spark):
+    rows = spark.range(3000).selectExpr("if(id < 1000, -7L, id * 65536 + id) as h")
+    assert common.hot_slots(rows, "h", 1000) is None
+    hot = common.hot_slots(rows, "h", 999)
+    assert rows.where(hot).distinct().collect() == [(-7,)]
+    assert rows.where(~hot).count() == 2000
+
+
 def test_texts_and_columns(spark):
     table = docs(spark, [(1, "the first line\nown"), (2, "THE FIRST LINE\r\nstays"), (3, None), (4, "the first line")])
     done = d.line_dedup(table)

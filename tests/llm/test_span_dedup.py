@@ -4,7 +4,6 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from gridspark.llm import common
 from gridspark.llm import span_dedup as s
 from tests.llm.helpers import collect, docs, odd_rows, prose
 
@@ -75,23 +74,6 @@ def test_against_brute_force(spark):
     assert all(r["first_doc_ids"] for r in got)
 
 
-def test_hot_spans_are_cut_as_all_others(spark):
-    rows, _ = cases()
-    table, key = docs(spark, rows), lambda r: (r["doc"], r["text_key"])
-    expected = sorted(collect(s.repeated_ranges(table)), key=key)
-    assert expected
-    for hot_least in (0, 1, 3):
-        assert sorted(collect(s.repeated_ranges(table, hot_least)), key=key) == expected
-
-
-def test_hot_slots(spark):
-    rows = spark.range(3000).selectExpr("if(id < 1000, -7L, id * 65536 + id) as h")
-    assert common.hot_slots(rows, "h") is None
-    hot = common.hot_slots(rows, "h", 999)
-    assert rows.where(hot).distinct().collect() == [(-7,)]
-    assert rows.where(~hot).count() == 2000
-
-
 def test_passages_are_caught_and_clean_text_stays(spark):
     rng = random.Random(2)
     for maker in (lambda: prose(rng, 60), lambda: " ".join(prose(rng, 60).replace(".", "").replace("!", "").split())):
