@@ -242,7 +242,8 @@ def content_types(spark, sf_dir):
     parts = view.view_parts(spark, sf_dir)
     unique = (F.col("part_seq") % 5 == 0) & ~F.col("name").contains("connections") & ~F.col("name").isin("xl/vbaProject.bin", "docProps/app")
     overrides = parts.where(unique).select("sha256", F.concat(F.lit("/"), F.col("name")).alias("name"), F.concat(F.lit("override/"), F.col("part_seq").cast("string")).alias("content_type"))
-    defaults = spark.createDataFrame([(view.VIEW, *t) for t in _TYPES], "sha256 string, extension string, content_type string")
+    types = spark.createDataFrame(_TYPES, "extension string, content_type string")
+    defaults = parts.select("sha256").distinct().crossJoin(F.broadcast(types))  # each workbook has its own
     return package.with_content_types(parts, overrides, defaults).select("name", "content_type")
 
 

@@ -37,6 +37,16 @@ def test_partitioning_does_not_matter(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_content_types_beyond_the_first_workbook(spark, tmp_path):
+    """Parts whose keys lie in a second and third workbook of the view have default types too."""
+    db = duckdb.connect()
+    db.sql(f"copy (select * replace (p_partkey + k * 1000000 as p_partkey) from '{SF}/part.parquet', range(3) r(k)) to '{tmp_path}/part.parquet' (format parquet)")
+    db.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    want = db.sql(ORACLES["content_types"])
+    columns, got = rows(QUERIES["content_types"](spark, str(tmp_path)))
+    assert got == sorted(str(r) for r in want.select(*columns).fetchall()) and got
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
