@@ -19,12 +19,13 @@ Components come from repeated minimum exchange over the links with pointer jumpi
 folder.
 
 ``drop_near_copies`` is the stage of the corpus pipeline and has a rule of its own: texts whose sets of five-word
-shingles have a Jaccard similarity of 0.8 or more. 64-bit fingerprints have no index for that radius, so candidates
-share a band of MinHash values, and every link is verified by the shingles themselves. First each text meets a pivot,
-the most central text of its buckets (the one whose buckets hold the most texts). Only buckets that are then still
-more than one component are searched in full, inside tasks and in cells of bounded size: a pair is looked at in the
-first bucket that it shares and discarded by signatures of ``BINS`` hash minima, so that only what may be similar is
-emitted and verified. Its rows are documents by doc_id and text: rows without a doc_id have nothing to do with one
+shingles have a Jaccard similarity of 0.8 or more. The method is the same with wider fingerprints: ``NEAR_BITS`` bits of
+the set's shingle hashes differ in 15 % of the bits at that similarity, and two of them link if no more differ than that
+and ``DEVIATIONS`` standard deviations. Blocks of bits are no buckets for such a radius, so bands of MinHash values are.
+First each text meets a pivot, the most central text of its buckets (the one whose buckets hold the most texts). Only
+buckets that are then still more than one component are searched in full, inside tasks and in cells of bounded size: a
+pair is looked at in the first bucket that it shares, discarded by the table of distances to ``PIVOTS`` reference
+fingerprints, then by the differing bits. What fingerprints link is verified by the shingles themselves. Its rows are documents by doc_id and text: rows without a doc_id have nothing to do with one
 another, and of equal rows one stays.
 
 Defined results: a null or empty text has fingerprint zero and links like any other; rows with the same doc_id have one
@@ -59,9 +60,12 @@ REFERENCES = np.array([xxhash.xxh64_intdigest(str(i).encode(), SEED) for i in ra
 #: The near-copy stage: words in a shingle, least Jaccard similarity, bands and least hash values in a band. A pair at
 #: the least similarity shares no band in one of 13,000 cases (1 - 0.8**5)**24, a pair of 0.85 in 7 of 10 million.
 NEAR_SHINGLE, NEAR_LEAST, BANDS, BAND_ROWS = 5, 0.8, 24, 5
-#: Hash minima in a signature, standard deviations below the least similarity at which a signature still passes (a similar
-#: pair is lost in one of thirty thousand cases at most), and rows of a bucket that are compared in one cell.
-BINS, DEVIATIONS, CELL_ROWS = 1024, 4.0, 4096
+#: Bits of a fingerprint, the share of them that differs at the least similarity and what small sets add to it (over their
+#: size), standard deviations beyond it at which a pair still links (a similar pair is lost in one of thirty thousand cases
+#: at most), and rows of a bucket that are compared in one cell.
+NEAR_BITS, NEAR_SHARE, SMALL_SHARE, DEVIATIONS, CELL_ROWS = 1024, float(np.arccos(2 * NEAR_LEAST / (1 + NEAR_LEAST)) / np.pi), 0.15, 4.0, 4096
+NEAR_SEEDS = np.array([xxhash.xxh64_intdigest(f"bits {i}".encode(), SEED) | 1 for i in range(NEAR_BITS // 64)], np.uint64)
+NEAR_REFERENCES = np.array([[xxhash.xxh64_intdigest(f"{i} {k}".encode(), SEED) for k in range(NEAR_BITS // 64)] for i in range(PIVOTS)], np.uint64)
 FACTORS = np.array([xxhash.xxh64_intdigest(f"band {i}".encode(), SEED) | 1 for i in range(BANDS * BAND_ROWS)], np.uint64)
 
 
@@ -228,12 +232,55 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_key"), pa.array(node, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["id", "text_key", "node", "keys"])
 
 
+def near_print(hashes: np.ndarray) -> np.ndarray:
+    """The fingerprint of a set of shingle hashes: NEAR_BITS bits in 64-bit words, each 1 if over half the hashes have it."""
+    ones = np.zeros(NEAR_BITS, np.int64)
+    for low in range(0, len(hashes), 1024):
+        mixed = hashes[low : low + 1024, None] ^ NEAR_SEEDS
+        for _ in range(2):
+            mixed = (mixed ^ (mixed >> np.uint64(32))) * NEAR_SEEDS
+        mixed ^= mixed >> np.uint64(32)
+        ones += np.unpackbits(mixed.view(np.uint8), axis=1).sum(0, dtype=np.int64)
+    return np.packbits(2 * ones > len(hashes)).view(np.uint64)
+
+
+def near_radius(small: np.ndarray) -> np.ndarray:
+    """The most bits in which fingerprints of sets differ that link; small: the smaller set's size."""
+    share = NEAR_SHARE + SMALL_SHARE / small
+    return NEAR_BITS * share + DEVIATIONS * np.sqrt(NEAR_BITS * share * (1 - share))
+
+
+def pivot_table(prints: np.ndarray) -> np.ndarray:
+    """The distances of each fingerprint to the reference fingerprints."""
+    return np.stack([np.bitwise_count(prints ^ r).sum(1, dtype=np.int16) for r in NEAR_REFERENCES], 1)
+
+
+def linked_prints(prints: np.ndarray, table: np.ndarray, sizes: np.ndarray, i: int, rest: np.ndarray) -> np.ndarray:
+    """Those of the rows `rest` whose fingerprints link to that of row i: by the triangle inequality over the pivot table,
+    a few pivots at a time, then by the bits."""
+    small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+    fits = small >= NEAR_LEAST * large - 1e-9  # sets of more unequal sizes can't be similar
+    rest, radius = rest[fits], near_radius(small[fits])
+    for c in range(0, PIVOTS, 8):
+        if not len(rest):
+            return rest
+        near = np.abs(table[rest, c : c + 8] - table[i, c : c + 8]).max(1) <= radius
+        rest, radius = rest[near], radius[near]
+    return rest[np.bitwise_count(prints[rest] ^ prints[i]).sum(1, dtype=np.int64) <= radius]
+
+
 def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The (a, b) whose texts have a Jaccard similarity of NEAR_LEAST or more, by the shingles themselves."""
+    """The (a, b) that link by their fingerprints and whose texts have a Jaccard similarity of NEAR_LEAST or more, by the
+    shingles themselves."""
     last, have = None, set()
     for batch in batches:
         pairs = []
-        for a, b, x, y in zip(*[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]):
+        sig = {c: np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1)[:, BANDS:] for c in ("sig_a", "sig_b")}
+        sizes = np.array([batch.column(c).to_pylist() for c in ("n_a", "n_b")], np.int64).reshape(2, -1).min(0)
+        links = np.bitwise_count(sig["sig_a"] ^ sig["sig_b"]).sum(1, dtype=np.int64) <= near_radius(sizes)
+        for link, a, b, x, y in zip(links.tolist(), *[batch.column(c).to_pylist() for c in ("a", "b", "text_a", "text_b")]):
+            if not link:
+                continue
             if last != b:  # rows often share the pivot
                 last, have = b, set(shingles_of(near_words(y), NEAR_SHINGLE))
             mine = set(shingles_of(near_words(x), NEAR_SHINGLE))
@@ -244,57 +291,34 @@ def _similar(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """For each of BINS equal parts of the range of hash values a byte of the least hash in it; 0 where there is none.
-    hashes are sorted. Of two signatures, the share of equal bytes among those where either has one estimates the
-    similarity, as a sample without replacement does; sets of a few hundred shingles are nearly told in full."""
-    bins, first = np.unique(hashes >> np.uint64(64 - (BINS - 1).bit_length()), return_index=True)
-    out = np.zeros(BINS, np.uint8)
-    out[bins.astype(np.int64)] = (hashes[first] >> np.uint64(9)) % np.uint64(255) + np.uint64(1)
-    return out
-
-
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, text, n, sig): sig is the keys of the bands, 8 bytes each, and the signature."""
+    """(node, text, n, sig): sig is the keys of the bands, 8 bytes each, and the fingerprint."""
     for batch in batches:
         size, sig = [], []
         for text in batch.column("text").to_pylist():
             words = near_words(text)
             hashes = np.unique(shingle_hashes(words, word_hashes(words), NEAR_SHINGLE))
             size.append(len(hashes))
-            sig.append(band_keys(hashes).tobytes() + signature(hashes).tobytes())
+            sig.append(band_keys(hashes).tobytes() + near_print(hashes).tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("text"), pa.array(size, pa.int32()), pa.array(sig, pa.binary())], names=["node", "text", "n", "sig"])
 
 
-def may_be_similar(keys: np.ndarray, sigs: np.ndarray, sizes: np.ndarray, band: int, i: int, rest: np.ndarray) -> np.ndarray:
-    """Those of the rows `rest` that may be similar to row i, of pairs that share no earlier band than this one."""
-    small, large = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-    rest = rest[small >= NEAR_LEAST * large - 1e-9]  # sets of more unequal sizes can't be similar
-    if band:
-        rest = rest[~(keys[rest, :band] == keys[i, :band]).any(1)]
-    if not len(rest):
-        return rest
-    other, own = sigs[rest], sigs[i]
-    used = ((other | own) > 0).sum(1)
-    equal = ((other == own) & (own > 0)).sum(1)
-    union = np.maximum((sizes[rest] + sizes[i]) / (1 + NEAR_LEAST), used)  # of a pair at the least similarity
-    spread = np.sqrt(NEAR_LEAST * (1 - NEAR_LEAST) / used * (union - used + 1) / union)
-    return rest[equal >= (NEAR_LEAST - DEVIATIONS * spread) * used - 1]
-
-
 def _searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may be similar and are in different components, among rows sorted by cell (key, i, j)."""
+    """Pairs whose fingerprints link and that are in different components, among rows sorted by cell (key, i, j)."""
     held: list[tuple] = []
 
     def found(rows: list[tuple]) -> pa.RecordBatch:
         key, i, j, part, node, root, n, sig = zip(*rows)
         node, root, part, sizes = np.array(node), np.array(root), np.array(part), np.array(n, np.int64)
-        raw = np.frombuffer(b"".join(sig), np.uint8).reshape(len(rows), -1)
-        keys, sigs = np.ascontiguousarray(raw[:, : 8 * BANDS]).view(np.int64), raw[:, 8 * BANDS :]
+        raw = np.frombuffer(b"".join(sig), np.uint64).reshape(len(rows), -1)
+        keys, prints = raw[:, :BANDS].view(np.int64), np.ascontiguousarray(raw[:, BANDS:])
+        table = pivot_table(prints)
         band, left, right = int(np.flatnonzero(keys[0] == key[0])[0]), [], []
         for x in range(len(rows) - 1):
             rest = x + 1 + np.flatnonzero((root[x + 1 :] != root[x]) & ((part[x + 1 :] != part[x]) | (i[0] == j[0])))
-            rest = may_be_similar(keys, sigs, sizes, band, x, rest)
+            rest = linked_prints(prints, table, sizes, x, rest)
+            if band:
+                rest = rest[~(keys[rest, :band] == keys[x, :band]).any(1)]
             left.append(np.full(len(rest), node[x]))
             right.append(node[rest])
         a, b = np.concatenate(left), np.concatenate(right)
@@ -356,8 +380,8 @@ def near_components(keyed: DataFrame, cell_rows: int = CELL_ROWS) -> DataFrame:
     texts = written(texts.mapInArrow(_signed, "node long, text string, n int, sig binary"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        left, right = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return written(pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b").mapInArrow(_similar, "a long, b long"))
+        left, right = texts.toDF("a", "text_a", "n_a", "sig_a"), texts.toDF("b", "text_b", "n_b", "sig_b")
+        return written(pairs.join(left, "a").join(right, "b").mapInArrow(_similar, "a long, b long"))
 
     roots = components(verified(written(pivot_pairs_of(members))))
     done = prints.join(roots, "node", "left").select("id", "text_key", F.coalesce("root", "node").alias("root"))

@@ -1,5 +1,8 @@
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from gridspark.llm import simhash as s
 from tests.llm.helpers import docs, words
 
@@ -74,3 +77,30 @@ def test_rows_without_an_id_are_distinct(spark):
     rows = [(5, a), (None, a), (7, b), (None, b), (None, c), (None, c), (9, "other words under one id"), (9, "and more of the same id"), (9, "and more of the same id")]
     left = [(r.doc_id, r.text) for r in s.drop_near_copies(docs(spark, rows)).collect()]
     assert sorted(map(str, left)) == sorted(map(str, [(5, a), (7, b), (None, c), *rows[6:8]]))
+
+
+def test_similar_sets_link_by_fingerprints_and_others_by_the_pivot_table_do_not():
+    """The fingerprint and pivot table decide: sets at 0.8, of any size, link; sets at 0.5 are discarded, most by pivots' bits."""
+    rng = np.random.default_rng(5)
+    for size in (4, 5, 12, 20, 60, 400):
+        for share, most in ((0.8, 1.0), (0.5, 0.01)):
+            linked, pairs = 0, 200
+            for _ in range(pairs):
+                both = round(2 * size * share / (1 + share) + (0.499 if share == 0.8 else 0))
+                h = rng.integers(0, 2**64 - 1, 2 * size - both, np.uint64)
+                prints = np.stack([s.near_print(h[:size]), s.near_print(h[size - both :])])
+                linked += len(s.linked_prints(prints, s.pivot_table(prints), np.array([size, size]), 0, np.array([1])))
+            assert linked == pairs if most == 1.0 else size < 60 or linked <= most * pairs, (size, share, linked)
+
+
+def test_verified_pairs_are_linked_by_fingerprints():
+    """A pair whose fingerprints don't link is none, whatever its shingles: there is no way around them."""
+    rng = random.Random(6)
+    base = " ".join(words(rng, 200))
+    x, y = base, edited(rng, base, 2)
+    batch = next(s._signed(iter([pa.RecordBatch.from_pydict({"node": [1, 2], "text": [x, y]})])))
+    a, b = batch.column("sig").to_pylist()
+    n = batch.column("n").to_pylist()
+    pair = lambda sig: pa.RecordBatch.from_pydict({"a": [1], "b": [2], "text_a": [x], "text_b": [y], "n_a": [n[0]], "n_b": [n[1]], "sig_a": [a], "sig_b": [sig]})
+    assert [r.num_rows for r in s._similar(iter([pair(b)]))] == [1]
+    assert [r.num_rows for r in s._similar(iter([pair(bytes(255 - v for v in b))]))] == [0]
