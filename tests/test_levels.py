@@ -1,5 +1,6 @@
 import random
 
+from gridspark.operators import levels
 from gridspark.operators.levels import node_levels
 from gridspark.sources.tables import temporary_tables
 
@@ -53,3 +54,28 @@ def test_cycles_and_small_tables(spark):
     assert want["a", "0"] is None and want["a", "self"] is None and want["b", "1"] == 2
     assert got(spark, edges) == want
     assert got(spark, [("a", None, None)]) == {}
+
+
+def test_small_circles_take_rounds_by_their_own_length(spark):
+    """Circles of many lengths, with tails and nodes that refer to several of them, are all told in few rounds, whatever else there is."""
+    edges = []
+    for k in range(60):
+        n = 1 + k % 13
+        edges += [("a", f"c{k}-{i}", f"c{k}-{(i + 1) % n}") for i in range(n)] + [("a", f"t{k}-{i}", f"t{k}-{i + 1}") for i in range(5)] + [("a", f"t{k}-5", f"c{k}-0"), ("a", f"both{k}", f"t{k}-0"), ("a", f"both{k}", f"c{k}-0"), ("a", f"c{k}-0", "rate")]
+    edges += [("b", str(i), str(j)) for i in range(4) for j in range(4) if i != j] + [("b", "5", "0"), ("b", "5", "6")]
+    calls = []
+    real = levels.written
+
+    def counted(df):
+        calls.append(1)
+        return real(df)
+
+    levels.written = counted
+    try:
+        assert got(spark, edges) == brute(edges)
+        only = [e for e in edges if e[0] == "a"]
+        calls.clear()
+        assert got(spark, only) == brute(only)
+        assert len(calls) < 40
+    finally:
+        levels.written = real
