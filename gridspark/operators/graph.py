@@ -64,9 +64,11 @@ def edges_of(emitted: DataFrame) -> DataFrame:
 
 
 def nodes_of(emitted: DataFrame) -> DataFrame:
-    """Each id once, as first emitted."""
-    first = F.min_by(F.struct("kind", "label", "target_loc"), "seq")
-    return emitted.groupBy("sha256", "id").agg(first.alias("n"), F.min("seq").alias("first_seq")).select("sha256", "id", "n.kind", "n.label", "first_seq", F.col("n.target_loc").alias("loc"))
+    """Each id once, as first emitted. A column an aggregate, so that what a query doesn't ask for is neither sorted nor
+    shuffled; the kind is what the id begins with."""
+    first = lambda c: F.min_by(c, "seq").alias(c)
+    nodes = emitted.groupBy("sha256", "id").agg(first("label"), F.min("seq").alias("first_seq"), first("target_loc"))
+    return nodes.select("sha256", "id", F.substring_index("id", ":", 1).alias("kind"), "label", "first_seq", F.col("target_loc").alias("loc"))
 
 
 def unread_of(emitted: DataFrame) -> DataFrame:

@@ -15,6 +15,8 @@ from gridspark.functions.text import letters_sql, location, location_sql
 from gridspark.sources.tables import spread
 
 VIEW, PATH, BOOK_ROWS = "view-0", "view.xlsx", 1_000_000
+#: Rows of a table that one task makes cells of: what it sorts or hashes of them stays the same size, however long the table is.
+TASK_ROWS = 100_000
 #: (table, key, columns): the sheets in their order. Keys are unique and dense from 0.
 SHEETS = (
     ("orders", "o_orderkey", ("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority")),
@@ -68,7 +70,7 @@ def value_text(column: str, kind: str) -> str:
 def sheet_cells(spark: SparkSession, sf_dir: str, index: int) -> DataFrame:
     """The cells of one table, its header in the first workbook included."""
     name, key, columns = SHEETS[index]
-    table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns))
+    table = spread(spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns), TASK_ROWS)
     kinds = dict(table.dtypes)
     row = f"cast({key} % {BOOK_ROWS} + 2 as long)"
 

@@ -11,11 +11,14 @@ from contextvars import ContextVar
 from pyspark.sql import DataFrame, SparkSession
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, task_rows: int | None = None) -> DataFrame:
     """A scan whose rows are dealt to all cores. A small file is one partition, however much work its rows are; it is
-    dealt anew (that is, shuffled) only then. A scan with as many partitions as there are cores stays what it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+    dealt anew (that is, shuffled) only then. A scan with as many partitions as there are cores stays what it is. With
+    task_rows, for rows that become many, there are so many partitions that none has many more rows than that."""
+    least = scan.sparkSession.sparkContext.defaultParallelism
+    if task_rows:
+        least = max(least, -(-scan.count() // task_rows))  # without columns: the file's footers say
+    return scan.repartition(least) if scan.rdd.getNumPartitions() < least else scan
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -56,3 +56,13 @@ def test_two_threads(spark):
 
     with ThreadPoolExecutor(2) as pool:
         assert list(pool.map(job, (10, 20))) == [10, 20]
+
+
+def test_view_tasks_are_no_larger_for_a_longer_table(spark, tmp_path, monkeypatch):
+    """The rows of a table's view are dealt to as many tasks as they need, beyond the cores."""
+    from gridspark.plans import tableview
+
+    monkeypatch.setattr(tableview, "TASK_ROWS", 100, raising=False)
+    spark.range(4000).selectExpr("id as s_suppkey", "string(id) as s_name", "int(id % 25) as s_nationkey", "double(id) as s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
+    rows = tableview.sheet_cells(spark, str(tmp_path), 3).where("row > 1").rdd.mapPartitions(lambda p: [len({r.row for r in p})]).collect()
+    assert sum(rows) == 4000 and max(rows) <= 250
