@@ -16,6 +16,7 @@ from collections.abc import Iterable
 from xml.sax.saxutils import escape, quoteattr
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +35,7 @@ from gridspark.sources.tables import shared_folder, written
 BOOK_SUPPLIERS = 200
 RUNS = ("first", "second")
 KRONA = '0.0" kr"'
+SAID = pa.schema([*[(c, pa.string()) for c in ("sha256", "run_id", "name", "path", "said")], ("bytes", pa.int64())])
 
 
 def _cell(body: str = "", attrs: str = "") -> str:
@@ -109,7 +111,8 @@ def odd_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         book = int(ordered["book"].iloc[0])
         return pd.DataFrame({"path": [f"odd/odd-{book}.xlsx"], "content": [package(book, list(zip(map(int, ordered["key"]), ordered["name"], map(int, ordered["cents"]))))]})
 
-    return written(as_workbooks(rows.groupBy("book").applyInPandas(put, "path string, content binary")))
+    dealt = rows.repartition(spark.sparkContext.defaultParallelism, "book")
+    return written(as_workbooks(dealt.groupBy("book").applyInPandas(put, "path string, content binary")))
 
 
 registry.implements("read", "suppliers", replace=True)(odd_files)
@@ -151,7 +154,8 @@ def stored(spark: SparkSession, sf_dir: str) -> tuple[Decomposition, str, list[R
 def store_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the runs say of their files, against the files: each hashed and measured anew by a task."""
     done, out, runs = stored(spark, sf_dir)
-    said = spark.createDataFrame([(r.workbook_sha256, r.run_id, a.name, a.path, a.sha256, a.bytes) for r in runs for a in r.artifacts], "sha256 string, run_id string, name string, path string, said string, bytes long")
+    told = [{"sha256": r.workbook_sha256, "run_id": r.run_id, "name": a.name, "path": a.path, "said": a.sha256, "bytes": a.bytes} for r in runs for a in r.artifacts]
+    said = spark.createDataFrame(pa.Table.from_pylist(told, SAID))  # as Arrow: no Python worker has to read it
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{out}/workbooks").select(F.regexp_replace("path", "^file:/*", "/").alias("path"), F.sha2("content", 256).alias("own"), F.length("content").alias("size"))
     where = F.endswith("path", F.concat(F.lit("/workbooks/"), F.col("sha256"), F.lit("/"), F.when(F.col("name") == INDEX, "").otherwise(F.concat("run_id", F.lit("/"))), F.col("name")))
     rows = said.join(found, "path", "left").withColumn("placed", where)

@@ -40,6 +40,8 @@ NESTED = {"full_sheets": ("sheets", ("cells", "ranges", "layout_objects"))}
 #: Metadata entries that are no text.
 TYPED = {"hidden": lambda v: v == "true", "height": float, "width": float, "bytes": int}
 LINES = "sha256 string, artifact string, place array<bigint>, text string"
+#: Rows that a Python worker holds as objects at a time: Arrow brings 10,000, whatever their length.
+HELD_ROWS = 500
 STAGED = "staged.json"
 
 
@@ -101,6 +103,10 @@ def artifact_lines(done: Decomposition) -> DataFrame:
 def indented(lines: DataFrame) -> DataFrame:
     """LINES with the text as it stands in the file: two spaces a level, metadata typed, heads without their braces' end."""
 
+    return lines.mapInArrow(indent_batches, LINES)
+
+
+def indent_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def typed(pairs: list[tuple[str, object]]) -> dict:
         out = dict(pairs)
         if isinstance(out.get("metadata"), dict):
@@ -112,12 +118,16 @@ def indented(lines: DataFrame) -> DataFrame:
         found = found[:-2] if head else found  # a head goes on with arrays
         return found if not depth else "\n".join("  " * depth + line for line in found.split("\n"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, depths, heads = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "depth", "head"))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(shown, texts, depths, heads), pa.string())], names=["sha256", "artifact", "place", "text"])
+    for batch in held(batches):
+        texts, depths, heads = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("text", "depth", "head"))
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(map(shown, texts, depths, heads), pa.string())], names=["sha256", "artifact", "place", "text"])
+
 
-    return lines.mapInArrow(run, LINES)
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All rows of batches, in their order, in slices of HELD_ROWS at most; nothing is copied."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, HELD_ROWS):
+            yield batch.slice(at, HELD_ROWS)
 
 
 class Document:
@@ -221,7 +231,7 @@ class JsonWriter(DataSourceArrowWriter):
             done.append({"sha256": current[0], "name": current[1], "staged": f"{own}/{current[0]}/{current[1]}", "digest": document.digest.hexdigest(), "bytes": document.size})
 
         try:
-            for batch in iterator:
+            for batch in held(iterator):
                 keys = zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("sha256", "artifact", "place", "text")))
                 for sha256, artifact, place, text in keys:
                     if (sha256, artifact) != current:

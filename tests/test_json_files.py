@@ -5,14 +5,16 @@ import json
 import multiprocessing
 import os
 import random
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from gridspark.contracts import ARTIFACT_SHAPES
 from gridspark.plans.pipeline import decompose
-from gridspark.sinks.json_files import LAYOUTS, LINES, NESTED, STAGED, Document, stage
+from gridspark.sinks.json_files import LAYOUTS, LINES, NESTED, STAGED, Document, JsonWriter, indent_batches, stage
 from gridspark.sinks.store import INDEX, ArtifactStore, RunRecord
 from gridspark.sources.artifacts import CORRUPT, cells_back, read_artifacts
 from tests.workbooks import three_sheets
@@ -70,6 +72,31 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path: Path):
     assert not (tmp_path / "worse").exists() or list((tmp_path / "worse").rglob("*.json")) == []
 
 
+def most_memory(work) -> float:
+    """MB of Python objects that were held at once."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_few_rows_of_a_batch_are_python_objects_at_a_time(tmp_path: Path):
+    n = 10_000
+    same = {"sha256": pa.array(["0" * 64] * n), "artifact": pa.array(["dependency_graph.json"] * n), "place": pa.array([[1, i, 0, 0] for i in range(n)])}
+    plain = [json.dumps({"id": i, "formula": "x" * 1000}) for i in range(n)]
+    lines = pa.RecordBatch.from_pydict(same | {"text": pa.array(plain), "depth": pa.array([2] * n, pa.int32()), "head": pa.array([False] * n)})
+    out: list[str] = []
+    assert most_memory(lambda: [out.append(b.column(3)[-1].as_py()) for b in indent_batches(iter([lines]))]) < 3
+    assert out[-1] == shown({"id": n - 1, "formula": "x" * 1000}, 2)
+    ready = pa.RecordBatch.from_pydict(same | {"text": pa.array([shown(json.loads(t), 2) for t in plain])})
+    done: list = []
+    assert most_memory(lambda: done.append(JsonWriter(str(tmp_path)).write(iter([ready])))) < 3
+    (file,) = done[0].files
+    assert json.loads('{"head": 1' + Path(file["staged"]).read_text())["nodes"] == [json.loads(t) for t in plain]
+
+
 def write_entries(out: str, writer: int) -> None:
     store = ArtifactStore(out)
     for k in range(5):
