@@ -98,8 +98,9 @@ def empty_items(workbooks: DataFrame, items: DataFrame) -> DataFrame:
 
 def classify(workbooks: DataFrame, cells: DataFrame, ranges: DataFrame, unsupported: DataFrame, filled: DataFrame | None = None) -> DataFrame:
     """All items: (sha256, seq, id, category, confidence, reasons, source_artifact_refs, hints, loc). filled: the workbooks
-    that hold anything (sha256), where the caller knows them without another pass over cells, ranges and diagnostics."""
+    that hold anything (sha256), where the caller knows them without another pass over cells, ranges and diagnostics. The
+    graph's diagnostics are of cells, so the formulas aren't read a second time for these."""
     items = cell_items(cells).unionByName(range_items(ranges)).unionByName(unsupported_items(unsupported))
     if filled is None:
-        filled = cells.select("sha256").unionByName(ranges.select("sha256")).unionByName(unsupported.select("sha256"))
+        filled = cells.select("sha256").unionByName(ranges.select("sha256")).unionByName(unsupported.where("origin <> 'graph'").select("sha256"))
     return items.unionByName(empty_items(workbooks, filled))

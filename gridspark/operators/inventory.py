@@ -134,16 +134,22 @@ def worksheets(book: DataFrame, rels: DataFrame) -> DataFrame:
 
 def cells_of(content: DataFrame, sheets: DataFrame, strings: DataFrame, formats: DataFrame, book: DataFrame) -> DataFrame:
     """The cells that hold something: (sheets' and strings' elements, worksheets, shared_strings, number_formats, the
-    workbooks' elements). No join is one to many, so there are as many cells as the sheets have."""
+    workbooks' elements). No join is one to many, so there are as many cells as the sheets have. Only the cells that show a
+    shared string meet the strings, so only these are shuffled where the strings are many; what is known of a whole sheet
+    or format (its epoch, whether it is a date) is worked out there and not cell by cell."""
     raw = content.where("tag = 'c' and (v is not null or f is not null or si is not null or inline is not null)").select("sha256", "part", "seq", "row_no", "col_no", "t", "style_id", "v", "f", "si", "inline")
     dated = book.where("tag = 'workbookPr'").groupBy("sha256").agg(F.max(truth(attr("date1904"))).alias("from_1904"))
+    epochs = sheets.select("sha256", "part", "path", "sheet_name", "sheet_index").join(dated, "sha256", "left")
+    kinds = formats.withColumn("shows_date", is_date_format(F.col("number_format")))
+    is_text = "t = 's' and f is null and si is null"  # a formula's value isn't kept
+    texts = raw.where(is_text).join(strings, ["sha256", "v"], "left")
+    others = with_shared_formulas(raw.where(f"not ({is_text})")).withColumn("shared", F.lit(None).cast("string"))
     joined = (
-        with_shared_formulas(raw).selectExpr("*", f"concat({letters_sql('col_no')}, cast(row_no as string)) as address")
-        .join(sheets.select("sha256", "part", "path", "sheet_name", "sheet_index"), ["sha256", "part"])
-        .join(strings.withColumn("t", F.lit("s")), ["sha256", "t", "v"], "left").join(formats, ["sha256", "style_id"], "left").join(dated, "sha256", "left")
+        texts.unionByName(others).selectExpr("*", f"concat({letters_sql('col_no')}, cast(row_no as string)) as address")
+        .join(epochs, ["sha256", "part"]).join(kinds, ["sha256", "style_id"], "left")
     )
     shown, number = F.coalesce("number_format", F.lit("General")), F.expr("try_cast(v as double)")
-    read = joined.withColumns({"shown": shown, "is_date": (F.col("t") == "n") & is_date_format(shown) & number.isNotNull(), "date": date_text(number, F.coalesce("from_1904", F.lit(False)))})
+    read = joined.withColumns({"shown": shown, "is_date": (F.col("t") == "n") & F.coalesce("shows_date", F.lit(False)) & number.isNotNull(), "date": date_text(number, F.coalesce("from_1904", F.lit(False)))})
     truth_text = "case when lower(v) in ('1', 'true') then 'true' else 'false' end"
     valued = read.selectExpr(
         "*", f"coalesce(case when t = 's' then coalesce(shared, if(v is null, null, '')) when t = 'inlineStr' then inline when t = 'b' and v is not null then {truth_text} when is_date then date end, v, inline) as value",

@@ -1,13 +1,16 @@
 """The three-sheet workbook, end to end, against counts worked out by hand (FIXTURES.md)."""
 
 import json
+import re
 from pathlib import Path
 
 import pytest
 
 from gridspark.contracts import FRAMES, schema_of, schemas_json
+from gridspark.operators.inventory import inventory_of
 from gridspark.plans.pipeline import decompose
 from gridspark.sinks.store import frames_of
+from gridspark.sources.ooxml import read_workbooks
 from tests.workbooks import formula, number, package, sheet, text, three_sheets
 
 
@@ -149,3 +152,14 @@ def test_values_formulas_and_names(spark, tmp_path: Path):
     protection = rs.where("kind = 'sheet_protection'").collect()[0]
     assert (protection.address, protection.loc.address) == ("sheet", None)
     assert got.inventory.manifest.collect()[0].is_macro_enabled
+
+
+def test_only_cells_that_show_a_string_meet_the_strings_and_formulas_are_read_once(spark, tmp_path):
+    """Of the written cells each that isn't of strings stays where it is, and items read the graph's formulas one time."""
+    files = read_workbooks(spark, str(three_sheets(tmp_path / "book.xlsx")))
+    lines = inventory_of(files).cells._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    (at,) = [i for i, line in enumerate(lines) if re.search(r"Join LeftOuter, .*\(v#\d+ = v#\d+\)", line)]
+    assert any(re.search(r"Filter .*\(t#\d+ = s\)", line) for line in lines[at + 1 : at + 3])
+    items = decompose(spark, str(tmp_path / "book.xlsx")).items
+    plan = items._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Generate explode", plan)) == 1
