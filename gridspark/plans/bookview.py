@@ -211,22 +211,32 @@ def workbook_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by_file(done.items, done.inventory).groupBy("file", "category").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Of all artifacts what `workbook_artifacts` tells; of what an array holds one field, so that it can be counted.
+TOLD = (
+    "schema_version string, artifact_type string, file_name string, sheets array<struct<cells:array<struct<value:string>>>>, package_parts array<struct<name:string>>, "
+    "coverage struct<recognized_inventory_objects:bigint>, nodes array<struct<id:string>>, edges array<struct<source:string>>, items array<struct<id:string>>"
+)
+
+
 def workbook_artifacts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the JSON artifacts of each workbook hold, written by tasks and read back from their files."""
+    """What the JSON artifacts of each workbook hold, written by tasks and read back from their files. The files are
+    gzipped; each is parsed once, where it is read, and only what is told of it is shuffled."""
     staging = f"{shared_folder(spark)}/artifacts-{uuid.uuid4().hex}"
-    stage(artifact_lines(whole(spark, sf_dir)), staging)
-    texts = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "[!s]*.json").load(staging)
-    named = texts.select(F.element_at(F.split("path", "/"), -2).alias("sha256"), F.element_at(F.split("path", "/"), -1).alias("name"), F.col("content").cast("string").alias("text"))
-    rows = named.groupBy("sha256").pivot("name", list(LAYOUTS)).agg(F.first("text"))
-    at = lambda name, path: F.get_json_object(f"`{name}`", path)
-    size = lambda name, path: F.json_array_length(at(name, path)).cast("long")
-    first = lambda key: at("inventory.json", f"$.sheets[0].{key}")
-    return rows.select(
-        at("workbook_manifest.json", "$.file_name").alias("file"), at("inventory.json", "$.schema_version").alias("version"), F.concat_ws(",", *[at(n, "$.artifact_type") for n in rows.columns[1:]]).alias("types"),
-        size("workbook_manifest.json", "$.sheets").alias("n_sheets"), size("workbook_manifest.json", "$.package_parts").alias("n_parts"), F.json_array_length(first("cells")).cast("long").alias("n_cells"),
-        at("inventory.json", "$.coverage.recognized_inventory_objects").cast("long").alias("recognized"), size("dependency_graph.json", "$.nodes").alias("n_nodes"), size("dependency_graph.json", "$.edges").alias("n_edges"),
-        size("module_classification.json", "$.items").alias("n_items"), first("cells[0].value").alias("first_value"),
+    stage(artifact_lines(whole(spark, sf_dir)), staging, "gzip")
+    files = spark.read.schema(TOLD).options(multiLine=True, mode="FAILFAST", recursiveFileLookup=True, pathGlobFilter="*.json.gz").json(staging)
+    path, first = F.split("_metadata.file_path", "/"), F.get("sheets", F.lit(0))["cells"]
+    size = lambda c: F.array_size(c).cast("long")
+    told = files.select(
+        F.element_at(path, -2).alias("sha256"), F.regexp_replace(F.element_at(path, -1), r"\.gz$", "").alias("name"), "schema_version", "artifact_type", "file_name", size("sheets").alias("n_sheets"), size("package_parts").alias("n_parts"),
+        size(first).alias("n_cells"), F.get(first, F.lit(0))["value"].alias("first_value"), "coverage.recognized_inventory_objects", size("nodes").alias("n_nodes"), size("edges").alias("n_edges"), size("items").alias("n_items"),
     )
+    of = lambda name, c: F.max(F.when(F.col("name") == name, F.col(c)))
+    return told.groupBy("sha256").agg(
+        of("workbook_manifest.json", "file_name").alias("file"), of("inventory.json", "schema_version").alias("version"), F.concat_ws(",", *[of(n, "artifact_type") for n in LAYOUTS]).alias("types"),
+        of("workbook_manifest.json", "n_sheets").alias("n_sheets"), of("workbook_manifest.json", "n_parts").alias("n_parts"), of("inventory.json", "n_cells").alias("n_cells"),
+        of("inventory.json", "recognized_inventory_objects").alias("recognized"), of("dependency_graph.json", "n_nodes").alias("n_nodes"), of("dependency_graph.json", "n_edges").alias("n_edges"),
+        of("module_classification.json", "n_items").alias("n_items"), of("inventory.json", "first_value").alias("first_value"),
+    ).drop("sha256")
 
 
 EDGES = """edge as (

@@ -1,5 +1,6 @@
 """The task-side sink: documents of any shape, staging, aborts, and concurrent writers of one index."""
 
+import gzip
 import hashlib
 import json
 import multiprocessing
@@ -72,6 +73,21 @@ def test_a_failed_task_leaves_nothing(spark, tmp_path: Path):
     assert not (tmp_path / "worse").exists() or list((tmp_path / "worse").rglob("*.json")) == []
 
 
+def test_gzipped_files_hold_the_same_text(spark, tmp_path: Path):
+    rows = [(f"{i:064x}", "inventory.json", place, f'{{"ü": {i}') for i in range(3) for place in ([0], [1, 0, 0], [1, 0, 1, 5, 1], [1, 0, 1, 5, 2], [1, 0, 3, 7], [1, 1, 0], [1, 2, 0], [1, 2, 2, 1], [2, 4], [2, 5])]
+    lines = spark.createDataFrame(rows, LINES)
+    plain, packed = (sorted(stage(lines, str(tmp_path / c), c), key=lambda f: f["sha256"]) for c in ("none", "gzip"))
+    for a, b in zip(plain, packed, strict=True):
+        text = Path(a["staged"]).read_bytes()
+        assert gzip.decompress(Path(b["staged"]).read_bytes()) == text and b["staged"].endswith("/inventory.json.gz")
+        assert (a["digest"], a["bytes"]) == (b["digest"], b["bytes"]) == (hashlib.sha256(text).hexdigest(), len(text))
+        document = Document((out := []).append, "inventory.json")
+        for _, _, place, row in (r for r in rows if r[0] == a["sha256"]):
+            document.put(place, row)
+        document.end()
+        assert b"".join(out) == text
+
+
 def most_memory(work) -> float:
     """MB of Python objects that were held at once."""
     tracemalloc.start()

@@ -1,10 +1,16 @@
 """Every query of the workbook view against its SQL, and with one shuffle partition."""
 
+import json
+import os
+from pathlib import Path
+
 import duckdb
 import pytest
 
 import __spark_entry__ as entry
 from gridspark.plans import bookview, oddview, queries
+from gridspark.sinks.json_files import STAGED
+from gridspark.sources.tables import shared_folder
 
 QUERIES, ORACLES = queries.QUERIES | bookview.QUERIES | oddview.QUERIES, queries.ORACLES | bookview.ORACLES | oddview.ORACLES
 SF = "/root/testdata/sf0.001"
@@ -47,6 +53,17 @@ def test_content_types_beyond_the_first_workbook(spark, tmp_path):
     assert got == sorted(str(r) for r in want.select(*columns).fetchall()) and got
 
 
+def test_artifacts_take_little_disk(spark):
+    """The staged files are a small part of their text, and no text of a file is shuffled when they are read back."""
+    folders = lambda: set(Path(shared_folder(spark)).glob("artifacts-*"))
+    before = folders()
+    told = QUERIES["workbook_artifacts"](spark, SF)
+    (made,) = folders() - before
+    files = json.loads((made / STAGED).read_text())
+    assert len(files) == 5 * told.count() and sum(os.path.getsize(f["staged"]) for f in files) * 10 < sum(f["bytes"] for f in files)
+    assert "binaryFile" not in told._jdf.queryExecution().toString()
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql()) <= set(entry.queries())
