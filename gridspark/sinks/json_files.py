@@ -1,7 +1,8 @@
 """JSON artifacts written by tasks: every artifact is a stream of small rows, never one value.
 
 `artifact_lines` gives one row for each object of an artifact (a cell, a node, a sheet's head) with its place; the JSON
-text of each is made and indented where the row is. One exchange brings the rows of a file together, Spark sorts them by
+text of each is made, indented, where the row is: by SQL, or by Python where values are typed as they come (metadata) or a
+number may have to be written otherwise. One exchange brings the rows of a file together, Spark sorts them by
 their places, with spill, and the data source `gridspark-json` streams them into the file, counting and hashing as it
 goes: a file may be as large as its file system lets it be, whatever the memory of a task.
 
@@ -20,17 +21,21 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 from pyspark.sql.types import StructType
 
 from gridspark.contracts import SCHEMA_VERSION
+from gridspark.functions.text import sql_text
 from gridspark.plans.pipeline import Decomposition
+from gridspark.sources.tables import written
 
 #: By file the artifact's type and its arrays in order; sheets have arrays of their own.
 LAYOUTS: dict[str, tuple[str, tuple[str, ...]]] = {
@@ -54,11 +59,53 @@ GZIP_LEVEL = 1
 
 # ------------------------------------------------------------------------------------------------ lines
 
+#: What a JSON text escapes, and what such a text is cut into.
+_ESCAPED, _PIECES = sql_text(r'["\\\x00-\x1f]'), sql_text(r'["\\\x00-\x1f]|[^"\\\x00-\x1f]+')
+_SHORT = {'"': '"', "\\": "\\", "\b": "b", "\t": "t", "\n": "n", "\f": "f", "\r": "r"}
+_ESCAPE = f"case {' '.join(f'when p = char({ord(c)}) then {sql_text(chr(92) + e)}' for c, e in _SHORT.items())} when p < ' ' then concat({sql_text(chr(92) + 'u00')}, lower(lpad(hex(ascii(p)), 2, '0'))) else p end"
+#: Numbers that every writer writes alike: 15 digits at most, the last no zero, from 0.0001 on without an exponent.
+_ALIKE = sql_text(r"^-?(0\.(0|0{0,3}[1-9]|0{0,3}[1-9][0-9]*[1-9])|[1-9][0-9]*\.(0|[0-9]*[1-9]))\z")
+
+
+def quoted_sql(text: str) -> str:
+    """A string as JSON, as SQL text."""
+    escaped = f"array_join(transform(regexp_extract_all({text}, {_PIECES}, 0), p -> {_ESCAPE}), '')"
+    return f"coalesce(concat('\"', case when {text} rlike {_ESCAPED} then {escaped} else {text} end, '\"'), 'null')"
+
+
+def alike_sql(number: str) -> str:
+    """Whether a number, given as text, is JSON as it stands, the very text that json.dumps writes."""
+    return f"coalesce(length({number}) <= 16 and {number} rlike {_ALIKE}, true)"
+
+
+def json_sql(value: str, kind: T.DataType, level: int, at: str = "v") -> str:
+    """A value as SQL text that gives what json.dumps(indent=2, ensure_ascii=False) writes `level` steps in. Fractions are
+    those of alike_sql."""
+    pad, end = "\n" + "  " * (level + 1), "\n" + "  " * level
+    if isinstance(kind, T.StructType):
+        texts = ", ".join(f"{sql_text((',' if i else '{') + pad + json.dumps(f.name, ensure_ascii=False) + ': ')}, {json_sql(f'{value}.`{f.name}`', f.dataType, level + 1, at)}" for i, f in enumerate(kind.fields))
+        return f"if({value} is null, 'null', concat({texts}, {sql_text(end + '}')}))"
+    if isinstance(kind, T.ArrayType):
+        each = f"array_join(transform({value}, {at} -> {json_sql(at, kind.elementType, level + 1, at + 'v')}), {sql_text(',' + pad)})"
+        return f"case when {value} is null then 'null' when size({value}) = 0 then '[]' else concat({sql_text('[' + pad)}, {each}, {sql_text(end + ']')}) end"
+    if isinstance(kind, T.StringType):
+        return quoted_sql(value)
+    if isinstance(kind, (T.IntegralType, T.BooleanType, T.DoubleType)):
+        return f"coalesce(cast({value} as string), 'null')"
+    raise TypeError(f"{value} is {kind.simpleString()}")
+
+
+#: Fields named json:x are JSON already where SQL makes the text, and of another type where Python does.
 _VALUE = (
     "case value_type when 'long' then cast(try_cast(value as bigint) as variant) when 'double' then cast(try_cast(value as double) as variant) "
     "when 'boolean' then cast(value = 'true' as variant) else cast(value as variant) end"
 )
+_VALUE_JSON = (
+    f"case value_type when 'long' then coalesce(cast(try_cast(value as bigint) as string), 'null') when 'double' then coalesce(value, 'null') "
+    f"when 'boolean' then coalesce(cast(value = 'true' as string), 'null') else {quoted_sql('value')} end"
+)
 _CELL = ("loc as source_location", "address", "row", "column", "kind", f"{_VALUE} as value", "data_type", "number_format", "formula", "style_id")
+_CELL_JSON = tuple(f"{_VALUE_JSON} as json:value" if f.endswith(" as value") else f for f in _CELL)
 _RANGE = ("loc as source_location", "name", "address", "kind", "metadata")
 _PROBLEM = ("feature_type", "description", "loc as source_location", "severity", "opaque", "metadata")
 _SHEET_LOC = "named_struct('workbook_path', path, 'sheet_name', sheet_name, 'sheet_index', sheet_index, 'address', cast(null as string), 'object_type', 'sheet', 'object_id', cast(null as string), 'ooxml_part', cast(null as string))"
@@ -68,43 +115,61 @@ def artifact_lines(done: Decomposition) -> DataFrame:
     """LINES of all artifacts of all workbooks: [0] is the head of a file, [k, ...] what its k-th array holds, in order."""
     inv, graph = done.inventory, done.graph
 
-    def rows(df: DataFrame, artifact: str, place: str, fields: tuple[str, ...], depth: int = 2, head: bool = False) -> DataFrame:
-        named = ", ".join(f"'{n}', {v}" for v, n in (f.rsplit(" as ", 1) if " as " in f else (f, f) for f in fields))
-        return df.selectExpr("sha256", f"'{artifact}' as artifact", f"{place} as place", f"to_json(named_struct({named}), map('ignoreNullFields', 'false')) as text", f"{depth} as depth", f"{str(head).lower()} as head")
-
-    def head(df: DataFrame, artifact: str, *fields: str) -> DataFrame:
-        return rows(df, artifact, "array(0L)", (f"'{SCHEMA_VERSION}' as schema_version", f"'{LAYOUTS[artifact][0]}' as artifact_type", *fields), 0, True)
-
+    def named(fields: tuple[str, ...]) -> list[tuple[str, str]]:
+        return [tuple(reversed(f.rsplit(" as ", 1))) if " as " in f else (f, f) for f in fields]
+
+    def rows(df: DataFrame, artifact: str, place: str, fields: tuple[str, ...], depth: int = 2, head: bool = False) -> None:
+        """Text by SQL. The rows of `df` have numbers that are written alike only."""
+        names = [name for name, _ in named(fields)]
+        picked = df.selectExpr("sha256", f"{place} as place", *[f"{value} as f{i}" for i, (_, value) in enumerate(named(fields))])
+        texts = []
+        for name, field in zip(names, picked.schema.fields[2:], strict=True):
+            key = json.dumps(name.removeprefix("json:"), ensure_ascii=False)
+            before = (",\n" if texts else "  " * depth + "{\n") + "  " * (depth + 1) + key + ": "
+            texts += [sql_text(before), field.name if name.startswith("json:") else json_sql(field.name, field.dataType, depth + 1)]
+        end = [] if head else [sql_text("\n" + "  " * depth + "}")]  # a head goes on with arrays
+        ready.append(picked.selectExpr("sha256", f"'{artifact}' as artifact", "place", f"concat({', '.join(texts + end)}) as text"))
+
+    def typed_rows(df: DataFrame, artifact: str, place: str, fields: tuple[str, ...], depth: int = 2) -> None:
+        """Text by Python."""
+        pairs = ", ".join(f"'{name}', {value}" for name, value in named(fields))
+        to_type.append(df.selectExpr("sha256", f"'{artifact}' as artifact", f"{place} as place", f"to_json(named_struct({pairs}), map('ignoreNullFields', 'false')) as text", f"{depth} as depth", "false as head"))
+
+    def head(df: DataFrame, artifact: str, *fields: str) -> None:
+        rows(df, artifact, "array(0L)", (f"'{SCHEMA_VERSION}' as schema_version", f"'{LAYOUTS[artifact][0]}' as artifact_type", *fields), 0, True)
+
+    ready: list[DataFrame] = []
+    to_type: list[DataFrame] = []
     manifest, inventory, dependencies, classes, template = LAYOUTS
+    unread = written(graph.unsupported)  # few rows, for which each use would read all formulas
     covered = done.coverage.selectExpr("sha256", "named_struct('recognized_inventory_objects', recognized, 'unsupported_or_opaque_objects', opaque, 'discovered_workbook_objects', discovered) as coverage")
     books = inv.manifest
     known = lambda k: f"concat(array({k}L), seq)"
-    out = [
-        head(books, manifest, "workbook_path", "file_name", "file_size", "sha256", "is_macro_enabled", "named_ranges_count", "calc_mode"),
-        rows(inv.sheets, manifest, "array(1L, sheet_index)", ("sheet_name as name", "sheet_index as index", "state", "max_row", "max_column")),
-        rows(inv.parts, manifest, "array(2L, part_seq)", ("name", "content_type", "relationship_type", "size", "opaque", "loc as source_location")),
-        rows(inv.unsupported, manifest, known(3), _PROBLEM),
-        head(covered, inventory, "sha256 as workbook_sha256", "coverage"),
-        rows(inv.sheets, inventory, "array(1L, sheet_index, 0L)", (f"{_SHEET_LOC} as source_location", "sheet_name as name", "sheet_index as index", "max_row", "max_column", "state"), 2, True),
-        rows(inv.cells, inventory, "array(1L, sheet_index, 1L, row, column)", _CELL, 4),
-        rows(inv.ranges.where("scope = 'sheet_range'"), inventory, "array(1L, sheet_index, 2L, seq)", _RANGE, 4),
-        rows(inv.ranges.where("scope = 'layout'"), inventory, "array(1L, sheet_index, 3L, seq)", _RANGE, 4),
-        rows(inv.ranges.where("scope = 'workbook'"), inventory, "array(2L, seq)", _RANGE),
-        rows(inv.unsupported, inventory, known(3), _PROBLEM),
-        head(books, dependencies),
-        rows(graph.nodes, dependencies, "concat(array(1L), first_seq)", ("id", "kind", "label", "loc as source_location", "cast(map() as map<string,string>) as metadata")),
-        rows(graph.edges, dependencies, known(2), ("source", "target", "relationship", "formula", "loc as source_location")),
-        rows(graph.unsupported, dependencies, known(3), _PROBLEM),
-        head(books, classes),
-        rows(done.items, classes, known(1), ("id", "category", "confidence", "reasons", "loc as source_location", "source_artifact_refs", "hints as actuarial_hints")),
-        rows(inv.unsupported.unionByName(graph.unsupported), classes, "concat(array(2L, if(origin = 'graph', 1L, 0L)), seq)", _PROBLEM),
-        head(books, template, "cast(array() as array<string>) as decisions"),
-        rows(done.questions, template, known(1), ("id", "prompt", "question_type", "loc as source_location", "options", "default", "rationale")),
-    ]
-    lines = out[0]
-    for more in out[1:]:
-        lines = lines.unionByName(more)
-    return indented(lines)
+    cell_place, cell_alike = "array(1L, sheet_index, 1L, row, column)", f"(value_type is null or value_type <> 'double' or {alike_sql('value')})"
+    item, item_alike = ("id", "category", "confidence", "reasons", "loc as source_location", "source_artifact_refs", "hints as actuarial_hints"), alike_sql("cast(confidence as string)")
+    head(books, manifest, "workbook_path", "file_name", "file_size", "sha256", "is_macro_enabled", "named_ranges_count", "calc_mode")
+    rows(inv.sheets, manifest, "array(1L, sheet_index)", ("sheet_name as name", "sheet_index as index", "state", "max_row", "max_column"))
+    rows(inv.parts, manifest, "array(2L, part_seq)", ("name", "content_type", "relationship_type", "size", "opaque", "loc as source_location"))
+    typed_rows(inv.unsupported, manifest, known(3), _PROBLEM)
+    head(covered, inventory, "sha256 as workbook_sha256", "coverage")
+    rows(inv.sheets, inventory, "array(1L, sheet_index, 0L)", (f"{_SHEET_LOC} as source_location", "sheet_name as name", "sheet_index as index", "max_row", "max_column", "state"), 2, True)
+    rows(inv.cells.where(cell_alike), inventory, cell_place, _CELL_JSON, 4)
+    typed_rows(inv.cells.where(f"not {cell_alike}"), inventory, cell_place, _CELL, 4)
+    typed_rows(inv.ranges.where("scope = 'sheet_range'"), inventory, "array(1L, sheet_index, 2L, seq)", _RANGE, 4)
+    typed_rows(inv.ranges.where("scope = 'layout'"), inventory, "array(1L, sheet_index, 3L, seq)", _RANGE, 4)
+    typed_rows(inv.ranges.where("scope = 'workbook'"), inventory, "array(2L, seq)", _RANGE)
+    typed_rows(inv.unsupported, inventory, known(3), _PROBLEM)
+    head(books, dependencies)
+    rows(graph.nodes, dependencies, "concat(array(1L), first_seq)", ("id", "kind", "label", "loc as source_location", "'{}' as json:metadata"))
+    rows(graph.edges, dependencies, known(2), ("source", "target", "relationship", "formula", "loc as source_location"))
+    typed_rows(unread, dependencies, known(3), _PROBLEM)
+    head(books, classes)
+    rows(done.items.where(item_alike), classes, known(1), item)
+    typed_rows(done.items.where(f"not {item_alike}"), classes, known(1), item)
+    typed_rows(inv.unsupported.unionByName(unread), classes, "concat(array(2L, if(origin = 'graph', 1L, 0L)), seq)", _PROBLEM)
+    head(books, template, "cast(array() as array<string>) as decisions")
+    rows(done.questions, template, known(1), ("id", "prompt", "question_type", "loc as source_location", "options", "default", "rationale"))
+    return reduce(DataFrame.unionByName, [*ready, indented(reduce(DataFrame.unionByName, to_type))])
 
 
 def indented(lines: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ import multiprocessing
 import os
 import random
 import tracemalloc
+from dataclasses import replace
 from pathlib import Path
 
 import pyarrow as pa
@@ -15,7 +16,7 @@ from pyspark.sql import functions as F
 
 from gridspark.contracts import ARTIFACT_SHAPES
 from gridspark.plans.pipeline import decompose
-from gridspark.sinks.json_files import LAYOUTS, LINES, NESTED, STAGED, Document, JsonWriter, indent_batches, stage
+from gridspark.sinks.json_files import LAYOUTS, LINES, NESTED, STAGED, Document, JsonWriter, alike_sql, artifact_lines, indent_batches, json_sql, stage
 from gridspark.sinks.store import INDEX, ArtifactStore, RunRecord
 from gridspark.sources.artifacts import CORRUPT, cells_back, read_artifacts
 from tests.workbooks import three_sheets
@@ -88,6 +89,43 @@ def test_gzipped_files_hold_the_same_text(spark, tmp_path: Path):
         assert b"".join(out) == text
 
 
+ODD_TEXTS = ["", "plain", 'say "hi"', "back\\slash", "\\u001f", "a\nb\tc\rd\be\ff", "\x00\x0b\x1f\x7f", "größer 😀\u2028", "\"\\\n", None]
+
+
+@pytest.mark.parametrize("level", [0, 1, 4])
+def test_sql_writes_what_json_writes(spark, level):
+    rng = random.Random(level)
+    some = lambda: None if rng.random() < 0.1 else {"t": rng.choice(ODD_TEXTS), "n": rng.choice([0, -5, 2**62, None]), "b": rng.choice([True, False, None]), "a": rng.choice([None, [], [rng.choice(ODD_TEXTS) for _ in range(3)]])}
+    values = [{"t": t, "n": 1, "b": True, "a": [t]} for t in ODD_TEXTS] + [{**(some() or {"t": "", "n": 0, "b": None, "a": []}), "own": some(), "list": rng.choice([None, [], [some(), some()]])} for _ in range(60)]
+    one = "t string, n bigint, b boolean, a array<string>"
+    short = "struct<" + one.replace(" ", ":").replace(",:", ",") + ">"
+    df = spark.createDataFrame([({"own": None, "list": None} | v,) for v in values], f"v struct<{short[7:-1]},own:{short},list:array<{short}>>")
+    rows = df.selectExpr("v", f"{json_sql('v', df.schema['v'].dataType, level)} as text").collect()
+    want = lambda v: ("\n" + "  " * level).join(json.dumps(v.asDict(True), indent=2, ensure_ascii=False).split("\n"))
+    assert len(rows) == len(values) and [r.text for r in rows] == [want(r.v) for r in rows]
+
+
+def test_numbers_are_left_as_they_stand_only_where_json_writes_them_so(spark):
+    rng = random.Random(5)
+    texts = ["0.1", "-0.0", "0.0", "0.00", "00.5", "1.50", ".5", "5.", "5", "1E5", "1.0E5", "0.0001", "0.00001", "0.00012", "0.30000000000000004", "123456789012345.5", "12345678901234.5", "+1.5", "NaN", "Infinity", "-12.25", "1.5\n", " 1.5"]
+    texts += [f"{rng.uniform(-1, 1) * 10 ** rng.randint(-7, 16):.{rng.randint(0, 9)}f}" for _ in range(500)] + [repr(rng.uniform(-1, 1) * 10 ** rng.randint(-7, 20)) for _ in range(500)]
+    got = spark.createDataFrame([(t,) for t in texts], "n string").selectExpr("n", f"{alike_sql('n')} as alike").collect()
+    assert all(json.dumps(float(r.n)) == r.n for r in got if r.alike) and {r.n for r in got if r.alike} >= {"0.1", "-0.0", "0.0001", "0.00012", "-12.25", "12345678901234.5"}
+
+
+def test_files_are_what_json_writes(spark, tmp_path: Path):
+    done = decompose(spark, str(three_sheets(tmp_path / "book.xlsx")))
+    n, values = F.pmod(F.col("row") * 31 + F.col("column"), F.lit(8)), ["1E5", "0.30000000000000004", "0.5", "1.50", "x", "0.00001", None, "123456789012345678901234"]
+    odd = done.inventory.cells.withColumns({"value_type": F.lit("double"), "value": F.element_at(F.array(*map(F.lit, values)), (n + 1).cast("int")), "number_format": F.lit('"a"\\\x01')})
+    items = done.items.withColumn("confidence", F.when(F.length("id") % 2 == 0, 0.1 + F.lit(0.2)).otherwise(F.lit(1e-7)))
+    found = stage(artifact_lines(replace(done, inventory=replace(done.inventory, cells=odd), items=items)), str(tmp_path / "out"))
+    texts = {f["name"]: Path(f["staged"]).read_text() for f in found}
+    assert set(texts) == set(LAYOUTS) and all(text == json.dumps(json.loads(text), indent=2, ensure_ascii=False) + "\n" for text in texts.values())
+    shown = {c["value"] for sheet in json.loads(texts["inventory.json"])["sheets"] for c in sheet["cells"]}
+    assert shown <= {1e5, 0.1 + 0.2, 0.5, 1.5, None, 1e-05, float(values[-1])} and len(shown) > 3
+    assert {i["confidence"] for i in json.loads(texts["module_classification.json"])["items"]} == {0.1 + 0.2, 1e-7}
+
+
 def most_memory(work) -> float:
     """MB of Python objects that were held at once."""
     tracemalloc.start()
