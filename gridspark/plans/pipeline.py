@@ -19,6 +19,10 @@ for _stage, _function in (("read", read_workbooks), ("inventory", inventory_of),
     registry.implements(_stage, BUILT_IN, replace=True)(_function)
 
 
+#: Rows of a file of a written frame: a million formulas, which one task would read for half a minute, take less than 1 MB.
+FILE_ROWS = 50_000
+
+
 @dataclass(frozen=True)
 class Decomposition:
     inventory: Inventory
@@ -33,7 +37,7 @@ def decompose(spark: SparkSession, paths: str | list[str], use: dict[str, str] |
     parsing happen here, all else is lazy. use: names of registered implementations by stage, for those not built in."""
     stage = lambda name: registry.get(name, (use or {}).get(name, BUILT_IN))
     found = stage("inventory")(stage("read")(spark, paths))
-    found = replace(found, **{f.name: written(getattr(found, f.name)) for f in fields(found) if f.name != "counted"})  # later stages read them again and again
+    found = replace(found, **{f.name: written(getattr(found, f.name), file_rows=FILE_ROWS) for f in fields(found) if f.name != "counted"})  # later stages read them again and again
     graph = stage("graph")(found.cells)
     unsupported = found.unsupported.unionByName(graph.unsupported)
     items = stage("classify")(found.workbooks, found.cells, found.ranges, unsupported)

@@ -86,8 +86,13 @@ def json_sql(value: str, kind: T.DataType, level: int, at: str = "v") -> str:
         texts = ", ".join(f"{sql_text((',' if i else '{') + pad + json.dumps(f.name, ensure_ascii=False) + ': ')}, {json_sql(f'{value}.`{f.name}`', f.dataType, level + 1, at)}" for i, f in enumerate(kind.fields))
         return f"if({value} is null, 'null', concat({texts}, {sql_text(end + '}')}))"
     if isinstance(kind, T.ArrayType):
-        each = f"array_join(transform({value}, {at} -> {json_sql(at, kind.elementType, level + 1, at + 'v')}), {sql_text(',' + pad)})"
-        return f"case when {value} is null then 'null' when size({value}) = 0 then '[]' else concat({sql_text('[' + pad)}, {each}, {sql_text(end + ']')}) end"
+        opened, between, closed = "[" + pad, "," + pad, end + "]"
+        each = f"array_join(transform({value}, {at} -> {json_sql(at, kind.elementType, level + 1, at + 'v')}), {sql_text(between)})"
+        text = f"concat({sql_text(opened)}, {each}, {sql_text(closed)})"
+        if isinstance(kind.elementType, T.StringType):  # mostly nothing is to be escaped; a null counts as what is
+            plain = f"concat({sql_text(opened + chr(34))}, array_join({value}, {sql_text(chr(34) + between + chr(34))}), {sql_text(chr(34) + closed)})"
+            text = f"case when array_join({value}, '', '\"') rlike {_ESCAPED} then {text} else {plain} end"
+        return f"case when {value} is null then 'null' when size({value}) = 0 then '[]' else {text} end"
     if isinstance(kind, T.StringType):
         return quoted_sql(value)
     if isinstance(kind, (T.IntegralType, T.BooleanType, T.DoubleType)):

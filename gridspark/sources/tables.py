@@ -40,15 +40,16 @@ def shared_folder(spark: SparkSession) -> str:
 _OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open temporary tables", default=())
 
 
-def written(df: DataFrame, block_bytes: int | None = None) -> DataFrame:
+def written(df: DataFrame, block_bytes: int | None = None, file_rows: int | None = None) -> DataFrame:
     """df as a table in the shared folder. Unlike a checkpoint it is read as a plain scan, so that the planner knows its
     size and is free to deal it out anew (a skewed join needs that). A file is read by as many tasks as it has row groups;
-    block_bytes makes these smaller than usual, for rows that are much work each."""
+    block_bytes makes these smaller than usual, for rows that are much work each. Where such rows take so few bytes that
+    Spark wouldn't split a file, file_rows bounds the rows of each, so that no task is dealt a hot one."""
     path = f"{shared_folder(df.sparkSession)}/gridspark-{uuid.uuid4().hex}"
     if jobs := _OPEN.get():
         jobs[-1].append(path)
     writer = df.write if block_bytes is None else df.write.option("parquet.block.size", block_bytes)
-    writer.parquet(path)
+    (writer if file_rows is None else writer.option("maxRecordsPerFile", file_rows)).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

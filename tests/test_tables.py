@@ -4,7 +4,9 @@ import os
 from concurrent.futures import ThreadPoolExecutor
 from threading import Barrier
 
+from gridspark.plans import pipeline
 from gridspark.sources.tables import temporary_tables, written
+from tests.workbooks import three_sheets
 
 
 def folder(df):
@@ -66,3 +68,10 @@ def test_view_tasks_are_no_larger_for_a_longer_table(spark, tmp_path, monkeypatc
     spark.range(4000).selectExpr("id as s_suppkey", "string(id) as s_name", "int(id % 25) as s_nationkey", "double(id) as s_acctbal").coalesce(1).write.parquet(str(tmp_path / "supplier.parquet"))
     rows = tableview.sheet_cells(spark, str(tmp_path), 3).where("row > 1").rdd.mapPartitions(lambda p: [len({r.row for r in p})]).collect()
     assert sum(rows) == 4000 and max(rows) <= 250
+
+
+def test_cells_are_dealt_by_rows_however_few_bytes_they_take(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(pipeline, "FILE_ROWS", 2)
+    cells = pipeline.decompose(spark, str(three_sheets(tmp_path / "book.xlsx"))).inventory.cells
+    held = [r["count"] for r in cells.groupBy("_metadata.file_path").count().collect()]
+    assert sum(held) == cells.count() > 4 and max(held) <= 2
